@@ -4,7 +4,7 @@ from importlib import import_module
 
 from plumbline.catalog.base import REGISTRY, Query
 
-_SECTIONS = ("scalars", "texts", "vectors")
+_SECTIONS = ("scalars", "texts", "vectors", "joins", "windows", "aggregates", "integrity", "scoring", "quality")
 for _section in _SECTIONS:
     import_module(f"plumbline.catalog.{_section}")
 

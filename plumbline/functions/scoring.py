@@ -11,7 +11,6 @@ from plumbline.config import NEUTRAL, TERMS, ScoreSettings, ordered_sum
 from plumbline.functions.scalar import (
     clip01,
     flag_score,
-    location_score,
     lookup,
     notice_score,
     recency_score,
@@ -61,20 +60,10 @@ def availability_from_blend(blend: Column, floor: Column | float) -> Column:
     return floor + (F.lit(1.0) - floor) * blend
 
 
-def record_features(settings: ScoreSettings) -> dict[str, Column]:
-    """Features that need the record alone (profile, career_history, activity)."""
-    profile, activity = F.col("profile"), F.col("activity")
-    text = career_text(profile, F.col("career_history"), settings.text_chars)
-    return {
-        "lexical_evidence": keyword_evidence(text, settings.keywords),
-        "blend": availability_blend(availability_parts(activity, settings), settings),
-        "location": location_score(
-            profile["country"],
-            activity["willing_to_relocate"],
-            settings.home_country,
-            settings.away_score,
-        ),
-    }
+def lexical_evidence(settings: ScoreSettings) -> Column:
+    """Keyword evidence in the career text (columns profile, career_history)."""
+    text = career_text(F.col("profile"), F.col("career_history"), settings.text_chars)
+    return keyword_evidence(text, settings.keywords)
 
 
 def signal_features(cosine: Column, signal: Column, settings: ScoreSettings) -> dict[str, Column]:

@@ -98,13 +98,15 @@ def _earlier(slices: DataFrame, group: Sequence[str], sums: Sequence[str]) -> Da
 
 
 def _join_slices(stamped: DataFrame, slices: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Every row next to the totals of its own slice."""
+    keyed = slices.withColumnsRenamed({name: f"_of_{name}" for name in [*group, "_part"]})
     if not group:
         # At most one row per range partition.
-        slices = F.broadcast(slices)
-    on = stamped["_part"] == slices["_part"]
+        keyed = F.broadcast(keyed)
+    on = F.col("_part") == F.col("_of__part")
     for name in group:
-        on = on & stamped[name].eqNullSafe(slices[name])
-    return stamped.join(slices, on, "inner")
+        on = on & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+    return stamped.join(keyed, on, "inner")
 
 
 def positions(
@@ -123,7 +125,7 @@ def positions(
     )
     joined = _join_slices(stamped, _earlier(slices, group, ["_before"]), group)
     place = F.col("_stamp") - F.col("_start") + F.col("_before") + F.lit(1)
-    return joined.select(*[stamped[name] for name in df.columns], place.alias(rank))
+    return joined.select(*df.columns, place.alias(rank))
 
 
 def running_totals(
@@ -144,15 +146,11 @@ def running_totals(
         *[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in names]
     )
     joined = _join_slices(stamped, _earlier(slices, group, [f"_b_{n}" for n in names]), group)
-    flat = joined.select(
-        *[stamped[name] for name in valued.columns], stamped["_part"], "_stamp",
-        *[f"_b_{n}" for n in names],
-    )
     so_far = (
         Window.partitionBy(*group, "_part").orderBy("_stamp")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return flat.select(
+    return joined.select(
         *df.columns,
         *[(F.sum(f"_v_{n}").over(so_far) + F.col(f"_b_{n}")).alias(n) for n in names],
     )

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import TERMS, ScoreSettings, Settings
-from plumbline.functions.scalar import fixed, is_target_title
+from plumbline.functions.scalar import fixed, is_target_title, location_score
 from plumbline.functions.scoring import (
+    availability_blend,
     availability_from_blend,
+    availability_parts,
     base_fit,
     contributions,
     final_score,
+    lexical_evidence,
     penalty_detail,
     penalty_sum,
-    record_features,
     signal_features,
 )
 from plumbline.operators.membership import (
@@ -30,23 +32,44 @@ from plumbline.operators.shortlist import prefilter
 
 
 
-def narrow_records(pool: DataFrame, settings: Settings) -> DataFrame:
-    """Record features and facts; the wide text never enters a join."""
-    activity, profile = F.col("activity"), F.col("profile")
-    return pool.select(
-        "id",
-        is_target_title(profile["current_title"], settings.filter.titles).alias("is_target"),
-        *[c.alias(n) for n, c in record_features(settings.score).items()],
-        F.coalesce(F.nullif(profile["current_title"], F.lit("")), F.lit("(no title)")).alias(
-            "title"
+def text_features(settings: Settings) -> dict[str, Column]:
+    """Features and facts from profile and career_history."""
+    profile = F.col("profile")
+    title = F.coalesce(F.nullif(profile["current_title"], F.lit("")), F.lit("(no title)"))
+    return {
+        "is_target": is_target_title(profile["current_title"], settings.filter.titles),
+        "lexical_evidence": lexical_evidence(settings.score),
+        "title": title,
+        "years": profile["years_of_experience"],
+        "country": profile["country"],
+    }
+
+
+def activity_features(settings: Settings) -> dict[str, Column]:
+    """Features and facts from the activity block (and the country)."""
+    activity, score = F.col("activity"), settings.score
+    return {
+        "blend": availability_blend(availability_parts(activity, score), score),
+        "location": location_score(
+            F.col("country"), activity["willing_to_relocate"], score.home_country,
+            score.away_score,
         ),
-        profile["years_of_experience"].alias("years"),
-        profile["country"].alias("country"),
-        activity["notice_period_days"].alias("notice_days"),
-        activity["last_active_date"].alias("last_active"),
-        activity["open_to_work_flag"].alias("is_open"),
-        activity["willing_to_relocate"].alias("relocates"),
-    )
+        "notice_days": activity["notice_period_days"],
+        "last_active": activity["last_active_date"],
+        "is_open": activity["open_to_work_flag"],
+        "relocates": activity["willing_to_relocate"],
+    }
+
+
+def narrow_records(pool: DataFrame, settings: Settings) -> DataFrame:
+    """One short row per record. Done before any join or dedup, so texts never move."""
+    keep = [n for n in ("id", "source_order", "activity") if n in pool.columns]
+    texts = pool.select(*keep, *[c.alias(n) for n, c in text_features(settings).items()])
+    return with_activity_features(texts, settings)
+
+
+def with_activity_features(rows: DataFrame, settings: Settings) -> DataFrame:
+    return rows.withColumns(activity_features(settings)).drop("activity")
 
 
 def assemble_features(joined: DataFrame, settings: ScoreSettings) -> DataFrame:
@@ -81,7 +104,7 @@ def with_score(features: DataFrame, settings: ScoreSettings) -> DataFrame:
 
 
 def score_survivors(
-    pool: DataFrame,
+    records: DataFrame,
     similarity: DataFrame,
     signals: DataFrame,
     flagged: DataFrame,
@@ -90,25 +113,26 @@ def score_survivors(
 ) -> DataFrame:
     """Rank path: dedup, pre-filter, then features and score of the survivors only.
 
-    The filter needs titles and similarities alone, so signals and flags are joined
-    to survivors. All joins are on ``id``, which keeps one partitioning throughout.
+    ``records`` are narrow. The filter needs titles and similarities alone, so
+    signals and flags are joined to survivors. All joins are on ``id``, which keeps
+    one partitioning throughout.
     """
-    records = pool if source_order is None else first_per_key(pool, "id", source_order)
-    survivors = prefilter(narrow_records(records, settings), similarity, settings.filter)
+    unique = records if source_order is None else first_per_key(records, "id", source_order)
+    survivors = prefilter(unique, similarity, settings.filter)
     return score_joined(survivors, signals, flagged, settings)
 
 
 def score_ids(
-    pool: DataFrame,
+    records: DataFrame,
     similarity: DataFrame,
     signals: DataFrame,
     flagged: DataFrame,
     ids: DataFrame,
     settings: Settings,
 ) -> DataFrame:
-    """Evaluation path: score the records of a given id set, without a filter."""
-    chosen = restrict(narrow_records(pool, settings), ids)
-    return score_joined(with_similarity(chosen, similarity), signals, flagged, settings)
+    """Evaluation path: score the (narrow) records of a given id set, without a filter."""
+    chosen = with_similarity(restrict(records, ids), similarity)
+    return score_joined(chosen, signals, flagged, settings)
 
 
 def score_joined(

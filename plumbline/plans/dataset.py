@@ -28,10 +28,27 @@ from plumbline.config import (
     VectorSettings,
 )
 from plumbline.operators.ordering import last_per_key
+from plumbline.operators.scored import text_features, with_activity_features
 from plumbline.operators.shortlist import integrity_flags
 from plumbline.operators.similarity import cosine_to
 from plumbline.schema import ACTIVITY, SKILL
 
+# Declared, so that opening a table starts no job to look for its columns.
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+}
 KEYWORDS = {
     "terms": ("license", "token"),
     "marks": ("0", "9", "@"),
@@ -122,8 +139,8 @@ def _top_level(struct: str) -> list[str]:
     return [*parts, current]
 
 
-def pool(documents: DataFrame, events: DataFrame) -> DataFrame:
-    """(id, profile, career_history, skills, activity, source_order)."""
+def records(documents: DataFrame) -> DataFrame:
+    """(doc_id, id, profile, career_history, skills, source_order)."""
     source, lang, chars = F.col("source"), F.col("lang"), F.col("n_chars")
     years = chars.cast("double") / F.lit(120.0)
     skill = F.struct(
@@ -144,21 +161,23 @@ def pool(documents: DataFrame, events: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("current_company_size"),
         F.lit(None).cast("string").alias("current_industry"),
     )
-    records = documents.select(
+    return documents.select(
         "doc_id",
         record_id(F.col("doc_id")).alias("id"),
         profile.alias("profile"),
         _career(F.col("text"), source, lang).alias("career_history"),
         F.array(skill).alias("skills"),
-    )
-    activity = activity_table(events)
-    joined = records.join(activity, records["doc_id"] == activity["user_id"], "left")
-    return joined.select(
-        "id", "profile", "career_history", "skills", "activity",
         F.struct(F.col("doc_id").alias("line")).alias("source_order"),
     )
 
 
+def with_activity(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows keyed by doc_id with the activity struct of the user of that number."""
+    activity = activity_table(events)
+    joined = rows.join(activity, F.col("doc_id") == F.col("user_id"), "left")
+    return joined.drop("doc_id", "user_id")
+
+
 def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(
         record_id(F.col("vec_id")).alias("id"), "embedding", F.col("label").alias("label")
@@ -228,11 +247,28 @@ class Dataset:
     settings: Settings = field(default_factory=lambda: SETTINGS)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @property
     def pool(self) -> DataFrame:
-        return pool(self.table("documents"), self.table("events"))
+        """Whole records: texts and activity."""
+        return with_activity(records(self.table("documents")), self.table("events"))
+
+    @property
+    def texts_pool(self) -> DataFrame:
+        """Whole records without activity: one scan, no join."""
+        return records(self.table("documents")).drop("doc_id")
+
+    @property
+    def narrow(self) -> DataFrame:
+        """Features and facts per record; texts are reduced before activity is joined."""
+        rows = records(self.table("documents")).select(
+            "doc_id", "id", "source_order",
+            *[c.alias(n) for n, c in text_features(self.settings).items()],
+        )
+        return with_activity_features(
+            with_activity(rows, self.table("events")), self.settings
+        )
 
     @property
     def vectors(self) -> DataFrame:
@@ -261,4 +297,4 @@ class Dataset:
 
     @property
     def flagged(self) -> DataFrame:
-        return integrity_flags(self.pool, self.settings.integrity)
+        return integrity_flags(self.texts_pool, self.settings.integrity)

@@ -31,7 +31,7 @@ TOP_N = 100
 def scored_pool(data: Dataset) -> DataFrame:
     """Survivors of the pre-filter with features and score."""
     return score_survivors(
-        data.pool, data.similarity, data.signals, data.flagged, data.settings,
+        data.narrow, data.similarity, data.signals, data.flagged, data.settings,
         [F.col("source_order").asc()],
     )
 
@@ -50,14 +50,15 @@ def ranked_output(data: Dataset, n: int = TOP_N) -> DataFrame:
 
 
 def shortlist(data: Dataset) -> DataFrame:
-    return prefilter(data.pool, data.similarity, data.settings.filter).select("id", "branch")
+    titled = data.texts_pool.select("id", "profile")
+    return prefilter(titled, data.similarity, data.settings.filter).select("id", "branch")
 
 
 def full_ranking(data: Dataset, ids: DataFrame | None = None) -> DataFrame:
     """Every shortlisted record at its place, by the raw score."""
     chosen = shortlist(data) if ids is None else ids
     scored = score_ids(
-        data.pool, data.similarity, data.signals, data.flagged, chosen, data.settings
+        data.narrow, data.similarity, data.signals, data.flagged, chosen, data.settings
     )
     return positions(scored, order_by("raw"))
 
@@ -91,7 +92,7 @@ def encoder_texts(data: Dataset) -> DataFrame:
     """(id, text) given to an encoder for every record."""
     vector = data.settings.vector
     text = career_text(F.col("profile"), F.col("career_history"), vector.text_chars)
-    return data.pool.select("id", prefixed(vector.passage_prefix, text).alias("text"))
+    return data.texts_pool.select("id", prefixed(vector.passage_prefix, text).alias("text"))
 
 
 def profile_cards(data: Dataset) -> DataFrame:
