@@ -8,7 +8,6 @@ from plumbline.catalog import sql as S
 from plumbline.catalog.base import big, joined, query, six
 from plumbline.operators import metrics, summary
 from plumbline.operators.membership import with_similarity
-from plumbline.operators.sampling import select_sample
 from plumbline.operators.shortlist import mark_targets, threshold_scan
 from plumbline.plans.jobs import full_ranking, ranked_top, shortlist
 
@@ -204,15 +203,6 @@ def duplicate_texts(data):
     )
 
 
-@query(
-    "a15_category_counts",
-    None,
-)
-def category_counts(data):
-    counts = summary.category_counts(select_sample(full_ranking(data)))
-    return counts.select("category", "n", big("first_pick").alias("first_pick"))
-
-
 @query(
     "a16_coverage",
     S.using(

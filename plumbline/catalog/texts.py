@@ -34,13 +34,13 @@ def career_texts(data):
     return data.pool.select("id", *_digest(text))
 
 
-_SIGNAL_LINE = """concat_ws(', ', 'last_active=' || last_active,
+SIGNAL_LINE = """concat_ws(', ', 'last_active=' || last_active,
   'open_to_work=' || CASE WHEN is_open THEN 'True' WHEN NOT is_open THEN 'False' END,
   'recruiter_response_rate=' || r_resp_text, 'interview_completion_rate=' || r_int_text,
   'notice_period_days=' || notice::VARCHAR,
   'willing_to_relocate=' || CASE WHEN relocates THEN 'True' WHEN NOT relocates THEN 'False' END)"""
 # Rates come from small counts, so both engines print their shortest form alike.
-_RATES = "SELECT *, r_resp::VARCHAR AS r_resp_text, r_int::VARCHAR AS r_int_text FROM pool"
+RATES = "SELECT *, r_resp::VARCHAR AS r_resp_text, r_int::VARCHAR AS r_int_text FROM pool"
 
 
 def _role_line(r: str) -> str:
@@ -49,7 +49,7 @@ def _role_line(r: str) -> str:
       THEN ': ' || {S.sq(f'{r}.description')} ELSE '' END"""
 
 
-_CARD = f"""concat_ws(chr(10),
+CARD = f"""concat_ws(chr(10),
   'Current role: ' || {S.sq('title')} || ' · ' || format('{{:g}}', years) || ' yrs experience · '
     || {S.sq('lang')},
   'Summary: ' || {S.sq('summary')},
@@ -61,9 +61,9 @@ _CARD = f"""concat_ws(chr(10),
 @query(
     "t3_profile_card",
     S.using(
-        f"SELECT id, {_digest_sql('card')} FROM cards", "pool", rates=_RATES,
-        lined=f"SELECT *, {_SIGNAL_LINE} AS line FROM rates",
-        cards=f"SELECT id, {_CARD} AS card FROM lined",
+        f"SELECT id, {_digest_sql('card')} FROM cards", "pool", rates=RATES,
+        lined=f"SELECT *, {SIGNAL_LINE} AS line FROM rates",
+        cards=f"SELECT id, {CARD} AS card FROM lined",
     ),
 )
 def cards(data):
@@ -86,7 +86,7 @@ def role_lines(data):
 
 @query(
     "t5_signal_line",
-    S.using(f"SELECT id, {_SIGNAL_LINE} AS line FROM rates", "pool", rates=_RATES),
+    S.using(f"SELECT id, {SIGNAL_LINE} AS line FROM rates", "pool", rates=RATES),
 )
 def signal_lines(data):
     return data.pool.select("id", tx.signal_line(F.col("activity")).alias("line"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import (
@@ -97,11 +97,21 @@ def is_json(text: Column) -> Column:
     return F.coalesce(one & in_object.isNotNull(), F.lit(False))
 
 
-def json_text(reply: Column) -> Column:
-    """The JSON inside a reply (plain, fenced or wrapped in prose); null if there is none."""
-    cleaned = strip(strip_fence(reply))
-    snippet = first_balanced(cleaned)
-    return F.when(is_json(cleaned), cleaned).when(is_json(snippet), snippet)
+def with_json_text(df: DataFrame, reply: str, name: str = "json") -> DataFrame:
+    """Add the JSON inside a reply (plain, fenced or wrapped in prose), null if none.
+
+    The steps are columns of their own, so each is computed once, and the character
+    scan runs only for replies that do not parse as they are.
+    """
+    staged = df.withColumn("_cleaned", strip(strip_fence(F.col(reply))))
+    staged = staged.withColumn("_direct", is_json(F.col("_cleaned")))
+    staged = staged.withColumn(
+        "_snippet", F.when(~F.col("_direct"), first_balanced(F.col("_cleaned")))
+    )
+    found = F.when(F.col("_direct"), F.col("_cleaned")).when(
+        is_json(F.col("_snippet")), F.col("_snippet")
+    )
+    return staged.withColumn(name, found).drop("_cleaned", "_direct", "_snippet")
 
 
 def _type(value: Column) -> Column:

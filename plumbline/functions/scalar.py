@@ -46,7 +46,9 @@ def filter_branch(is_target: Column, similarity: Column, threshold: float) -> Co
 
 
 def clip01(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("double")))
+    """Clamp to [0, 1]; null stays null (greatest and least would skip it)."""
+    number = value.cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def rescale(value: Column, low: float, high: float) -> Column:

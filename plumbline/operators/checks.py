@@ -42,8 +42,10 @@ def id_pattern(rows: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
     return violation(bad, "id_pattern", F.col("rank"), F.col("id"))
 
 
-def id_duplicates(rows: DataFrame) -> DataFrame:
-    bad = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND id <> ''")
+def id_duplicates(rows: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
+    """Well-formed ids that occur more than once."""
+    formed = rows.select(strip(F.col("id")).alias("id")).filter(F.col("id").rlike(pattern))
+    bad = formed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return violation(bad, "id_duplicate", F.col("id"), F.col("n"))
 
 
@@ -63,12 +65,13 @@ def rank_range(rows: DataFrame, n: int) -> DataFrame:
     return violation(bad, "rank_range", F.col("rank"), F.col("id"))
 
 
-def rank_duplicates(rows: DataFrame) -> DataFrame:
-    counted = rows.groupBy(canonical_rank(strip(F.col("rank"))).alias("r")).agg(
-        F.count(F.lit(1)).alias("n")
+def rank_duplicates(rows: DataFrame, n: int) -> DataFrame:
+    """Ranks in range that occur more than once."""
+    ranks = rows.select(canonical_rank(strip(F.col("rank"))).alias("r")).filter(
+        F.col("r").between(1, n)
     )
-    return violation(counted.filter("r IS NOT NULL AND n > 1"), "rank_duplicate", F.col("r"),
-                     F.col("n"))
+    counted = ranks.groupBy("r").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return violation(counted, "rank_duplicate", F.col("r"), F.col("k"))
 
 
 def rank_missing(rows: DataFrame, n: int) -> DataFrame:
@@ -121,10 +124,10 @@ def output_violations(rows: DataFrame, n: int, pattern: str = ID_PATTERN) -> Dat
         row_count(rows, n),
         id_missing(rows),
         id_pattern(rows, pattern),
-        id_duplicates(rows),
+        id_duplicates(rows, pattern),
         rank_format(rows),
         rank_range(rows, n),
-        rank_duplicates(rows),
+        rank_duplicates(rows, n),
         rank_missing(rows, n),
         score_format(rows),
         score_order(rows),
