@@ -93,7 +93,7 @@ def closed_world(data):
     ),
 )
 def known_numbers(data):
-    shown = F.transform(F.array_sort("numbers"), six)
+    shown = F.transform(F.sort_array("numbers"), six)
     return _closed(data).select("id", joined(shown).alias("numbers"))
 
 
@@ -123,7 +123,7 @@ def _named(text: str) -> str:
       FROM documents""",
 )
 def named_terms(data):
-    named = F.array_sort(gr.named_terms(F.col("text")))
+    named = F.sort_array(gr.named_terms(F.col("text")))
     return data.table("documents").select("doc_id", joined(named).alias("named"))
 
 

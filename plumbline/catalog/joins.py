@@ -219,7 +219,7 @@ def grid(data):
     FROM documents""",
 )
 def near_duplicate(data):
-    documents = data.table("documents").select(
+    documents = data.documents.select(
         record_id(F.col("doc_id")).alias("id"), "doc_id", "text"
     )
     return near_duplicates(documents, "doc_id", data.settings.text.similar_at)

@@ -184,7 +184,7 @@ def clean_flags(labels: Column) -> Column:
     known = F.filter(
         F.transform(labels, lambda x: normalize_word(x, FLAGS, "")), lambda x: x != ""
     )
-    return F.coalesce(F.array_sort(F.array_distinct(known)), F.array().cast("array<string>"))
+    return F.coalesce(F.sort_array(F.array_distinct(known)), F.array().cast("array<string>"))
 
 
 def variant_flags(value: Column) -> Column:

@@ -74,7 +74,7 @@ def leading_terms(parts: Mapping[str, Column], count: int) -> Column:
         F.struct((-value).alias("negated"), F.lit(i).alias("place"), F.lit(name).alias("name"))
         for i, (name, value) in enumerate(parts.items())
     ])
-    largest = F.slice(F.array_sort(entries), 1, count)
+    largest = F.slice(F.sort_array(entries), 1, count)
     positive = F.filter(largest, lambda e: e["negated"] < 0)
     return F.transform(positive, lambda e: e["name"])
 
@@ -125,7 +125,7 @@ def ungrounded_terms(text: Column, terms: Column) -> Column:
     unknown = F.array_except(
         F.array_except(F.transform(named, lambda w: F.lower(w)), generic), terms
     )
-    return F.array_sort(F.filter(named, lambda w: F.array_contains(unknown, F.lower(w))))
+    return F.sort_array(F.filter(named, lambda w: F.array_contains(unknown, F.lower(w))))
 
 
 def ungrounded_numbers(text: Column, allowed: Column, settings: TextSettings) -> Column:
@@ -136,7 +136,7 @@ def ungrounded_numbers(text: Column, allowed: Column, settings: TextSettings) ->
         found,
         lambda n: ~F.exists(allowed, lambda a: F.abs(n.cast("double") - a) < tolerance),
     )
-    return F.array_sort(bad)
+    return F.sort_array(bad)
 
 
 def text_issues(

@@ -53,7 +53,7 @@ def reason_codes(expert_zero: Column, role_exceeds: Column, timeline: Column) ->
         F.when(expert_zero, EXPERT_ZERO),
         F.when(timeline, TIMELINE),
     )
-    return F.array_sort(F.array_compact(fired))
+    return F.sort_array(F.array_compact(fired))
 
 
 def integrity_reasons(

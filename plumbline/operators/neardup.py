@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import fingerprint_words
-from plumbline.operators.durable import durable
+from plumbline.operators.durable import durable, stored
 from plumbline.operators.skew import salted_join
 
 # Words frequent enough to be ordered by their count. A top-k, so its size is fixed.
-ORDERED_WORDS = 5_000
+ORDERED_WORDS = 50_000
 # Members of one bucket handled by one task.
 BUCKET_SLICE = 20_000
 # Fixed value: slack against rounding in t * n.
@@ -44,48 +44,74 @@ def similar(left: Column, right: Column, threshold: float) -> Column:
     )
 
 
-def word_sets(texts: DataFrame, order: str) -> DataFrame:
-    """One row per distinct word set: its words, its earliest (order, id), its key."""
+def keyed_words(texts: DataFrame, order: str) -> DataFrame:
+    """(id, order, set_key, words), the words sorted; texts without words keep none."""
     worded = texts.select(
         "id", F.col(order).alias("order"),
-        F.array_sort(fingerprint_words(F.col("text"))).alias("words"),
+        F.sort_array(fingerprint_words(F.col("text"))).alias("words"),
     )
-    keyed = worded.filter(F.size("words") > 0).withColumn(
-        "set_key", F.sha2(F.array_join("words", " "), 256)
+    return worded.withColumn("set_key", F.sha2(F.concat_ws(" ", "words"), 256))
+
+
+def ordered_sets(keyed: DataFrame) -> DataFrame:
+    """One row per distinct word set: its earliest (order, id) and its words, rare first.
+
+    A word sorts by how many texts have it. Words outside the frequent list count as
+    equally rare and sort alphabetically. Grouping, expanding and regrouping all run
+    on ``set_key``, so the sets are shuffled once.
+    """
+    frequent = (
+        keyed.select(F.explode("words").alias("word"))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .filter("df > 1")
+        .orderBy(F.desc("df"), "word")
+        .limit(ORDERED_WORDS)
     )
-    return keyed.groupBy("set_key").agg(
+    distinct = keyed.groupBy("set_key").agg(
         F.min(F.struct("order", "id")).alias("first"),
         # All rows of a key hold the same words.
         F.any_value("words").alias("words"),
-    ).withColumn("n", F.size("words"))
+    )
+    tokens = distinct.select("set_key", "first", F.explode("words").alias("word"))
+    # ORDERED_WORDS rows at most, whatever the data.
+    placed = tokens.join(F.broadcast(frequent), "word", "left")
+    entry = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")
+    # A group is the words of one text.
+    grouped = placed.groupBy("set_key").agg(
+        F.any_value("first").alias("first"), F.sort_array(F.collect_list(entry)).alias("w")
+    )
+    return grouped.select(
+        "set_key", "first", F.col("w.word").alias("words"), F.size("w").alias("n")
+    )
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set_key, first, n, word) for the prefix words of every set.
-
-    The word order is: words outside the frequent list first (alphabetically), then
-    the frequent ones, the most frequent last. The list is short enough to travel as
-    one array, so a set is cut where it is and its words are not shuffled.
-    """
-    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("df")
-    )
-    frequent = counts.filter("df > 1").orderBy(F.desc("df"), "word").limit(ORDERED_WORDS)
-    listed = frequent.agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("f"))
-    known = sets.withColumn("_frequent", listed.select("f.word").scalar())
-    rare = F.array_except("words", "_frequent")
-    common = F.array_intersect("_frequent", "words")
+    """(set_key, first, n, place, word) for the prefix words of every set."""
     size = F.col("n")
     keep = size - F.ceil(F.lit(threshold) * size - F.lit(EPSILON)).cast("int") + F.lit(1)
-    return known.select(
-        "set_key", "first", "n", F.explode(F.slice(F.concat(rare, common), F.lit(1), keep)).alias(
-            "word")
+    return sets.select(
+        "set_key", "first", "n",
+        F.posexplode(F.slice("words", F.lit(1), keep)).alias("place", "word"),
     )
 
 
-def _sizes_fit(a: Column, b: Column, threshold: float) -> Column:
-    low, high = F.least(a, b).cast("double"), F.greatest(a, b).cast("double")
-    return low + F.lit(EPSILON) >= F.lit(threshold) * high
+def _can_match(a: dict[str, Column], b: dict[str, Column], threshold: float) -> Column:
+    """Sizes and the places of a shared word still allow the threshold.
+
+    Before the word at most min(places) words can be shared, after it at most the
+    shorter rest; the overlap needed is t / (1 + t) of both sizes together.
+    """
+    low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    sizes = low + F.lit(EPSILON) >= F.lit(threshold) * high
+    rest = F.least(a["n"] - a["place"], b["n"] - b["place"])
+    most = F.least(a["place"], b["place"]) + rest
+    needed = F.lit(threshold / (1.0 + threshold)) * (a["n"] + b["n"]) - F.lit(EPSILON)
+    return sizes & (most >= needed)
+
+
+def _at(prefix: str = "") -> dict[str, Column]:
+    return {"n": F.col(f"{prefix}n"), "place": F.col(f"{prefix}place")}
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -93,40 +119,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select("set_key", "words")
     right = sets.select(F.col("set_key").alias("other"), F.col("words").alias("other_words"))
     # One set may be the partner of any share of the pairs (the lead of a big cluster).
-    partnered = salted_join(pairs.distinct(), right, "other", "set_key")
+    partnered = salted_join(durable(pairs.distinct()), right, "other", "set_key")
     both = partnered.join(left, "set_key")
     return both.filter(similar(F.col("words"), F.col("other_words"), threshold))
 
 
 def _earlier_witness(sets: DataFrame, threshold: float, slice_rows: int) -> DataFrame:
     """Keys of the sets that have a similar set before them."""
-    prefixes = durable(_prefixes(sets, threshold))
+    prefixes = stored(_prefixes(sets, threshold))
+    lead = F.struct("first", "set_key", "n", "place")
     buckets = prefixes.groupBy("word").agg(
-        F.count(F.lit(1)).alias("members"), F.min(F.struct("first", "set_key", "n")).alias("lead")
+        F.count(F.lit(1)).alias("members"), F.min(lead).alias("lead")
     ).filter("members > 1")
-    shared = salted_join(prefixes, buckets, "word", "set_key")
-    by_lead = shared.filter(
-        (F.col("lead.first") < F.col("first"))
-        & _sizes_fit(F.col("n"), F.col("lead.n"), threshold)
-    ).select("set_key", F.col("lead.set_key").alias("other"))
+    buckets = stored(buckets)
+    shared = stored(
+        salted_join(prefixes, buckets, "word", "set_key", rows_per_slice=slice_rows,
+                    counts=buckets.select("word", F.col("members").alias("rows")))
+    )
+    follows = shared.filter(F.col("lead.first") < F.col("first"))
+    by_lead = follows.filter(_can_match(_at(), _at("lead."), threshold)).select(
+        "set_key", F.col("lead.set_key").alias("other")
+    )
     led = durable(_verified(by_lead, sets, threshold).select("set_key").distinct())
 
     # What is left: sets without a witness so far against their buckets, cut into slices.
     slices = F.ceil(F.col("members") / F.lit(slice_rows)).cast("int")
-    open_sets = (
-        shared.join(led, "set_key", "left_anti")
-        .filter(F.col("lead.first") < F.col("first"))
-        .select("set_key", "first", "n", "word",
-                F.explode(F.sequence(F.lit(0), slices - F.lit(1))).alias("slice"))
-    )
+    open_sets = follows.join(led, "set_key", "left_anti").select(
+        "set_key", "first", "n", "place", "word",
+        F.explode(F.sequence(F.lit(0), slices - F.lit(1))).alias("slice"),
+    )
     members = shared.select(
         F.col("set_key").alias("other"), F.col("first").alias("other_first"),
-        F.col("n").alias("other_n"), "word",
+        F.col("n").alias("other_n"), F.col("place").alias("other_place"), "word",
         F.pmod(F.xxhash64("set_key"), slices).cast("int").alias("slice"),
     )
     candidates = open_sets.join(members, ["word", "slice"]).filter(
-        (F.col("other_first") < F.col("first"))
-        & _sizes_fit(F.col("n"), F.col("other_n"), threshold)
+        (F.col("other_first") < F.col("first")) & _can_match(_at(), _at("other_"), threshold)
     )
     rest = _verified(candidates.select("set_key", "other"), sets, threshold).select("set_key")
     return led.unionByName(rest.distinct())
@@ -139,19 +167,19 @@ def near_duplicates(
 
     A text without words is never a duplicate.
     """
-    sets = durable(word_sets(texts, order))
+    keyed = stored(keyed_words(texts, order)).filter(F.size("words") > 0)
+    sets = stored(ordered_sets(keyed))
     late = _earlier_witness(sets, threshold, slice_rows).withColumn("_late", F.lit(True))
     marked = sets.select("set_key", "first").join(late, "set_key", "left")
-    keyed = texts.select(
-        "id", F.col(order).alias("order"),
-        F.sha2(F.array_join(F.array_sort(fingerprint_words(F.col("text"))), " "), 256).alias(
-            "set_key"),
-    )
-    copies = F.struct("order", "id") > F.col("first")
-    return salted_join(keyed, marked, "set_key", "id", "left").select(
+    # One set may be the key of any share of the texts (copies of one text).
+    own = salted_join(keyed.select("id", "order", "set_key"), marked, "set_key", "id")
+    found = own.select(
         "id",
-        (F.coalesce(copies, F.lit(False)) | F.coalesce("_late", F.lit(False))).alias(
-            "is_duplicate"),
+        ((F.struct("order", "id") > F.col("first")) | F.coalesce("_late", F.lit(False))).alias(
+            "_found"),
+    )
+    return texts.select("id").join(found, "id", "left").select(
+        "id", F.coalesce("_found", F.lit(False)).alias("is_duplicate")
     )
 
 
@@ -162,19 +190,17 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     texts of a top-n); whole tables are answered by :func:`near_duplicates`.
     """
     worded = texts.select("id", fingerprint_words(F.col("text")).alias("words"))
-    sets = durable(
-        worded.filter(F.size("words") > 0).select(
-            F.col("id").alias("set_key"), F.col("id").alias("first"), "words",
-            F.size("words").alias("n"),
-        )
+    keyed = worded.filter(F.size("words") > 0).select(
+        F.lit(0).alias("order"), "id", F.col("id").alias("set_key"), "words"
     )
-    prefixes = _prefixes(sets, threshold)
+    sets = durable(ordered_sets(keyed))
+    prefixes = _prefixes(sets, threshold).drop("first")
     others = prefixes.select(
-        F.col("set_key").alias("other"), F.col("n").alias("other_n"), "word"
+        F.col("set_key").alias("other"), F.col("n").alias("other_n"),
+        F.col("place").alias("other_place"), "word",
     )
     candidates = prefixes.join(others, "word").filter(
-        (F.col("set_key") < F.col("other"))
-        & _sizes_fit(F.col("n"), F.col("other_n"), threshold)
+        (F.col("set_key") < F.col("other")) & _can_match(_at(), _at("other_"), threshold)
     )
     found = _verified(candidates.select("set_key", "other"), sets, threshold)
     return found.select(F.col("set_key").alias("id"), "other")

@@ -60,8 +60,9 @@ def integrity_flags(pool: DataFrame, settings: IntegritySettings) -> DataFrame:
     reasons = integrity_reasons(
         F.col("skills"), F.col("career_history"), F.col("profile.years_of_experience"), settings
     )
-    return (
-        pool.filter(F.col("id").isNotNull())
-        .select("id", reasons.alias("reasons"))
-        .filter(F.size("reasons") > 0)
+    # The row stamp keeps the filter above the projection: pushed below, it would
+    # evaluate all rules a second time.
+    judged = pool.filter(F.col("id").isNotNull()).select(
+        "id", reasons.alias("reasons"), F.monotonically_increasing_id().alias("_row")
     )
+    return judged.filter((F.size("reasons") > 0) & (F.col("_row") >= 0)).drop("_row")

@@ -67,7 +67,7 @@ def centroids(vectors: DataFrame, label: str) -> DataFrame:
     cells = vectors.select(F.col(label).alias("query"), F.posexplode("embedding").alias("i", "v"))
     means = cells.groupBy("query", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
     # One entry per vector dimension.
-    packed = means.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))
+    packed = means.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("c"))
     return packed.select("query", l2_normalize(F.col("c.v")).alias("embedding"))
 
 

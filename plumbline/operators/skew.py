@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.durable import durable
+
 # Hot keys treated one by one; a top-k, so the broadcast below has a fixed size. A key
 # outside of it holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 10_000
@@ -19,19 +21,24 @@ def salted_join(
     spread_by: str,
     how: str = "inner",
     rows_per_slice: int = KEY_SLICE,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``big`` join ``small`` on ``key``, with hot keys of ``big`` cut into slices.
 
     A hot key's rows are spread by a hash of ``spread_by``, and its one row of
-    ``small`` is repeated for every slice. ``how`` is inner or left.
+    ``small`` is repeated for every slice. ``how`` is inner or left. ``counts`` (key,
+    rows) saves counting ``big`` again. Without hot keys this is a plain join.
     """
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = (
-        counts.filter(F.col("_rows") > rows_per_slice)
-        .orderBy(F.desc("_rows"), key)
+    if counts is None:
+        counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    hot = durable(
+        counts.filter(F.col("rows") > rows_per_slice)
+        .orderBy(F.desc("rows"), key)
         .limit(HOT_KEYS)
-        .select(key, F.ceil(F.col("_rows") / F.lit(rows_per_slice)).cast("int").alias("_slices"))
+        .select(key, F.ceil(F.col("rows") / F.lit(rows_per_slice)).cast("int").alias("_slices"))
     )
+    if hot.isEmpty():
+        return big.join(small, key, how)
     slices = F.coalesce("_slices", F.lit(1))
     left = big.join(F.broadcast(hot), key, "left").withColumn(
         "_slice", F.pmod(F.xxhash64(spread_by), slices).cast("int")

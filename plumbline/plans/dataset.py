@@ -247,22 +247,36 @@ class Dataset:
     settings: Settings = field(default_factory=lambda: SETTINGS)
 
     def table(self, name: str) -> DataFrame:
+        """A table as its files are split."""
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """The documents, spread over the cores when there are fewer files than cores.
+
+        A file may hold one row group, which is one task whatever its size. A table of
+        many files is already split and is read as it is.
+        """
+        rows = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        if len(rows.inputFiles()) >= cores:
+            return rows
+        return rows.repartition(cores, "doc_id")
+
     @property
     def pool(self) -> DataFrame:
         """Whole records: texts and activity."""
-        return with_activity(records(self.table("documents")), self.table("events"))
+        return with_activity(records(self.documents), self.table("events"))
 
     @property
     def texts_pool(self) -> DataFrame:
         """Whole records without activity: one scan, no join."""
-        return records(self.table("documents")).drop("doc_id")
+        return records(self.documents).drop("doc_id")
 
     @property
     def narrow(self) -> DataFrame:
         """Features and facts per record; texts are reduced before activity is joined."""
-        rows = records(self.table("documents")).select(
+        rows = records(self.documents).select(
             "doc_id", "id", "source_order",
             *[c.alias(n) for n, c in text_features(self.settings).items()],
         )

@@ -37,8 +37,12 @@ def scored_pool(data: Dataset) -> DataFrame:
 
 
 def ranked_top(data: Dataset, n: int = TOP_N, key: str = "formatted") -> DataFrame:
-    """The best ``n`` survivors with every column of their score."""
-    return top_n(scored_pool(data), order_by(key), n)
+    """The best ``n`` survivors with every column of their score.
+
+    Stored, because texts and records are then joined to the cut, and not the cut's
+    whole plan once per join.
+    """
+    return durable(top_n(scored_pool(data), order_by(key), n))
 
 
 def ranked_output(data: Dataset, n: int = TOP_N) -> DataFrame:
@@ -55,12 +59,16 @@ def shortlist(data: Dataset) -> DataFrame:
 
 
 def full_ranking(data: Dataset, ids: DataFrame | None = None) -> DataFrame:
-    """Every shortlisted record at its place, by the raw score."""
-    chosen = shortlist(data) if ids is None else ids
-    scored = score_ids(
-        data.narrow, data.similarity, data.signals, data.flagged, chosen, data.settings
-    )
-    return positions(scored, order_by("raw"))
+    """Every record of the shortlist (or of the given ids) at its place, by the raw score."""
+    if ids is None:
+        scored = score_survivors(
+            data.narrow, data.similarity, data.signals, data.flagged, data.settings
+        )
+    else:
+        scored = score_ids(
+            data.narrow, data.similarity, data.signals, data.flagged, ids, data.settings
+        )
+    return positions(scored.drop("source_order"), order_by("raw"))
 
 
 def evaluation(data: Dataset) -> DataFrame:
