@@ -69,25 +69,30 @@ def prompts(data):
     )
 
 
-def stand_in(prompt: str) -> str:
+def stand_in():
     """A pure function in place of a model.
 
     It leaves the second entry out of every batch of several, fails outright on
-    entries that mention a license, and wraps its answer in prose.
+    entries that mention a license, and wraps its answer in prose. It is an inner
+    function, so that it travels to the workers by value.
     """
-    entries = re.split(r"(?m)^\[\d+\] id: ", prompt.split("CANDIDATES:\n\n", 1)[1])[1:]
-    if len(entries) == 1 and "license" in entries[0].lower():
-        raise RuntimeError("no answer")
-    records = []
-    for place, entry in enumerate(entries):
-        name, text = entry.split("\n", 1)
-        if place == 1 or "license" in text.lower():
-            continue
-        records.append(
-            {"id": name, "role_archetype": "Data Scientist", "domain": "NLP/IR",
-             "product_vs_services": str(len(text.strip()) / 10000)}
-        )
-    return "Here you are:\n" + json.dumps({"results": records}) + "\nAnything else?"
+
+    def reply(prompt: str) -> str:
+        entries = re.split(r"(?m)^\[\d+\] id: ", prompt.split("CANDIDATES:\n\n", 1)[1])[1:]
+        if len(entries) == 1 and "license" in entries[0].lower():
+            raise RuntimeError("no answer")
+        found = []
+        for place, entry in enumerate(entries):
+            name, text = entry.split("\n", 1)
+            if place == 1 or "license" in text.lower():
+                continue
+            found.append(
+                {"id": name, "role_archetype": "Data Scientist", "domain": "NLP/IR",
+                 "product_vs_services": str(len(text.strip()) / 10000)}
+            )
+        return "Here you are:\n" + json.dumps({"results": found}) + "\nAnything else?"
+
+    return reply
 
 
 @query(
@@ -101,7 +106,7 @@ def stand_in(prompt: str) -> str:
 )
 def enriched(data):
     todo = durable(_todo(data))
-    found, _ = enrich.enrich(todo, stand_in, HEAD, batch_size=BATCH, retries=1)
+    found, _ = enrich.enrich(todo, stand_in(), HEAD, batch_size=BATCH, retries=1)
     return found.select(
         "id", F.col("role_archetype").alias("role"), "domain",
         six("product_vs_services").alias("product"),
@@ -113,7 +118,7 @@ def enriched(data):
     S.using("SELECT id FROM batched WHERE contains(lower(card), 'license')", *_VIEWS, **_CARDS),
 )
 def failed(data):
-    _, lost = enrich.enrich(durable(_todo(data)), stand_in, HEAD, batch_size=BATCH, retries=0)
+    _, lost = enrich.enrich(durable(_todo(data)), stand_in(), HEAD, batch_size=BATCH, retries=0)
     return lost.orderBy("id")
 
 
@@ -127,14 +132,18 @@ def first_pending(data):
     return rows.select("id")
 
 
-def bag_of_words(texts, dim: int = 64):
+def bag_of_words(dim: int = 64):
     """Test encoder: hashed word counts, unit length."""
-    matrix = np.zeros((len(texts), dim))
-    for row, text in enumerate(texts):
-        for word in text.lower().split():
-            matrix[row, zlib.crc32(word.encode()) % dim] += 1.0
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(lengths == 0, 1.0, lengths)
+
+    def encode(texts):
+        matrix = np.zeros((len(texts), dim))
+        for row, text in enumerate(texts):
+            for word in text.lower().split():
+                matrix[row, zlib.crc32(word.encode()) % dim] += 1.0
+        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix / np.where(lengths == 0, 1.0, lengths)
+
+    return encode
 
 
 @query(
@@ -147,7 +156,7 @@ def bag_of_words(texts, dim: int = 64):
 )
 def encoded(data):
     """Vectors for the records that have none yet."""
-    rows = enrich.encode_pending(encoder_texts(data), data.vectors, bag_of_words)
+    rows = enrich.encode_pending(encoder_texts(data), data.vectors, bag_of_words())
     return rows.select("id", big(F.size("embedding")).alias("n"),
                        six(norm(F.col("embedding"))).alias("length"))
 

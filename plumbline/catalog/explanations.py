@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.catalog import sql as S
@@ -284,19 +287,20 @@ def accepted(data):
     """
     top = ranked_top(data, TOP)
     rows = write_explanations(
-        top, data.texts_pool, data.texts, data.settings, {"domains": ["ranking"]}, stand_in
+        top, data.texts_pool, data.texts, data.settings, {"domains": ["ranking"]}, stand_in()
     )
     return rows.select("id", "rank", "text", "source", "attempt")
 
 
-def stand_in(prompt: str) -> str:
+def stand_in():
     """A pure function in place of a model: one sentence per entry of the prompt."""
-    import json
-    import re
-
-    entries = re.findall(r"\[\d+\] id: (\S+)\n.*?\nrole: ([^;]+);", prompt, re.S)
-    texts = [
-        {"id": i, "reasoning": f"works as {t.strip().lower()} and fits the search role well."}
-        for i, t in entries
-    ]
-    return "```json\n" + json.dumps(texts) + "\n```"
+
+    def reply(prompt: str) -> str:
+        entries = re.findall(r"\[\d+\] id: (\S+)\n.*?\nrole: ([^;]+);", prompt, re.S)
+        texts = [
+            {"id": i, "reasoning": f"works as {t.strip().lower()} and fits the search role well."}
+            for i, t in entries
+        ]
+        return "```json\n" + json.dumps(texts) + "\n```"
+
+    return reply

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
+from plumbline.functions.cleaning import with_json_text
 from plumbline.functions.scalar import squeeze
 from plumbline.functions.text import career_text, prefixed, profile_card
 from plumbline.operators import enrich as enriching
 from plumbline.operators import metrics, sweep
+from plumbline.operators.checks import require_none, vector_violations, violation
 from plumbline.operators.durable import durable
 from plumbline.operators.explain import (
     accept_texts,
@@ -24,6 +26,7 @@ from plumbline.operators.ordering import positions, top_n
 from plumbline.operators.scored import order_by, score_ids, score_survivors
 from plumbline.operators.shortlist import prefilter
 from plumbline.plans.dataset import Dataset
+from plumbline.sources.tables import validated_rubrics
 
 TOP_N = 100
 
@@ -164,6 +167,29 @@ def write_explanations(
         )
 
 
+def build_reference(
+    replies: DataFrame, encoder: Callable[[Sequence[str]], object], settings: Settings
+) -> DataFrame:
+    """(id, rubric, ideal_text, embedding) of target descriptions read by a model.
+
+    ``replies`` is (id, reply), one row per description. A reply that is not a usable
+    rubric fails the job; the ideal text is encoded as a query, and every vector must
+    have the pool's dimension.
+    """
+    parsed = with_json_text(replies, "reply").withColumn("record", F.try_parse_json("json"))
+    checked = durable(validated_rubrics(parsed).select("id", "rubric", "ideal_text", "issues"))
+    broken = checked.filter(F.coalesce(F.size("issues"), F.lit(1)) > 0)
+    require_none(violation(broken, "rubric", F.col("id"), F.array_join("issues", ", ")),
+                 "reference not built")
+    texts = checked.select(
+        "id", prefixed(settings.vector.query_prefix, F.col("ideal_text")).alias("text")
+    )
+    nothing = texts.select("id").limit(0)
+    vectors = durable(enriching.encode_pending(texts, nothing, encoder))
+    require_none(vector_violations(vectors, settings.vector.dim), "reference not built")
+    return checked.drop("issues").join(vectors, "id")
+
+
 def ask_texts(entries: DataFrame, reply: Callable[[str], str], head: str, size: int) -> DataFrame:
     """(id, text) of one call per batch, without retries."""
     batched = enriching.batches(entries, size)
