@@ -90,9 +90,9 @@ def text_counts(texts: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame, text: str) -> DataFrame:
     """Rows beyond the first of every distinct trimmed, lower-cased text."""
-    per_text = df.groupBy(F.lower(strip(F.col(text))).alias("key")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # Long texts are grouped by their digest.
+    key = F.sha2(F.lower(strip(F.col(text))), 256)
+    per_text = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return per_text.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
