@@ -33,12 +33,15 @@ def roles_of(career: Column) -> Column:
 
 
 def career_text(profile: Column, career: Column, max_chars: int | None) -> Column:
-    """Title, summary and role descriptions in order; skills never enter."""
-    parts = F.concat(
-        F.array(squeeze(profile["current_title"]), squeeze(profile["summary"])),
-        F.transform(roles_of(career), lambda role: squeeze(role["description"])),
+    """Title, summary and role descriptions in order; skills never enter.
+
+    Squeezing the joined text equals joining the squeezed, non-empty parts, and needs
+    one pass over the text.
+    """
+    joined = F.concat_ws(
+        " ", profile["current_title"], profile["summary"], career["description"]
     )
-    text = F.array_join(F.filter(parts, lambda part: part != ""), " ")
+    text = squeeze(joined)
     return text if max_chars is None else F.trim(F.substring(text, 1, max_chars))
 
 

@@ -139,7 +139,7 @@ def _top_level(struct: str) -> list[str]:
     return [*parts, current]
 
 
-def records(documents: DataFrame) -> DataFrame:
+def records(documents: DataFrame, career: Column | None = None) -> DataFrame:
     """(doc_id, id, profile, career_history, skills, source_order)."""
     source, lang, chars = F.col("source"), F.col("lang"), F.col("n_chars")
     years = chars.cast("double") / F.lit(120.0)
@@ -165,7 +165,8 @@ def records(documents: DataFrame) -> DataFrame:
         "doc_id",
         record_id(F.col("doc_id")).alias("id"),
         profile.alias("profile"),
-        _career(F.col("text"), source, lang).alias("career_history"),
+        (_career(F.col("text"), source, lang) if career is None else career).alias(
+            "career_history"),
         F.array(skill).alias("skills"),
         F.struct(F.col("doc_id").alias("line")).alias("source_order"),
     )
@@ -276,7 +277,11 @@ class Dataset:
     @property
     def narrow(self) -> DataFrame:
         """Features and facts per record; texts are reduced before activity is joined."""
-        rows = records(self.documents).select(
+        described = F.transform(
+            F.split("text", "\n", -1), lambda line: F.struct(line.alias("description"))
+        )
+        # The features need the descriptions of the roles and nothing else of them.
+        rows = records(self.documents, described).select(
             "doc_id", "id", "source_order",
             *[c.alias(n) for n, c in text_features(self.settings).items()],
         )
