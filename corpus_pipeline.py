@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import anomalies, circulant, packing, quadratic, suffixes
 from plumbline.llm.attribution import VOCABULARY
-from plumbline.llm.common import stored, table
+from plumbline.llm.common import map_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,17 +42,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _kept(docs, circulant.near_components(docs).filter("kept"))
 
 
+def _decode():
+    """Whole characters of what is left of each text."""
+
+    def run(batches):
+        for batch in batches:
+            kept = batch.column("kept").to_pylist()
+            texts = [raw.decode("utf-8", "ignore") for raw in kept]
+            yield {"_id": batch.column("doc_id"), "_text": texts}
+
+    return run
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: repeated strings are cut out; documents with nothing left go.
 
     A cut inside a character drops the rest of that character.
     """
     found = suffixes.remove_repeats(docs).filter("size(removed) > 0 AND doc_id IS NOT NULL")
-    cut = found.select(
-        F.col("doc_id").alias("_id"),
-        F.expr("replace(decode(kept, 'utf-8'), '\ufffd', '')").alias("_text"),
-    )
-    changed = stored(cut)
+    changed = stored(map_batches(found.select("doc_id", "kept"), _decode, "_id bigint, _text string"))
     joined = docs.select(*COLUMNS).join(changed, F.col("doc_id") == F.col("_id"), "left")
     text = F.when(F.col("_id").isNotNull(), F.col("_text")).otherwise(F.col("text"))
     size = F.when(F.col("_id").isNotNull(), F.length("_text")).otherwise(F.col("n_chars"))
