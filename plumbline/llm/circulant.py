@@ -12,9 +12,10 @@ component:
 
 1. every member of a bucket against the bucket's first member;
 2. in buckets that still hold several components, every member against its most alike
-   member (by the signatures' bytes) of each other component, until a round links nothing;
+   member (by the signatures' bytes) of another component, until a round links nothing or
+   BEST_ROUNDS are over;
 3. all pairs of different components in a bucket whose signatures agree in at least
-   LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with probability 1e-10).
+   LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with probability 2e-6).
 
 Pairs inside a component need no look: they change no component. Large buckets are compared
 in blocks of rows. Components are found by contracting the links, in Spark.
@@ -41,8 +42,11 @@ from plumbline.llm.common import map_batches, map_texts, stored, table
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 WIDTH = BANDS * ROWS
-LEAST_ALIKE = 0.55
+#: Coordinates in a signature; the first WIDTH make the bands, a byte of each is compared.
+COORDINATES = 512
+LEAST_ALIKE = 0.66
 BLOCK = 2000
+BEST_ROUNDS = 4
 #: Links of one node that a task confirms at a time.
 SLICE = 64
 #: Bytes whose words are hashed at a time.
@@ -115,9 +119,9 @@ def _mixed(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, WIDTH) coordinates; the sets must not be empty."""
+    """(sets, COORDINATES) coordinates; the sets must not be empty."""
     sizes = np.array([len(s) for s in sets])
-    out = np.empty((len(sets), WIDTH), dtype=np.uint32)
+    out = np.empty((len(sets), COORDINATES), dtype=np.uint32)
     start = 0
     past = np.cumsum(sizes)
     while start < len(sets):  # as many sets as fit in the cache
@@ -127,7 +131,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         places = np.cumsum(sizes[start:stop]) - sizes[start:stop]
         scattered = ((joined * _ODD) >> np.uint64(32)).astype(np.uint32)
         turned, half = np.empty_like(scattered), np.empty_like(scattered)
-        for shift in range(WIDTH):
+        for shift in range(COORDINATES):
             np.add(scattered, np.uint32(shift), out=turned)
             for odd in (0x85EBCA6B, 0xC2B2AE35):
                 np.right_shift(turned, np.uint32(16), out=half)
@@ -140,7 +144,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(coordinates: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(coordinates), BANDS), dtype=np.uint64)
-    grouped = coordinates.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    grouped = coordinates[:, :WIDTH].reshape(-1, BANDS, ROWS).astype(np.uint64)
     for row in range(ROWS):
         keys = (keys ^ grouped[:, :, row]) * _ODD
         keys ^= keys >> np.uint64(29)
@@ -216,8 +220,8 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 def alike_links(opened: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
     """(a, b): pairs of different components in a bucket whose signatures are alike.
 
-    ``best_only``: for each member and other component the most alike pair only. A bucket of
-    n blocks is n * (n + 1) / 2 groups of two blocks.
+    ``best_only``: for each member the most alike one only. A pair is taken from the first
+    bucket that it shares. A bucket of n blocks is n * (n + 1) / 2 groups of two blocks.
     """
     counts = opened.groupBy("band").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")
@@ -225,7 +229,7 @@ def alike_links(opened: DataFrame, nodes: DataFrame, best_only: bool) -> DataFra
     facts = opened.join(nodes.select("node", "n_shingles", "bytes"), "node").join(counts, "band")
     block = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
     dealt = facts.withColumn("own", block).select(
-        "band", "node", "part", "n_shingles", "bytes", "own",
+        "band", "slot", "node", "part", "n_shingles", "bytes", "own",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
     dealt = dealt.select(
@@ -240,16 +244,18 @@ def alike_links(opened: DataFrame, nodes: DataFrame, best_only: bool) -> DataFra
                 i, j, own = group["i"][0], group["j"][0], group["own"]
                 facts = [group[n] for n in ("node", "part", "n_shingles")]
                 signs = np.frombuffer(b"".join(group["bytes"]), dtype=np.uint8)
-                facts.append(signs.reshape(-1, WIDTH))
+                facts.append(signs.reshape(-1, COORDINATES))
                 left, right = ([fact[own == k] for fact in facts] for k in (i, j))
-                pairs = list(_alike(left, right, best_only))
+                pairs = list(_alike(left, right, int(group["slot"][0]), best_only))
                 if pairs:
                     both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
                     yield {"a": both[:, 0], "b": both[:, 1]}
 
         return run
 
-    columns = ordered.select("band", "i", "j", "own", "node", "part", "n_shingles", "bytes")
+    columns = ordered.select(
+        "band", "i", "j", "slot", "own", "node", "part", "n_shingles", "bytes"
+    )
     return map_batches(columns, make, "a bigint, b bigint").distinct()
 
 
@@ -278,7 +284,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield {n: np.concatenate([part[n] for part in held]) for n in held[0]}
 
 
-def _alike(left: list, right: list, best_only: bool) -> Iterator[np.ndarray]:
+def _alike(left: list, right: list, slot: int, best_only: bool) -> Iterator[np.ndarray]:
     (node, part, size, sign), (node2, part2, size2, sign2) = left, right
     for k in range(len(node)):
         fits = np.flatnonzero(
@@ -287,12 +293,14 @@ def _alike(left: list, right: list, best_only: bool) -> Iterator[np.ndarray]:
         )
         if not len(fits):
             continue
-        agree = (sign2[fits] == sign[k]).sum(1)
-        near = agree >= LEAST_ALIKE * WIDTH
-        fits, agree = fits[near], agree[near]
+        same = sign2[fits] == sign[k]
+        agree = same.sum(1)
+        near = agree >= LEAST_ALIKE * COORDINATES
+        fits, agree, same = fits[near], agree[near], same[near]
+        first = same[:, :WIDTH].reshape(-1, BANDS, ROWS).all(2).argmax(1) == slot
+        fits, agree = fits[first], agree[first]
         if best_only and len(fits):
-            fits = fits[np.lexsort((node2[fits], -agree, part2[fits]))]
-            fits = fits[np.append(True, part2[fits[1:]] != part2[fits[:-1]])]
+            fits = fits[np.lexsort((node2[fits], -agree))[:1]]
         if len(fits):
             yield np.stack([np.full(len(fits), node[k]), node2[fits]], axis=1)
 
@@ -316,9 +324,9 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             for batch in batches:
                 left, right = (
                     np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.uint8)
-                    .reshape(-1, WIDTH) for n in ("a_bytes", "b_bytes")
+                    .reshape(-1, COORDINATES) for n in ("a_bytes", "b_bytes")
                 )
-                near = (left == right).sum(1) >= LEAST_ALIKE * WIDTH
+                near = (left == right).sum(1) >= LEAST_ALIKE * COORDINATES
                 yield {n: batch.column(n).to_numpy()[near] for n in ("a", "b")}
 
         return run
@@ -442,24 +450,26 @@ def near_components(docs: DataFrame) -> DataFrame:
             F.first("bands").alias("bands"), F.first("bytes").alias("bytes"),
         )
     )
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    members = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(members.join(shared.select("band"), "band"))
     tested = stored(first_links(members))
     labels = contract(confirm(tested, nodes, docs))
     opened = stored(open_members(members, labels))
-    for best_only in (True, True, False):
-        if opened.isEmpty():
-            break
-        pairs = alike_links(opened, nodes, best_only).select(
+    left = BEST_ROUNDS
+    while left >= 0 and not opened.isEmpty():
+        pairs = alike_links(opened, nodes, best_only=left > 0).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         )
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         found = stored(confirm(pairs, nodes, docs))
         tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            labels = contract(found, labels)
-            opened = stored(open_members(members, labels))
+        if found.isEmpty():
+            left = 0 if left > 0 else -1
+            continue
+        labels = contract(found, labels)
+        opened = stored(open_members(members, labels))
+        left -= 1
     placed = with_label(rows.select("doc_id", "n_shingles", "node"), "node", labels, "label")
     smallest = placed.groupBy("label").agg(F.min("doc_id").alias("smallest"))
     found = placed.join(smallest.filter("label IS NOT NULL"), "label", "left")

@@ -167,16 +167,38 @@ def sample_suffixes(docs: DataFrame) -> DataFrame:
                 out["doc"].append(keys[number[at]])
                 own = place - start[at] + offset[at]
                 out["place"].append((own << 14) | (late << 7) | early)
-            return {
-                name: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-                for name, parts in out.items()
-            }
+            return _settle_here(
+                **{
+                    name: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+                    for name, parts in out.items()
+                }
+            )
 
         return run
 
     return map_texts(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), make, SAMPLES)
 
 
+def _settle_here(prefix, rank, doc, place) -> dict[str, np.ndarray]:
+    """Combines before the shuffle: of samples that tie here, all but the first are settled.
+
+    A settled one has its place inverted (negative) and a bucket by its place, so that a
+    common passage sends one row per call to its bucket.
+    """
+    order = np.lexsort((place, doc, rank, prefix))
+    prefix, rank, doc, place = prefix[order], rank[order], doc[order], place[order]
+    tied = np.zeros(len(order), dtype=bool)
+    tied[1:] = (prefix[1:] == prefix[:-1]) & (rank[1:] == rank[:-1])
+    lead = np.maximum.accumulate(np.where(tied, 0, np.arange(len(order))))
+    repeated = tied & (doc == doc[lead]) & (place == place[lead])  # of a repeated row
+    spread = (doc.astype(np.uint64) * _BASE + place.astype(np.uint64)) * _BASE
+    out = {
+        "prefix": np.where(tied, spread.view(np.int64), prefix),
+        "rank": np.where(tied, 0, rank), "doc": doc, "place": np.where(tied, ~place, place),
+    }
+    return {name: column[~repeated] for name, column in out.items()}
+
+
 def settle_buckets(samples: DataFrame) -> DataFrame:
     """Runs of strings to remove (first and last start), and samples that must be opened.
 
@@ -192,7 +214,18 @@ def settle_buckets(samples: DataFrame) -> DataFrame:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                prefix, rank, doc, place = (batch.column(i).to_numpy() for i in range(4))
+                columns = [batch.column(i).to_numpy() for i in range(4)]
+                done = columns[3] < 0
+                if done.any():
+                    own = ~columns[3][done]
+                    yield {
+                        "doc": columns[2][done], "first": (own >> 14) - (own & 127),
+                        "last": (own >> 14) - (own >> 7 & 127),
+                        "prefix": np.zeros(len(own), np.int64), "opened": np.zeros(len(own), bool),
+                    }
+                prefix, rank, doc, place = (column[~done] for column in columns)
+                if not len(prefix):
+                    continue
                 same = np.zeros(len(prefix), dtype=bool)
                 same[1:] = prefix[1:] == prefix[:-1]
                 tied = same.copy()
