@@ -15,7 +15,7 @@ component:
    member (by the signatures' bytes) of another component, until a round links nothing or
    BEST_ROUNDS are over;
 3. all pairs of different components in a bucket whose signatures agree in at least
-   LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with probability 2e-6).
+   LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with probability 2e-5).
 
 Pairs inside a component need no look: they change no component. Large buckets are compared
 in blocks of rows. Components are found by contracting the links, in Spark.
@@ -44,9 +44,9 @@ BANDS, ROWS = 40, 4
 WIDTH = BANDS * ROWS
 #: Coordinates in a signature; the first WIDTH make the bands, a byte of each is compared.
 COORDINATES = 512
-LEAST_ALIKE = 0.66
+LEAST_ALIKE = 0.67
 BLOCK = 2000
-BEST_ROUNDS = 4
+BEST_ROUNDS = 2
 #: Links of one node that a task confirms at a time.
 SLICE = 64
 #: Bytes whose words are hashed at a time.
@@ -305,11 +305,31 @@ def _alike(left: list, right: list, slot: int, best_only: bool) -> Iterator[np.n
             yield np.stack([np.full(len(fits), node[k]), node2[fits]], axis=1)
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles): the full sets of the given (node, holder), from the texts again."""
+    holders = nodes.select("node", F.col("holder").alias("_holder"))
+    texts = docs.select("doc_id", "text").join(
+        holders, F.col("doc_id").eqNullSafe(F.col("_holder"))
+    )
+
+    def sets():
+        def run(keys, values):
+            found = shingle_sets(values)
+            # Of rows that share a doc_id, the one that is the node's.
+            own = [i for i, s in enumerate(found) if len(s) and set_node(s) == keys[i]]
+            return {"node": [keys[i] for i in own],
+                    "shingles": [found[i].tobytes() for i in own]}
+
+        return run
+
+    found = map_texts(texts, sets, "node bigint, shingles binary", key="node")
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
-    Sets are derived again from the texts of the nodes in question. The sets of the ``b``
-    side meet their ``a`` in slices of at most about SLICE links.
+    The sets of the ``b`` side meet their ``a`` in slices of at most about SLICE links.
     """
     size = nodes.select("node", "n_shingles", "bytes")
     a, b = (size.select(*[F.col(c).alias(f"{x}_{c}") for c in size.columns]) for x in "ab")
@@ -332,35 +352,18 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         return run
 
     wanted = stored(map_batches(facts, likely, "a bigint, b bigint"))
-    asked = wanted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    holders = nodes.join(asked, "node").select("node", F.col("holder").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(holders, "doc_id").select("node", "text")
-
-    def sets():
-        def run(keys, values):
-            found = shingle_sets(values)
-            # Of rows that share a doc_id, the one that is the node's.
-            own = [i for i, s in enumerate(found) if len(s) and set_node(s) == keys[i]]
-            return {"node": [keys[i] for i in own],
-                    "shingles": [found[i].tobytes() for i in own]}
-
-        return run
-
-    known = stored(
-        map_texts(texts, sets, "node bigint, shingles binary", key="node")
-    ).dropDuplicates(["node"])
     counts = wanted.groupBy("a").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("slices")
     )
     dealt = wanted.join(counts, "a").select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice")
     )
-    right = dealt.join(known, F.col("b") == F.col("node")).select(
+    right = dealt.join(sets, F.col("b") == F.col("node")).select(
         "a", "slice", F.col("b").alias("other"), "shingles"
     )
     left = (
         counts.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        .join(known, F.col("a") == F.col("node"))
+        .join(sets, F.col("a") == F.col("node"))
         .select("a", "slice", F.lit(None).cast("bigint").alias("other"), "shingles")
     )
     ordered = (
@@ -453,8 +456,10 @@ def near_components(docs: DataFrame) -> DataFrame:
     members = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(members.join(shared.select("band"), "band"))
+    meeting = nodes.select("node", "holder").join(members.select("node").distinct(), "node")
+    sets = stored(node_sets(docs, meeting))
     tested = stored(first_links(members))
-    labels = contract(confirm(tested, nodes, docs))
+    labels = contract(confirm(tested, nodes, sets))
     opened = stored(open_members(members, labels))
     left = BEST_ROUNDS
     while left >= 0 and not opened.isEmpty():
@@ -462,7 +467,7 @@ def near_components(docs: DataFrame) -> DataFrame:
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         )
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = stored(confirm(pairs, nodes, docs))
+        found = stored(confirm(pairs, nodes, sets))
         tested = tested.unionByName(pairs)
         if found.isEmpty():
             left = 0 if left > 0 else -1
