@@ -226,7 +226,7 @@ class VectorSettings:
     passage_prefix: str = ""
     query_prefix: str = "Represent this sentence for searching relevant passages: "
     # Encoder window in characters; None keeps the whole text.
-    text_chars: int | None = 4000
+    text_chars: int | None = None
 
 
 @dataclass(frozen=True)
@@ -269,7 +269,7 @@ class ScoreSettings:
     home_country: str = "india"
     away_score: float = 0.85
     # Characters of career text searched for evidence; None searches all of it.
-    text_chars: int | None = 4000
+    text_chars: int | None = None
 
     def with_floor(self, floor: float) -> ScoreSettings:
         return replace(self, availability_floor=floor)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,47 +44,50 @@ def renormalize(weights: Mapping[str, float]) -> dict[str, float]:
 
 
 def set_weight(weights: Mapping[str, float], term: str, value: float) -> dict[str, float]:
-    """One weight fixed, the other six keep their ratios and fill up to one."""
-    rest = {t: weights[t] for t in TERMS if t != term}
-    room = max(0.0, 1.0 - value)
-    mass = ordered_sum(rest.values())
-    share = {
-        t: (w / mass * room if mass > 0 else room / len(rest)) for t, w in rest.items()
-    }
-    return renormalize({**share, term: value})
+    """All weights with ``term`` at ``value`` (one at most) of a sum of one.
+
+    The others divide the remainder in proportion, or evenly where they are all zero.
+    """
+    target = value / max(value, 1.0)
+    held = ordered_sum(weights[t] for t in TERMS if t != term)
+    portions = {t: weights[t] / held if held > 0 else 1 / (len(TERMS) - 1) for t in TERMS}
+    return {t: target if t == term else (1 - target) * portions[t] for t in TERMS}
 
 
 def floor_grid(base: ScoreSettings) -> list[Config]:
     return [Config("floor", f"{f:.2f}", dict(base.weights), f) for f in FLOORS]
 
 
+def _weight_grid(
+    family: str, base: ScoreSettings, points: Iterable[tuple[str, float, str]]
+) -> list[Config]:
+    """A configuration for every (term, value, label)."""
+    return [
+        Config(family, label, set_weight(base.weights, term, value), base.availability_floor)
+        for term, value, label in points
+    ]
+
+
 def coordinate_grid(base: ScoreSettings) -> list[Config]:
-    grid = []
-    for term in TERMS:
-        values = {round(max(0.0, base.weights[term] + step), 3) for step in COORDINATE_STEPS}
-        for value in sorted(values):
-            grid.append(
-                Config("weight", f"{term}={value:.3f}", set_weight(base.weights, term, value),
-                       base.availability_floor)
-            )
-    return grid
+    steps = {
+        (term, round(max(0.0, base.weights[term] + step), 3))
+        for term, step in product(TERMS, COORDINATE_STEPS)
+    }
+    ordered = sorted(steps, key=lambda point: (TERMS.index(point[0]), point[1]))
+    return _weight_grid("weight", base, ((t, v, f"{t}={v:.3f}") for t, v in ordered))
 
 
 def stability_grid(base: ScoreSettings) -> list[Config]:
-    grid = []
-    for term in TERMS:
-        for step in STABILITY_STEPS:
-            value = max(0.0, base.weights[term] * (1 + step))
-            grid.append(
-                Config("stability", f"{term}{step:+.0%}", set_weight(base.weights, term, value),
-                       base.availability_floor)
-            )
-    for step in STABILITY_STEPS:
-        grid.append(
-            Config("stability", f"floor{step:+.0%}", dict(base.weights),
-                   base.availability_floor * (1 + step))
-        )
-    return grid
+    scaled = (
+        (term, base.weights[term] * (1 + step), f"{term}{step:+.0%}")
+        for term, step in product(TERMS, STABILITY_STEPS)
+    )
+    floors = [
+        Config("stability", f"floor{step:+.0%}", dict(base.weights),
+               base.availability_floor * (1 + step))
+        for step in STABILITY_STEPS
+    ]
+    return _weight_grid("stability", base, scaled) + floors
 
 
 def ablation_grid(base: ScoreSettings) -> list[Config]:

@@ -253,16 +253,8 @@ class Dataset:
 
     @property
     def documents(self) -> DataFrame:
-        """The documents, spread over the cores when there are fewer files than cores.
-
-        A file may hold one row group, which is one task whatever its size. A table of
-        many files is already split and is read as it is.
-        """
-        rows = self.table("documents")
-        cores = self.spark.sparkContext.defaultParallelism
-        if len(rows.inputFiles()) >= cores:
-            return rows
-        return rows.repartition(cores, "doc_id")
+        """The documents as their files are split."""
+        return self.table("documents")
 
     @property
     def pool(self) -> DataFrame:

@@ -115,7 +115,7 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a flag object keyed by id; the keys count, the values do not.
+    """Ids of objects keyed by id, one for a file or one for a line; the values do not count.
 
     A missing file or another kind of JSON gives no ids.
     """
@@ -126,12 +126,22 @@ def read_flags(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() == "PATH_NOT_FOUND":
             return empty
         raise
-    keyed = F.map_keys(F.from_json(strip(F.col("value")), "map<string,variant>"))
+    kind = "map<string,variant>"
+    rows = F.split(strip(F.col("value")), "\n")
+    by_line = F.flatten(
+        F.transform(rows, lambda row: F.coalesce(
+            F.map_keys(F.from_json(row, kind)), F.array().cast("array<string>")))
+    )
+    whole = F.map_keys(F.from_json(strip(F.col("value")), kind))
+    # A file of lines has an object in its first line; another holds one object.
+    is_lines = F.from_json(F.get(rows, F.lit(0)), kind).isNotNull()
     return text.filter(strip(F.col("value")).startswith("{")).select(
-        F.explode(keyed).alias("id")
+        F.explode(F.when(is_lines, by_line).otherwise(whole)).alias("id")
     ).distinct()
 
 
 def write_flags(flags: DataFrame, path: str) -> None:
-    """Flag records (id, reasons) in id order, one JSON object per line."""
-    flags.withColumn("honeypot", F.lit(True)).orderBy("id").write.mode("overwrite").json(path)
+    """Flag records (id, reasons) in id order, one object keyed by id per line."""
+    record = F.struct(F.lit(True).alias("honeypot"), F.col("reasons"))
+    line = F.to_json(F.create_map(F.col("id"), record)).alias("value")
+    flags.orderBy("id").select(line).write.mode("overwrite").text(path)

@@ -165,20 +165,18 @@ def read_output(spark: SparkSession, path: str) -> DataFrame:
 def header_violations(spark: SparkSession, path: str) -> DataFrame:
     """A header other than the expected one, or rows with another number of columns."""
     expected = ",".join(OUTPUT_COLUMNS)
-    table = spark.read.csv(path, header=False, multiLine=True, escape='"')
     first = lines(spark, path).orderBy("source_order").limit(1)
     head = first.filter(F.col("value") != expected).select(
         F.lit("header").alias("check"), F.lit("1").alias("row"), F.col("value").alias("detail")
     )
-    width = len(table.columns)
-    if width == len(OUTPUT_COLUMNS):
-        # A short row reads as nulls at its end; an empty last field reads as '' here.
-        filled = spark.read.csv(path, header=False, multiLine=True, escape='"', nullValue="\0",
-                                emptyValue="")
-        short = filled.filter(F.col(f"_c{width - 1}").isNull())
-    else:
-        short = table
-    wrong = short.select(
+    # A short row reads as nulls at its end, an empty last field as ''; the spare column
+    # gets the first field too many.
+    width = len(OUTPUT_COLUMNS)
+    schema = ", ".join(f"_c{i} string" for i in range(width + 1))
+    rows = spark.read.csv(path, schema=schema, header=False, multiLine=True, escape='"',
+                          nullValue="\0", emptyValue="")
+    uneven = F.col(f"_c{width - 1}").isNull() | F.col(f"_c{width}").isNotNull()
+    wrong = rows.filter(uneven).select(
         F.lit("column_count").alias("check"), F.col("_c0").alias("row"),
         F.lit(str(width)).alias("detail"),
     )

@@ -145,8 +145,8 @@ def test_rubric_summary():
          "seniority_band": {"min_years": 5, "max_years": 9.5, "notes": "soft"}}
     )
     assert text.splitlines() == [
-        "Fitting role archetypes: a, b", "Must-have evidence to look for in the career history:",
-        "  - m", "Seniority band: 5-9.5 years total experience — soft"]
+        "Roles that fit: a; b.", "Evidence to look for in the roles: m.",
+        "Years of experience: from 5 to 9.5.", "On experience: soft"]
 
 
 def test_reference_build(spark):

@@ -82,6 +82,10 @@ def test_flags(spark, tmp_path):
     path = write(tmp_path / "flags.json", json.dumps(
         {"b": {"honeypot": True, "reasons": ["x"]}, "a": {"honeypot": False}}, indent=1))
     assert sorted(r.id for r in jsonl.read_flags(spark, path).collect()) == ["a", "b"]
+    table = spark.createDataFrame([("z", ["x", "y"]), ("y", [])], "id string, reasons array<string>")
+    jsonl.write_flags(table, str(tmp_path / "written"))
+    back = jsonl.read_flags(spark, str(tmp_path / "written"))
+    assert sorted(r.id for r in back.collect()) == ["y", "z"]
     assert jsonl.read_flags(spark, str(tmp_path / "none")).count() == 0
     assert jsonl.read_flags(spark, write(tmp_path / "list.json", '["a"]')).count() == 0
 
@@ -154,6 +158,9 @@ def test_output_file_checks(spark, tmp_path):
     bad = write(tmp_path / "bad.csv", "id,score,rank,reasoning", "AB_0000001,1")
     kinds = {r["check"] for r in tables.header_violations(spark, bad).collect()}
     assert kinds == {"header", "column_count"}
+    long = write(tmp_path / "long.csv", "id,rank,score,reasoning", "AB_0000001,1,0.9,a,b")
+    assert [(r["check"], r["row"]) for r in tables.header_violations(spark, long).collect()] == [
+        ("column_count", "AB_0000001")]
     flawed = write(tmp_path / "flawed.csv", "id,rank,score,reasoning", "AB_0000002,1,0.5,x",
                    "AB_0000001,2,0.5,x", "ab_1,03,nan?,x", "AB_0000001,9,0.7,x")
     found = {r["check"] for r in checks.output_violations(
