@@ -199,14 +199,15 @@ def test_top_k(spark):
     rows += [(500, None), (501, [float("nan")] * 8), (502, [None] * 8), (550, [1.0, 2.0])]
     vectors = topk.quantised(
         spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
-    found = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), pivots=8, data_slice=50,
-                       query_slice=3).collect()
+    queries = vectors.filter("vec_id % 50 = 0")
+    found = topk.top_k(vectors, queries, pivots=8, data_slice=50, query_slice=3).collect()
+    whole_cell = topk.top_k(vectors, queries, pivots=1).collect()  # with the query itself
     whole = {i: np.floor(256 * np.array(v)) for i, v in rows[:420]}
     want = set()
     for q in range(0, 420, 50):
         best = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
         want |= {(q, place + 1, i, -s) for place, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in found} == want
+    assert {tuple(r) for r in found} == {tuple(r) for r in whole_cell} == want
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
