@@ -87,10 +87,16 @@ def pending(data):
 
 @query(
     "j7_not_in_pool",
-    S.using("SELECT id FROM signals WHERE id NOT IN (SELECT id FROM vecs)", "signals", "vecs"),
+    S.using(
+        f"""SELECT id FROM (SELECT DISTINCT {S.number('o_custkey')} AS id FROM orders)
+        WHERE id NOT IN (SELECT id FROM pool)""",
+        "pool",
+    ),
 )
 def not_found(data):
-    return lost_ids(data.signals, data.vectors)
+    """The customers of the orders as requested ids."""
+    requested = data.table("orders").select(record_id(F.col("o_custkey")).alias("id"))
+    return lost_ids(requested.distinct(), data.texts_pool.select("id"))
 
 
 @query("j8_judged", S.using("SELECT id, rank, tier::BIGINT AS tier FROM judged", "judged"))
@@ -134,16 +140,17 @@ def flagged_outside(data):
 @query(
     "j11_aligned",
     S.using(
-        """SELECT (SELECT count(*) FROM vecs) AS n_ids, (SELECT count(id) FROM vecs) AS n_keyed,
+        """SELECT *, n_ids = n_vectors AND n_ids = n_matched AND n_keyed = n_ids
+          AND n_filled = n_vectors AS aligned
+        FROM (SELECT (SELECT count(*) FROM pool) AS n_ids, (SELECT count(id) FROM pool) AS n_keyed,
         (SELECT count(*) FROM embeddings) AS n_vectors,
         (SELECT count(embedding) FROM embeddings) AS n_filled,
-        (SELECT count(*) FROM vecs WHERE id IN (SELECT id FROM vecs)) AS n_matched,
-        true AS aligned""",
-        "vecs",
+        (SELECT count(*) FROM pool WHERE id IN (SELECT id FROM vecs)) AS n_matched)""",
+        "pool", "vecs",
     ),
 )
 def aligned(data):
-    return mb.aligned(data.vectors.select("id"), data.vectors)
+    return mb.aligned(data.texts_pool.select("id"), data.vectors)
 
 
 @query(

@@ -11,6 +11,7 @@ from plumbline.config import FilterSettings, IntegritySettings
 from plumbline.functions.integrity import integrity_reasons
 from plumbline.functions.scalar import filter_branch, is_target_title, passes_filter
 from plumbline.operators.membership import with_similarity
+from plumbline.operators.ordering import last_per_key
 
 # Thresholds 0.500, 0.525, ... 0.850 of the scan.
 SCAN_GRID: tuple[float, ...] = tuple(round(0.5 + 0.025 * i, 3) for i in range(15))
@@ -56,13 +57,18 @@ def threshold_scan(
 
 
 def integrity_flags(pool: DataFrame, settings: IntegritySettings) -> DataFrame:
-    """(id, reasons) of the contradictory records; records without an id are dropped."""
+    """(id, reasons) of the contradictory records; records without an id are dropped.
+
+    Of several contradictory records with one id the last one in source order counts.
+    """
     reasons = integrity_reasons(
         F.col("skills"), F.col("career_history"), F.col("profile.years_of_experience"), settings
     )
     # The row stamp keeps the filter above the projection: pushed below, it would
     # evaluate all rules a second time.
     judged = pool.filter(F.col("id").isNotNull()).select(
-        "id", reasons.alias("reasons"), F.monotonically_increasing_id().alias("_row")
+        "id", reasons.alias("reasons"), "source_order",
+        F.monotonically_increasing_id().alias("_row"),
     )
-    return judged.filter((F.size("reasons") > 0) & (F.col("_row") >= 0)).drop("_row")
+    found = judged.filter((F.size("reasons") > 0) & (F.col("_row") >= 0)).drop("_row")
+    return last_per_key(found, "id", F.col("source_order")).drop("source_order")

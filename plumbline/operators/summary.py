@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import strip
-from plumbline.operators.membership import exclude, restrict
+from plumbline.operators.membership import exclude
 
 BAR_UNITS = 40
 
@@ -62,10 +62,6 @@ def scan_counts(pool: DataFrame, flags: DataFrame) -> DataFrame:
     return pool.agg(F.count(F.lit(1)).alias("total")).withColumn("flagged", flagged)
 
 
-def flags_in_shortlist(flags: DataFrame, shortlist: DataFrame) -> DataFrame:
-    return restrict(flags, shortlist).select("id")
-
-
 def top_summary(top: DataFrame) -> DataFrame:
     return top.agg(
         F.count(F.lit(1)).alias("n"),

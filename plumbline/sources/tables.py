@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,13 +211,3 @@ def coverage_gaps(tables: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
         for name, table in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.text(path).schema
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True

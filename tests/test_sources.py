@@ -48,6 +48,12 @@ def test_records(spark, tmp_path):
     assert narrow.is_target is False and narrow.lexical_evidence == 0.25
     flags = integrity_flags(kept, DEFAULTS.integrity).collect()
     assert [(f.id, f.reasons) for f in flags] == [("CAND_0000001", ["expert_zero_duration"])]
+    later = json.loads(good)
+    later["career_history"][0]["duration_months"] = -1
+    path = write(tmp_path / "twice.jsonl", good, json.dumps(later))
+    twice = jsonl.read_records(spark, path, True, "candidate_id", "behaviour")
+    (last,) = integrity_flags(twice, DEFAULTS.integrity).collect()
+    assert set(last.reasons) == {"expert_zero_duration", "impossible_timeline"}
 
 
 def test_signal_log(spark, tmp_path):
