@@ -163,12 +163,25 @@ class Codec:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+#: The codec of this worker process by the vocabulary's digest; it stays warm between tasks.
+_CODECS: dict[str, Codec] = {}
+
+
+def _worker_codec(digest: str, shared) -> Codec:
+    if digest not in _CODECS:
+        _CODECS.clear()
+        _CODECS[digest] = Codec(shared.value)
+    return _CODECS[digest]
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash.build(read_ranks(path)))
+    ranks = read_ranks(path)
+    digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash.build(ranks))
 
     def make():
-        codec = Codec(shared.value)
+        codec = _worker_codec(digest, shared)
 
         def run(keys, texts):
             ids = list(map(codec.encode, texts))
