@@ -18,6 +18,7 @@ from plumbline.plans.jobs import (
     calibration,
     evaluation,
     full_ranking,
+    judged_ranking,
     ranked_top,
     shortlist,
     sweep_features,
@@ -36,8 +37,9 @@ _PLACED = """SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS p
 
 
 def _judged_queries(data):
-    """Judged rows of every query's full ranking (one sort for all queries)."""
-    scores = sim.score_queries(data.vectors, sim.centroids(data.vectors, "label"))
+    """Judged rows of every query in the order of its ranking; no other row is scored."""
+    judged = restrict(data.vectors, data.gold)
+    scores = sim.score_queries(judged, sim.centroids(data.vectors, "label"))
     order = [F.col("cosine").desc(), F.col("id").asc()]
     return metrics.judge(positions(scores, order, ["query"]), data.gold)
 
@@ -175,7 +177,7 @@ _SIX_METRICS = ", ".join(f"{S.six(n)} AS {n}" for n in METRIC_NAMES)
     S.using(f"SELECT {_SIX_METRICS} FROM q", "judged", q=quality_sql("judged")),
 )
 def composite(data):
-    judged = metrics.judge(full_ranking(data), data.gold).withColumn("query", F.lit(0))
+    judged = judged_ranking(data).withColumn("query", F.lit(0))
     rows = metrics.quality(judged.select("query", "id", "rank", "tier"), ["query"], METRIC)
     return rows.select(*[six(n).alias(n) for n in METRIC_NAMES])
 
@@ -388,7 +390,7 @@ def tracked(data):
     grid = sweep.floor_grid(BASE)
     ranked = sweep.rank_configs(sweep.rescore(durable(sweep_features(data)), grid))
     buried = sweep.buried(full_ranking(data), data.gold, METRIC)
-    rows = sweep.tracked_ranks(ranked, buried, sweep.config_table(data.spark, grid))
+    rows = sweep.tracked_ranks(ranked, buried, grid)
     return rows.select(big("config_id").alias("config_id"), "id", "rank")
 
 

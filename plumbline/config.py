@@ -289,7 +289,6 @@ class TextSettings:
     leading_terms: int = 3
     long_notice_days: int = 90
     low_availability: float = 0.85
-    evidence_chars: int = 400
     prompt_evidence_chars: int = 240
     similar_at: float = 0.85
 

@@ -14,7 +14,6 @@ from plumbline.config import (
     FLAGS,
     NEUTRAL,
     ROLES,
-    TextSettings,
 )
 from plumbline.functions.scalar import clip01, squeeze, strip
 
@@ -199,11 +198,8 @@ def variant_flags(value: Column) -> Column:
     return clean_flags(texts)
 
 
-def coerce_signal(
-    record: Column, id_field: str = "id", settings: TextSettings | None = None
-) -> dict[str, Column]:
-    """Typed, bounded signal columns of one record; ``id`` is '' when it has none."""
-    settings = settings or TextSettings()
+def coerce_signal(record: Column, id_field: str = "id") -> dict[str, Column]:
+    """Typed signal columns of one record; ``id`` is '' when it has none."""
     return {
         "id": squeeze(field(record, id_field, "string")),
         "role_archetype": variant_word(field(record, "role_archetype"), ROLES, DEFAULT_ROLE),
@@ -215,9 +211,7 @@ def coerce_signal(
             clip01(field(record, "seniority_band_fit", "double")), F.lit(NEUTRAL)
         ),
         "built_ranking_or_search": variant_bool(field(record, "built_ranking_or_search")),
-        "evidence_span": F.substring(
-            squeeze(field(record, "evidence_span", "string")), 1, settings.evidence_chars
-        ),
+        "evidence_span": squeeze(field(record, "evidence_span", "string")),
         "disqualifier_flags": variant_flags(field(record, "disqualifier_flags")),
     }
 

@@ -1,7 +1,7 @@
 """Ranking-quality metrics over judged rows, one result row per query.
 
-``judged`` has the group columns, ``rank`` (position in the full ranking), ``id``
-and ``tier``. Metric positions count judged rows only.
+``judged`` has the group columns, ``rank``, ``id`` and ``tier``. Metric positions count
+judged rows only, so ``rank`` may be the place among all rows or among the judged ones.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from plumbline.config import MetricSettings
 from plumbline.functions.scalar import fixed_value
-from plumbline.operators.ordering import running_totals, top_per_group
+from plumbline.operators.durable import durable
+from plumbline.operators.ordering import positions, running_totals, top_n, top_per_group
 
 CUTS = (10, 50)
+#: Places that the checks of a ranking's head look at.
+HEAD = 100
 
 
 def judge(ranking: DataFrame, gold: DataFrame) -> DataFrame:
@@ -191,23 +194,30 @@ def missing_from(ranking: DataFrame, gold: DataFrame, settings: MetricSettings)
     return lost.select("id", "tier", relevant.alias("relevant"))
 
 
-def report(ranking: DataFrame, gold: DataFrame, settings: MetricSettings) -> DataFrame:
-    """One row of metrics and counts of one ranking.
+def report(
+    scored: DataFrame, gold: DataFrame, settings: MetricSettings, order: Sequence[Column]
+) -> DataFrame:
+    """One row of metrics and counts of the ranking of ``scored`` by ``order``.
 
-    ``ranking`` carries rank, flags, impossible, role_match, availability. The id
+    ``scored`` carries flags, impossible, role_match, availability. Only the judged rows
+    and the head are put in order: metrics count the ones, checks the other. The id
     lists behind the counts are the functions above; they stay tables because their
     length follows the data.
     """
-    tagged = judge(ranking, gold).withColumn("query", F.lit(0))
+    scored = durable(scored)
+    head = durable(top_n(scored, order, max(HEAD, settings.trap_rank)))
+    judged = positions(judge(scored, gold), order)
+    tagged = durable(judged.withColumn("query", F.lit(0)))
     metric_row = quality(tagged, ["query"], settings).drop("query")
     histogram = [
         F.count_if(F.col("tier") == t).alias(f"tier_{t}") for t in range(settings.max_tier + 1)
     ]
-    low = F.col("tier") <= settings.trap_tier
+    traps = traps_in_top(judge(head, gold), settings).agg(
+        F.count(F.lit(1)).alias("traps_in_top_50")
+    )
     judged_row = tagged.agg(
         F.count(F.lit(1)).alias("judged"),
         *histogram,
-        F.count_if(low & (F.col("rank") <= settings.trap_rank)).alias("traps_in_top_50"),
         F.count_if(
             (F.col("tier") >= settings.strong_tier)
             & (F.col("availability") <= settings.inactive_availability)
@@ -215,19 +225,19 @@ def report(ranking: DataFrame, gold: DataFrame, settings: MetricSettings) -> Dat
     )
     flagged = F.size("flags") > 0
     off = F.col("impossible") | (F.col("role_match") <= settings.off_target_role) | flagged
-    ranking_row = ranking.agg(
-        F.count(F.lit(1)).alias("ranked"),
+    ranked = scored.agg(F.count(F.lit(1)).alias("ranked"))
+    head_row = head.agg(
         F.count_if(F.col("impossible") & (F.col("rank") <= 100)).alias("impossible_in_top_100"),
         F.count_if(flagged & (F.col("rank") <= 10)).alias("flagged_in_top_10"),
         F.count_if(flagged & (F.col("rank") <= 50)).alias("flagged_in_top_50"),
         F.count_if(flagged & (F.col("rank") <= 100)).alias("flagged_in_top_100"),
         F.count_if(off & (F.col("rank") <= 50)).alias("off_target_in_top_50"),
     )
-    lost = missing_from(ranking, gold, settings).agg(
+    lost = missing_from(scored, gold, settings).agg(
         F.count(F.lit(1)).alias("missing"), F.count_if("relevant").alias("missing_relevant")
     )
     labelled = gold.agg(F.count(F.lit(1)).alias("labelled"))
-    return one_row(ranking_row, judged_row, lost, labelled, metric_row)
+    return one_row(ranked, head_row, judged_row, traps, lost, labelled, metric_row)
 
 
 def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from plumbline.functions.scoring import (
     contributions,
     final_score,
 )
-from plumbline.operators.metrics import quality
-from plumbline.operators.ordering import positions
+from plumbline.operators.metrics import HEAD, quality
+from plumbline.operators.ordering import positions, top_per_group
 
 # The grids of the four views.
 FLOORS = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
@@ -164,19 +164,25 @@ def rescore(features: DataFrame, grid: Sequence[Config]) -> DataFrame:
     )
 
 
+def _order() -> list[Column]:
+    return [F.col("final").desc(), F.col("id").asc()]
+
+
 def rank_configs(rescored: DataFrame) -> DataFrame:
     """Full ranking per configuration, without one task per configuration."""
-    return positions(rescored, [F.col("final").desc(), F.col("id").asc()], ["config_id"])
+    return positions(rescored, _order(), ["config_id"])
 
 
-def headlines(ranked: DataFrame, settings: MetricSettings) -> DataFrame:
+def headlines(rescored: DataFrame, settings: MetricSettings) -> DataFrame:
     """One row per configuration: metrics of the judged rows and the two top checks.
 
-    ``ranked`` carries ``tier``, null for records without a label.
+    ``rescored`` carries ``tier``, null for records without a label. Only judged rows are
+    put in order; the checks look at the head of each configuration.
     """
-    judged = ranked.filter(F.col("tier").isNotNull())
+    judged = positions(rescored.filter(F.col("tier").isNotNull()), _order(), ["config_id"])
     metrics = quality(judged, ["config_id"], settings)
-    checks = ranked.groupBy("config_id").agg(
+    head = top_per_group(rescored, ["config_id"], _order(), max(HEAD, settings.trap_rank))
+    checks = head.groupBy("config_id").agg(
         F.count_if(F.col("impossible") & (F.col("rank") <= 100)).alias("impossible_in_top_100"),
         F.count_if(
             (F.col("tier") <= settings.trap_tier) & (F.col("rank") <= settings.trap_rank)
@@ -202,13 +208,15 @@ def buried(ranking: DataFrame, gold: DataFrame, settings: MetricSettings) -> Dat
     return placed.filter(F.col("rank").isNull() | (F.col("rank") > settings.buried_rank))
 
 
-def tracked_ranks(ranked: DataFrame, tracked: DataFrame, configs: DataFrame) -> DataFrame:
+def tracked_ranks(
+    ranked: DataFrame, tracked: DataFrame, grid: Sequence[Config]
+) -> DataFrame:
     """(config_id, id, rank) of the tracked ids; -1 where a configuration lost one.
 
     The grid is a fixed handful of rows, so pairing it with the ids is an expansion
     of the ids and not a join of two tables that grow.
     """
-    ids = [F.lit(r.config_id) for r in configs.select("config_id").collect()]
+    ids = [F.lit(i) for i in range(len(grid))]
     wanted = tracked.select("id").distinct().select("id", F.explode(F.array(*ids)).alias(
         "config_id"))
     found = wanted.join(ranked.select("config_id", "id", "rank"), ["config_id", "id"], "left")

@@ -74,9 +74,25 @@ def full_ranking(data: Dataset, ids: DataFrame | None = None) -> DataFrame:
     return positions(scored.drop("source_order"), order_by("raw"))
 
 
+def shortlist_scores(data: Dataset) -> DataFrame:
+    """(id, final, …) of the shortlist: what orders, judges and checks a ranking."""
+    scored = score_survivors(
+        data.narrow, data.similarity, data.signals, data.flagged, data.settings
+    )
+    return scored.select("id", "final", "flags", "impossible", "role_match", "availability")
+
+
+def judged_ranking(data: Dataset) -> DataFrame:
+    """(id, final, tier, rank) of the labelled records of the shortlist, alone in order."""
+    judged = metrics.judge(shortlist_scores(data).select("id", "final"), data.gold)
+    return positions(judged, order_by("raw"))
+
+
 def evaluation(data: Dataset) -> DataFrame:
     """The report row of the full ranking against the gold tiers."""
-    return metrics.report(full_ranking(data), data.gold, data.settings.metric)
+    return metrics.report(
+        shortlist_scores(data), data.gold, data.settings.metric, order_by("raw")
+    )
 
 
 def sweep_features(data: Dataset) -> DataFrame:
@@ -90,10 +106,9 @@ def sweep_features(data: Dataset) -> DataFrame:
 
 
 def calibration(data: Dataset, grid: Sequence[sweep.Config]) -> DataFrame:
-    """One headline row per configuration, all from one scoring and one sort."""
+    """One headline row per configuration, all from one scoring."""
     features = durable(sweep_features(data))
-    ranked = sweep.rank_configs(sweep.rescore(features, grid))
-    rows = sweep.headlines(ranked, data.settings.metric)
+    rows = sweep.headlines(sweep.rescore(features, grid), data.settings.metric)
     names = sweep.config_table(data.spark, grid).select("config_id", "family", "label")
     # The grid is a fixed handful of rows.
     return rows.join(F.broadcast(names), "config_id")
