@@ -144,14 +144,14 @@ def _log_lines(data):
                                        broken.alias("line"))
 
 
-def _typed_signals(data):
+def typed_signals(data):
     lines = _log_lines(data)
     record = F.when(cl.is_json(F.col("line")), F.try_parse_json("line"))
     return lines.withColumn("record", record).filter(cl.is_object(F.col("record")))
 
 
 _CASE_ROLE = " ".join(f"WHEN '{n}' THEN '{clean}'" for n, (_, clean) in _LABELS.items())
-_CLEAN = f"""SELECT event_id, user_id, event_type, 'U' || user_id AS id,
+CLEAN_SIGNALS = f"""SELECT event_id, user_id, event_type, 'U' || user_id AS id,
   CASE event_type {_CASE_ROLE} END AS role,
   {S.clip('value / 50.0::DOUBLE')} AS product, {S.clip('value / 20.0::DOUBLE')} AS seniority,
   event_type = 'view' AS built,
@@ -161,12 +161,12 @@ FROM events WHERE event_type <> 'error'"""
 
 @query(
     "d5_coerce_record",
-    f"""WITH c AS ({_CLEAN}) SELECT event_id, id, role, {S.six('product')} AS product,
+    f"""WITH c AS ({CLEAN_SIGNALS}) SELECT event_id, id, role, {S.six('product')} AS product,
       {S.six('seniority')} AS seniority, built, flags FROM c""",
 )
 def coerced(data):
     typed = cl.coerce_signal(F.col("record"))
-    return _typed_signals(data).select(
+    return typed_signals(data).select(
         "event_id", typed["id"].alias("id"), typed["role_archetype"].alias("role"),
         six(typed["product_vs_services"]).alias("product"),
         six(typed["seniority_band_fit"]).alias("seniority"),
@@ -272,13 +272,13 @@ def rubrics(data):
 
 @query(
     "s9_signal_log",
-    f"""WITH c AS ({_CLEAN}) SELECT id, arg_max(role, event_id) AS role,
+    f"""WITH c AS ({CLEAN_SIGNALS}) SELECT id, arg_max(role, event_id) AS role,
       {S.six('arg_max(product, event_id)')} AS product, arg_max(flags, event_id) AS flags
     FROM c GROUP BY id""",
 )
 def signal_log(data):
     """The last well-formed line of every user's log, coerced."""
-    log = _typed_signals(data).withColumn("source_order", F.col("event_id"))
+    log = typed_signals(data).withColumn("source_order", F.col("event_id"))
     typed = cl.coerce_signal(F.col("record"))
     latest = latest_records(log, typed, F.col("id") != "")
     return latest.select(

@@ -35,9 +35,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("value", strip(F.col("value"))).filter("value <> ''")
 
 
+def not_blank(line: Column) -> Column:
+    return strip(line) != ""
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     """Non-blank lines, without parsing them."""
-    return spark.read.text(path).filter(strip(F.col("value")) != "").count()
+    return spark.read.text(path).filter(not_blank(F.col("value"))).count()
 
 
 def rejects(parsed_lines: DataFrame) -> DataFrame:
@@ -114,6 +118,21 @@ def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def flag_ids(text: Column) -> Column:
+    """The keys of one object, or of one object in each line; [] for another kind of JSON."""
+    kind = "map<string,variant>"
+    none = F.array().cast("array<string>")
+    rows = F.split(strip(text), "\n")
+    by_line = F.flatten(
+        F.transform(rows, lambda row: F.coalesce(F.map_keys(F.from_json(row, kind)), none))
+    )
+    whole = F.coalesce(F.map_keys(F.from_json(strip(text), kind)), none)
+    # Lines have an object in the first of them; another text holds one object.
+    is_lines = F.from_json(F.get(rows, F.lit(0)), kind).isNotNull()
+    keyed = F.when(is_lines, by_line).otherwise(whole)
+    return F.when(strip(text).startswith("{"), keyed).otherwise(none)
+
+
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
     """Ids of objects keyed by id, one for a file or one for a line; the values do not count.
 
@@ -126,18 +145,7 @@ def read_flags(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() == "PATH_NOT_FOUND":
             return empty
         raise
-    kind = "map<string,variant>"
-    rows = F.split(strip(F.col("value")), "\n")
-    by_line = F.flatten(
-        F.transform(rows, lambda row: F.coalesce(
-            F.map_keys(F.from_json(row, kind)), F.array().cast("array<string>")))
-    )
-    whole = F.map_keys(F.from_json(strip(F.col("value")), kind))
-    # A file of lines has an object in its first line; another holds one object.
-    is_lines = F.from_json(F.get(rows, F.lit(0)), kind).isNotNull()
-    return text.filter(strip(F.col("value")).startswith("{")).select(
-        F.explode(F.when(is_lines, by_line).otherwise(whole)).alias("id")
-    ).distinct()
+    return text.select(F.explode(flag_ids(F.col("value"))).alias("id")).distinct()
 
 
 def write_flags(flags: DataFrame, path: str) -> None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import MetricSettings, VectorSettings
@@ -76,15 +77,19 @@ def write_ids(ids: DataFrame, path: str) -> None:
     ids.select("id").orderBy("id").write.mode("overwrite").json(path)
 
 
+def reference_fields(record: Column) -> dict[str, Column]:
+    """Typed columns of a reference record given as a variant; ``ok``: it is an object."""
+    vector = F.try_variant_get(record, "$.reference_embedding", "array<double>")
+    return {
+        "ok": F.coalesce(is_object(record), F.lit(False)), "rubric": typed_rubric(record),
+        "ideal_text": ideal_text(record), "embedding": vector,
+    }
+
+
 def read_reference(spark: SparkSession, path: str) -> DataFrame:
     """The one reference record: (rubric, ideal_text, embedding, embedding_dim)."""
     text = spark.read.text(path, wholetext=True).withColumn("r", F.try_parse_json("value"))
-    record = F.col("r")
-    vector = F.try_variant_get(record, "$.reference_embedding", "array<double>")
-    rows = text.select(
-        is_object(record).alias("ok"), typed_rubric(record).alias("rubric"),
-        ideal_text(record).alias("ideal_text"), vector.alias("embedding"),
-    )
+    rows = text.select(*[c.alias(n) for n, c in reference_fields(F.col("r")).items()])
     checked = rows.limit(2).collect()
     if len(checked) != 1 or not checked[0]["ok"]:
         raise ConstraintError(f"{path} is not one JSON object")
@@ -122,22 +127,35 @@ def read_gold(spark: SparkSession, path: str, settings: MetricSettings,
     for column in (id_field, "tier"):
         if column not in raw.columns:
             raise ConstraintError(f"{path}: missing required column {column}")
+    typed = labelled_rows(raw, id_field)
+    bad = bad_tiers(typed, settings).limit(1).collect()
+    if bad:
+        raise ConstraintError(f"{path}: {bad[0]['id']}: bad tier {bad[0]['tier_text']!r}")
+    return last_labels(typed)
+
+
+def labelled_rows(raw: DataFrame, id_field: str) -> DataFrame:
+    """(id, tier_text, note, _line, tier) of the rows of a gold sheet that have a label."""
     note = strip(F.col("note")) if "note" in raw.columns else F.lit("")
     rows = raw.select(
         strip(F.col(id_field)).alias("id"), strip(F.col("tier")).alias("tier_text"),
         note.alias("note"), "_line",
     ).filter("id <> '' AND tier_text <> ''")
-    typed = rows.withColumn(
-        "tier",
-        F.when(F.col("tier_text").rlike(r"^[+-]?\d+$"), F.col("tier_text").try_cast("int")),
-    )
-    bad = typed.filter(
+    whole = F.col("tier_text").rlike(r"^[+-]?\d+$")
+    return rows.withColumn("tier", F.when(whole, F.col("tier_text").try_cast("int")))
+
+
+def bad_tiers(labelled: DataFrame, settings: MetricSettings) -> DataFrame:
+    """Labels that are no whole number of the scale."""
+    return labelled.filter(
         F.col("tier").isNull() | ~F.col("tier").between(0, settings.max_tier)
-    ).limit(1).collect()
-    if bad:
-        raise ConstraintError(f"{path}: {bad[0]['id']}: bad tier {bad[0]['tier_text']!r}")
-    latest = last_per_key(typed.select("id", "tier", "note", "_line"), "id", F.col("_line"))
-    return latest.drop("_line")
+    )
+
+
+def last_labels(labelled: DataFrame) -> DataFrame:
+    """(id, tier, note): the last label of every id."""
+    rows = labelled.select("id", "tier", "note", "_line")
+    return last_per_key(rows, "id", F.col("_line")).drop("_line")
 
 
 def write_ranked(rows: DataFrame, path: str, top_n: int) -> None:
@@ -168,23 +186,33 @@ def header_violations(spark: SparkSession, path: str) -> DataFrame:
     head = first.filter(F.col("value") != expected).select(
         F.lit("header").alias("check"), F.lit("1").alias("row"), F.col("value").alias("detail")
     )
-    # A short row reads as nulls at its end, an empty last field as ''; the spare column
-    # gets the first field too many.
-    width = len(OUTPUT_COLUMNS)
-    schema = ", ".join(f"_c{i} string" for i in range(width + 1))
-    rows = spark.read.csv(path, schema=schema, header=False, multiLine=True, escape='"',
-                          nullValue="\0", emptyValue="")
-    uneven = F.col(f"_c{width - 1}").isNull() | F.col(f"_c{width}").isNotNull()
-    wrong = rows.filter(uneven).select(
+    rows = spark.read.csv(path, schema=FIELDS, header=False, multiLine=True, **FIELD_OPTIONS)
+    return head.unionByName(uneven_rows(rows))
+
+
+#: The fields of a row; a row with another number of them is kept whole in ``_uneven``.
+FIELDS = ", ".join([f"_c{i} string" for i in range(len(OUTPUT_COLUMNS))] + ["_uneven string"])
+FIELD_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_uneven"}
+
+
+def uneven_rows(rows: DataFrame) -> DataFrame:
+    """The rows of FIELDS that have another number of columns than the output."""
+    # Spark refuses a scan of the kept rows alone (a count, say), so a field is read with them.
+    both = F.concat("_uneven", F.coalesce("_c0", F.lit("")))
+    return rows.filter(F.length(both) > 0).select(
         F.lit("column_count").alias("check"), F.col("_c0").alias("row"),
-        F.lit(str(width)).alias("detail"),
+        F.lit(str(len(OUTPUT_COLUMNS))).alias("detail"),
     )
-    return head.unionByName(wrong)
 
 
 def write_report(row: DataFrame, path: str) -> None:
     """One metrics row as JSON with sorted keys and no clock."""
-    row.select(*sorted(row.columns)).coalesce(1).write.mode("overwrite").json(path)
+    row.coalesce(1).select(report_line(row.columns)).write.mode("overwrite").text(path)
+
+
+def report_line(columns: Sequence[str]) -> Column:
+    """The columns as one JSON object with sorted keys."""
+    return F.to_json(F.struct(*sorted(columns))).alias("value")
 
 
 def write_sheet(sheet: DataFrame, path: str) -> None:

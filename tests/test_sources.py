@@ -167,6 +167,9 @@ def test_output_file_checks(spark, tmp_path):
     long = write(tmp_path / "long.csv", "id,rank,score,reasoning", "AB_0000001,1,0.9,a,b")
     assert [(r["check"], r["row"]) for r in tables.header_violations(spark, long).collect()] == [
         ("column_count", "AB_0000001")]
+    blank = write(tmp_path / "blank.csv", "id,rank,score,reasoning", "AB_0000001,1,0.9,",
+                  'AB_0000002,2,0.9,""', 'AB_0000003,3,0.9,"two', 'lines"')
+    assert tables.header_violations(spark, blank).count() == 0
     flawed = write(tmp_path / "flawed.csv", "id,rank,score,reasoning", "AB_0000002,1,0.5,x",
                    "AB_0000001,2,0.5,x", "ab_1,03,nan?,x", "AB_0000001,9,0.7,x")
     found = {r["check"] for r in checks.output_violations(
