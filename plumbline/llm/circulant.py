@@ -221,15 +221,16 @@ def alike_links(opened: DataFrame, nodes: DataFrame, best_only: bool) -> DataFra
     """(a, b): pairs of different components in a bucket whose signatures are alike.
 
     ``best_only``: for each member the most alike one only. A pair is taken from the first
-    bucket that it shares. A bucket of n blocks is n * (n + 1) / 2 groups of two blocks.
+    bucket that it shares, which whole band keys decide. A bucket of n blocks is
+    n * (n + 1) / 2 groups of two blocks.
     """
     counts = opened.groupBy("band").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")
     )
-    facts = opened.join(nodes.select("node", "n_shingles", "bytes"), "node").join(counts, "band")
+    facts = opened.join(nodes.select("node", "n_shingles", "bytes", "bands"), "node").join(counts, "band")
     block = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
     dealt = facts.withColumn("own", block).select(
-        "band", "slot", "node", "part", "n_shingles", "bytes", "own",
+        "band", "slot", "node", "part", "n_shingles", "bytes", "bands", "own",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
     dealt = dealt.select(
@@ -244,7 +245,7 @@ def alike_links(opened: DataFrame, nodes: DataFrame, best_only: bool) -> DataFra
                 i, j, own = group["i"][0], group["j"][0], group["own"]
                 facts = [group[n] for n in ("node", "part", "n_shingles")]
                 signs = np.frombuffer(b"".join(group["bytes"]), dtype=np.uint8)
-                facts.append(signs.reshape(-1, COORDINATES))
+                facts += [signs.reshape(-1, COORDINATES), np.stack(group["bands"])]
                 left, right = ([fact[own == k] for fact in facts] for k in (i, j))
                 pairs = list(_alike(left, right, int(group["slot"][0]), best_only))
                 if pairs:
@@ -254,7 +255,7 @@ def alike_links(opened: DataFrame, nodes: DataFrame, best_only: bool) -> DataFra
         return run
 
     columns = ordered.select(
-        "band", "i", "j", "slot", "own", "node", "part", "n_shingles", "bytes"
+        "band", "i", "j", "slot", "own", "node", "part", "n_shingles", "bytes", "bands"
     )
     return map_batches(columns, make, "a bigint, b bigint").distinct()
 
@@ -285,7 +286,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 
 def _alike(left: list, right: list, slot: int, best_only: bool) -> Iterator[np.ndarray]:
-    (node, part, size, sign), (node2, part2, size2, sign2) = left, right
+    (node, part, size, sign, bands), (node2, part2, size2, sign2, bands2) = left, right
     for k in range(len(node)):
         fits = np.flatnonzero(
             (part2 != part[k])
@@ -293,11 +294,10 @@ def _alike(left: list, right: list, slot: int, best_only: bool) -> Iterator[np.n
         )
         if not len(fits):
             continue
-        same = sign2[fits] == sign[k]
-        agree = same.sum(1)
+        agree = (sign2[fits] == sign[k]).sum(1)
         near = agree >= LEAST_ALIKE * COORDINATES
-        fits, agree, same = fits[near], agree[near], same[near]
-        first = same[:, :WIDTH].reshape(-1, BANDS, ROWS).all(2).argmax(1) == slot
+        fits, agree = fits[near], agree[near]
+        first = (bands2[fits] == bands[k]).argmax(1) == slot
         fits, agree = fits[first], agree[first]
         if best_only and len(fits):
             fits = fits[np.lexsort((node2[fits], -agree))[:1]]

@@ -187,6 +187,23 @@ def test_near_components(spark, docs, texts):
     assert circulant.near_components(docs.limit(0)).count() == 0
 
 
+def test_alike_pair_whose_bytes_agree_in_a_band_it_does_not_share(spark):
+    """Neither 2 nor 3 is first in the bucket; in band 0 their low bytes agree by chance."""
+    signs = np.zeros((3, circulant.COORDINATES), dtype=np.uint8)
+    signs[0] = 9
+    bands = np.arange(3 * circulant.BANDS, dtype=np.int64).reshape(3, -1)
+    bands[:, 5], bands[1:, 7] = 777, 888
+    rows = [(n + 1, 10, bands[n].tolist(), signs[n].tobytes()) for n in range(3)]
+    nodes = spark.createDataFrame(
+        rows, "node bigint, n_shingles bigint, bands array<bigint>, bytes binary")
+    opened = spark.createDataFrame(
+        [(777, 5, n, n) for n in (1, 2, 3)] + [(888, 7, n, n) for n in (2, 3)],
+        "band bigint, slot int, node bigint, part bigint")
+    for best_only in (True, False):
+        found = circulant.alike_links(opened, nodes, best_only).collect()
+        assert [tuple(r) for r in found] == [(2, 3)]
+
+
 def test_contract(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.label for r in circulant.contract(chain).collect()} == {0}
