@@ -12,34 +12,45 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import anomalies, circulant, packing, quadratic, suffixes
 from plumbline.llm.attribution import VOCABULARY
-from plumbline.llm.common import map_batches, stored, table
+from plumbline.llm.common import fields, map_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MARK = "_mark"
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """Adds MARK, a digest of the text: rows that share a doc_id are judged one by one."""
+    return docs.select(*COLUMNS, F.unhex(F.sha2(F.col("text"), 256)).alias(MARK))
 
 
 def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents whose doc_id has a row in ``decisions``; rows without doc_id match too."""
-    wanted = decisions.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"
-    )
+    """The marked documents that have a row in ``decisions``; repeated rows share a verdict."""
+    wanted = decisions.select(F.col("doc_id").alias("_id"), F.col(MARK).alias("_kept")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(MARK).eqNullSafe(F.col("_kept"))
+    return docs.join(wanted, same, "left_semi").select(*COLUMNS)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents predicted as 0 go."""
-    scored = quadratic.classify(docs, table(spark, sf_dir, "labels"))
+    docs = _marked(docs)
+    scored = quadratic.classify(docs, table(spark, sf_dir, "labels"), (MARK,))
     return _kept(docs, scored.filter("predicted = 1"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail a base rule or are anomalous go."""
-    judged = anomalies.quality_rules(docs, table(spark, sf_dir, "labels"))
+    docs = _marked(docs)
+    judged = anomalies.quality_rules(docs, table(spark, sf_dir, "labels"), (MARK,))
     return _kept(docs, judged.filter("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: the document with the smallest doc_id of each group stays."""
-    return _kept(docs, circulant.near_components(docs).filter("kept"))
+    docs = _marked(docs)
+    return _kept(docs, circulant.near_components(docs, (MARK,)).filter("kept"))
+
+
+CUT = "doc_id bigint, text string, cut boolean, blank boolean"
 
 
 def _decode():
@@ -48,8 +59,8 @@ def _decode():
     def run(batches):
         for batch in batches:
             kept = batch.column("kept").to_pylist()
-            texts = [raw.decode("utf-8", "ignore") for raw in kept]
-            yield {"_id": batch.column("doc_id"), "_text": texts}
+            columns = {name: batch.column(name) for name in batch.schema.names if name != "kept"}
+            yield columns | {"text": [raw.decode("utf-8", "ignore") for raw in kept]}
 
     return run
 
@@ -57,14 +68,19 @@ def _decode():
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: repeated strings are cut out; documents with nothing left go.
 
-    A cut inside a character drops the rest of that character.
+    A cut inside a character drops the rest of that character. The other columns go through
+    the operator with their row, so nothing is joined back.
     """
-    found = suffixes.remove_repeats(docs).filter("size(removed) > 0 AND doc_id IS NOT NULL")
-    changed = stored(map_batches(found.select("doc_id", "kept"), _decode, "_id bigint, _text string"))
-    joined = docs.select(*COLUMNS).join(changed, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_id").isNotNull(), F.col("_text")).otherwise(F.col("text"))
-    size = F.when(F.col("_id").isNotNull(), F.length("_text")).otherwise(F.col("n_chars"))
-    return joined.filter("_id IS NULL OR _text <> ''").select(
+    rest = ("lang", "source", "n_chars")
+    docs = docs.select(*COLUMNS, F.col("text").isNull().alias("blank"))
+    found = suffixes.remove_repeats(docs, ("blank", *rest))
+    decoded = map_batches(
+        found.select("doc_id", "kept", (F.size("removed") > 0).alias("cut"), "blank", *rest),
+        _decode, CUT + fields(found, rest),
+    )
+    text = F.when(~F.col("blank"), F.col("text"))
+    size = F.when(F.col("cut"), F.length("text")).otherwise(F.col("n_chars"))
+    return decoded.filter("NOT cut OR text <> ''").select(
         "doc_id", text.alias("text"), "lang", "source", size.cast("bigint").alias("n_chars")
     )
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_batches, map_texts, stored, table
+from plumbline.llm.common import fields, map_batches, map_texts, stored, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -68,8 +68,8 @@ def rule_counts(text: str) -> tuple[int, ...]:
     )
 
 
-def count_rules(docs: DataFrame) -> DataFrame:
-    """(doc_id, STATISTICS...) of every whole text."""
+def count_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, STATISTICS..., carry...) of every whole text."""
     schema = "doc_id bigint, " + ", ".join(f"{name} bigint" for name in STATISTICS)
 
     def make():
@@ -79,7 +79,7 @@ def count_rules(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, schema)
+    return map_texts(docs, make, schema, carry=carry)
 
 
 def with_features(counted: DataFrame) -> DataFrame:
@@ -200,13 +200,13 @@ def anomaly_scores(forest: list, points: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / expected)
 
 
-def score_rows(rows: DataFrame, forest: list) -> DataFrame:
+def score_rows(rows: DataFrame, forest: list, carry: tuple[str, ...] = ()) -> DataFrame:
     """Adds the score in whole BINS; the forest is bounded by TREES * 2 * SAMPLE nodes."""
     shared = rows.sparkSession.sparkContext.broadcast(forest)
-    names = ["doc_id", *COUNTS, "base_failed"]
+    names = ["doc_id", *COUNTS, "base_failed", *carry]
     schema = (
         "doc_id bigint, " + ", ".join(f"{n} bigint" for n in COUNTS)
-        + ", base_failed boolean, score int"
+        + ", base_failed boolean, score int" + fields(rows, carry)
     )
 
     def make():
@@ -245,14 +245,14 @@ def calibrate(scored: DataFrame, labels: DataFrame, false_rejects: float = FALSE
     return int(np.flatnonzero(fits)[0]) if fits.any() else BINS + 1
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, counts, base_failed, score, kept) of every document."""
-    rows = stored(with_features(count_rules(docs)))
+def quality_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, counts, base_failed, kept, score, carry...) of every document."""
+    rows = stored(with_features(count_rules(docs, carry)))
     forest = grow_forest(rows.filter(~F.col("base_failed")))
-    scored = stored(score_rows(rows, forest))
+    scored = stored(score_rows(rows, forest, carry))
     threshold = calibrate(scored, labels)
     kept = ~F.col("base_failed") & (F.col("score") < threshold)
-    return scored.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "score")
+    return scored.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "score", *carry)
 
 
 def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:

@@ -155,8 +155,8 @@ def set_node(values: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(values.tobytes())).view(np.int64))
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_shingles, bands, bytes) of every document; no node for empty sets."""
+def describe(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node, n_shingles, bands, bytes, carry...) of every document; no node for empty sets."""
     schema = "doc_id bigint, node bigint, n_shingles bigint, bands array<bigint>, bytes binary"
 
     def make():
@@ -175,7 +175,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, schema)
+    return map_texts(docs, make, schema, carry=carry)
 
 
 def first_links(members: DataFrame) -> DataFrame:
@@ -443,10 +443,10 @@ def contract(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return labels
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = stored(describe(docs))
+def near_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, carry...) of every document."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
+    rows = stored(describe(docs, carry))
     nodes = stored(
         rows.filter("node IS NOT NULL").groupBy("node").agg(
             F.min("doc_id").alias("holder"), F.first("n_shingles").alias("n_shingles"),
@@ -475,13 +475,13 @@ def near_components(docs: DataFrame) -> DataFrame:
         labels = contract(found, labels)
         opened = stored(open_members(members, labels))
         left -= 1
-    placed = with_label(rows.select("doc_id", "n_shingles", "node"), "node", labels, "label")
+    placed = with_label(rows.select("doc_id", "n_shingles", "node", *carry), "node", labels, "label")
     smallest = placed.groupBy("label").agg(F.min("doc_id").alias("smallest"))
     found = placed.join(smallest.filter("label IS NOT NULL"), "label", "left")
     component = F.coalesce("smallest", "doc_id")
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), *carry,
     )
 
 

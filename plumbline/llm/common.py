@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.operators.durable import ensure_checkpoint_dir, stored
 
-__all__ = ["ensure_checkpoint_dir", "map_batches", "map_texts", "stored", "table"]
+__all__ = ["ensure_checkpoint_dir", "fields", "map_batches", "map_texts", "stored", "table"]
 
 #: Bytes of text that one call of a batch function gets at most, unless one text is longer.
 SLICE_BYTES = 8 << 20
@@ -39,6 +39,11 @@ def map_batches(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def fields(df: DataFrame, names: tuple[str, ...]) -> str:
+    """What the named columns add to a schema text."""
+    return "".join(f", {name} {df.schema[name].dataType.simpleString()}" for name in names)
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have SLICE_BYTES together, or of one row."""
     sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
@@ -53,9 +58,13 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 
 def map_texts(
-    df: DataFrame, make: Callable, schema: str, text: str = "text", key: str = "doc_id"
+    df: DataFrame, make: Callable, schema: str, text: str = "text", key: str = "doc_id",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Maps (keys, texts) to column dicts; ``make()`` runs once per task; a null text is empty."""
+    """Maps (keys, texts) to column dicts; ``make()`` runs once per task; a null text is empty.
+
+    The columns in ``carry`` go along unchanged; then the function must give a row per text.
+    """
 
     def over() -> Callable:
         function = make()
@@ -64,8 +73,9 @@ def map_texts(
             for batch in batches:
                 for part in slices(batch, text):
                     texts = [value or "" for value in part.column(text).to_pylist()]
-                    yield function(part.column(key).to_pylist(), texts)
+                    found = function(part.column(key).to_pylist(), texts)
+                    yield found | {name: part.column(name) for name in carry}
 
         return run
 
-    return map_batches(df.select(key, text), over, schema)
+    return map_batches(df.select(key, text, *carry), over, schema + fields(df, carry))

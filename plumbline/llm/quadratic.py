@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_batches, map_texts, stored, table
+from plumbline.llm.common import fields, map_batches, map_texts, stored, table
 
 POOLED, DIAGONAL, FLOOR = 0.3, 0.1, 1e-4
 #: Log density differences are divided by this before the logistic; the sign is unchanged.
@@ -57,13 +57,13 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of every whole text."""
+def describe(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, x, carry...): the statistics of every whole text."""
 
     def make():
         return lambda keys, texts: {"doc_id": keys, "x": list(map(statistics, texts))}
 
-    return map_texts(docs, make, "doc_id bigint, x array<double>")
+    return map_texts(docs, make, "doc_id bigint, x array<double>", carry=carry)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,9 +129,10 @@ def log_density_difference(model: list, points: np.ndarray) -> np.ndarray:
     return densities[1] - densities[0]
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; held-out labels aren't used."""
-    rows = stored(describe(docs))
+def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, carry...) of every document; held-out labels
+    aren't used."""
+    rows = stored(describe(docs, carry))
     known = labels.select("doc_id", "quality").filter("quality IN (0, 1)").distinct()
     train = rows.join(known.filter(~held_out(F.col("doc_id"))), "doc_id")
     model = fit(class_sums(train))
@@ -144,14 +145,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 if model is not None:
                     gap = np.clip(log_density_difference(model, points) / SOFTEN, -500, 500)
                     score = 1.0 / (1.0 + np.exp(-gap))
-                yield {"doc_id": batch.column("doc_id"), "score": score}
+                yield {n: batch.column(n) for n in ("doc_id", *carry)} | {"score": score}
 
         return run
 
-    scored = map_batches(rows, make, "doc_id bigint, score double")
+    scored = map_batches(rows, make, "doc_id bigint, score double" + fields(rows, carry))
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry,
     )
 
 

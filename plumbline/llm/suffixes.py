@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_batches, map_texts, slices, stored, table
+from plumbline.llm.common import fields, map_batches, map_texts, slices, stored, table
 
 LENGTH, PREFIX, BLOCK = 100, 24, 8
 #: Bytes that are hashed at a time; places in them fit in the low bits of a packed minimum.
@@ -408,9 +408,9 @@ def cut_text(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[list, byt
     return spans, np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, removed, kept) of every document."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, removed, kept, carry...) of every document."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
     settled = stored(settle_buckets(sample_suffixes(docs)))
     blocks = open_samples(docs, settled.filter("opened"), as_blocks, SAMPLES)
     finer = stored(settle_buckets(blocks))
@@ -436,11 +436,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                         out["n_bytes"].append(len(raw))
                         out["removed"].append([{"first": a, "past": b} for a, b in spans])
                         out["kept"].append(left)
-                    yield out | {"doc_id": batch.column("doc_id")}
+                    yield out | {n: batch.column(n) for n in ("doc_id", *carry)}
 
         return run
 
-    return map_batches(joined.select("doc_id", "text", "runs"), make, RESULT)
+    columns = joined.select("doc_id", "text", "runs", *carry)
+    return map_batches(columns, make, RESULT + fields(docs, carry))
 
 
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
