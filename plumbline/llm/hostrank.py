@@ -2,9 +2,12 @@
 
 Trust is personalised PageRank from hosts with allowed pages along the links; distrust is
 the same from hosts with blocked pages against the links (a host that links to a blocked one
-is suspect). Both are kept in whole units, so a result doesn't depend on the order of sums.
-A page that no rule decides gets its host's verdict: block where the host's distrust is more
-than ``threshold`` times its trust, else allow.
+is suspect). Both are doubles and spread until no further host is reached and what four rounds
+add is at most ``tolerance`` of the mass. A page that no rule decides gets its host's verdict:
+block where the host's distrust is more than ``threshold`` times its trust by over MARGIN of
+it (so the order of sums doesn't decide a tie), else allow. The scores given out are rounded
+to whole units, UNIT to a fully trusted host; verdicts come from the scores before rounding,
+so a host may be blocked for a distrust that shows as 0.
 
 Links are those of ``href`` and ``src`` in the html to other hosts, and one each way between
 a host and the nearest parent domain that itself serves pages. Edges are distinct (host,
@@ -28,6 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
 #: Whole units of trust in one fully trusted host; 2**33 hosts fit in a bigint.
 UNIT = 1 << 30
+#: Rounds between two looks at what they added, and the part of a score that counts as equal.
+STEPS, MARGIN = 4, 1e-9
 
 
 @dataclass(frozen=True)
@@ -114,36 +119,49 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.filter("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping_percent: int, rounds: int) -> DataFrame:
-    """Personalised PageRank (host, score) of seeds (host, seed) over edges (src, dst).
+def spread(
+    edges: DataFrame, seeds: DataFrame, damping_percent: int, tolerance: float
+) -> DataFrame:
+    """Personalised PageRank (kind, host, score) of seeds (kind, host, seed) over edges
+    (kind, src, dst).
 
-    score = seed + damping * sum(score / out-degree over linking hosts), in whole units.
+    score = seed + damping * sum(score / out-degree over linking hosts). Scores only grow, so
+    the mass that rounds add is the difference of two totals. Ends when STEPS rounds reach no
+    further host and add, for every kind, at most ``tolerance`` of its mass.
     """
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    out = stored(edges.join(degree, "src"))
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for turn in range(rounds):
-        share = F.expr(f"score * {damping_percent} div (100 * degree)")
-        given = (
-            out.join(score, F.col("src") == F.col("host"))
-            .select(F.col("dst").alias("host"), share.alias("score"))
-            .filter("score > 0")
-        )
-        score = (
-            seeds.select("host", F.col("seed").alias("score"))
-            .unionByName(given)
-            .groupBy("host").agg(F.sum("score").alias("score"))
-        )
-        if turn % 4 == 3 and turn + 1 < rounds:
-            score = stored(score)
-    return score
+    degree = edges.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
+    share = F.lit(damping_percent / 100) / F.col("degree")
+    out = stored(
+        edges.join(degree, ["kind", "src"])
+        .select("kind", F.col("src").alias("host"), "dst", share.alias("share"))
+    )
+    start = seeds.select("kind", "host", F.col("seed").alias("score"))
+    score, before = start, {}
+    while True:
+        for _ in range(STEPS):
+            given = out.join(score, ["kind", "host"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score")
+            )
+            score = (
+                start.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            )
+        score = stored(score)
+        totals = score.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("mass"))
+        now = {row.kind: (row.n, row.mass) for row in totals.collect()}  # one row per kind
+        if all(
+            kind in before and n == before[kind][0]
+            and mass - before[kind][1] <= tolerance * mass
+            for kind, (n, mass) in now.items()
+        ):
+            return score
+        before = now
 
 
 def judge_pages(
     pages: DataFrame,
     rules: tuple[Rule, ...] = RULES,
     damping_percent: int = 85,
-    rounds: int = 12,
+    tolerance: float = 1e-6,
     threshold: float = 1.0,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page (page_id, url, html)."""
@@ -160,26 +178,33 @@ def judge_pages(
         )
     )
 
-    def seeds(column: str) -> DataFrame:
-        seed = F.expr(f"{UNIT} * {column} div pages").alias("seed")
-        return counts.filter(F.col(column) > 0).select("host", seed)
+    def seeds(kind: str, column: str) -> DataFrame:
+        return counts.filter(F.col(column) > 0).select(
+            F.lit(kind).alias("kind"), "host", (F.col(column) / F.col("pages")).alias("seed")
+        )
 
-    trust = spread(edges, seeds("allowed"), damping_percent, rounds)
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = spread(turned, seeds("blocked"), damping_percent, rounds)
+    both = [rows.withColumn("kind", F.lit(k)) for k, rows in (("trust", edges), ("distrust", turned))]
+    score = spread(
+        both[0].unionByName(both[1]),
+        stored(seeds("trust", "allowed").unionByName(seeds("distrust", "blocked"))),
+        damping_percent, tolerance,
+    )
+
+    def of(kind: str) -> DataFrame:
+        return score.filter(F.col("kind") == kind).select("host", F.col("score").alias(kind))
+
     hosts = stored(
-        counts.select("host")
-        .join(trust.withColumnRenamed("score", "trust"), "host", "left")
-        .join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
-        .na.fill(0, ["trust", "distrust"])
+        counts.select("host").join(of("trust"), "host", "left").join(of("distrust"), "host", "left")
+        .na.fill(0.0, ["trust", "distrust"])
     )
-    suspect = F.col("distrust") > F.lit(threshold) * F.col("trust")
+    suspect = F.col("distrust") > F.lit(threshold * (1 + MARGIN)) * F.col("trust")
     found = judged.join(hosts, "host", "left")
     verdict = F.coalesce("ruled", F.when(suspect, "block").otherwise("allow"))
     return found.select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"),
-        F.coalesce("trust", F.lit(0)).alias("trust"),
-        F.coalesce("distrust", F.lit(0)).alias("distrust"),
+        *[F.coalesce(F.round(F.col(n) * UNIT).cast("bigint"), F.lit(0)).alias(n)
+          for n in ("trust", "distrust")],
     )
 
 

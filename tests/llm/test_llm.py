@@ -278,3 +278,17 @@ def test_url_filters(spark):
     assert found[8] == ("fine.net", "/x", None, "allow")
     assert found[9][3] == "block"
     assert hostrank.judge_pages(table.limit(0)).count() == 0
+
+
+def test_distrust_reaches_hosts_behind_many_links_and_far_away(spark):
+    """Four layers of 1,500 hosts that link to one of the layer before, and a chain of 40 hosts."""
+    page = "x://{}.net/x"
+    rows = [("x://b.com/de/1", "")]
+    for layer, next_host in (("p", "b.com"), ("q", "p0.net"), ("r", "q0.net"), ("s", "r0.net")):
+        rows += [(page.format(f"{layer}{i}"), f'<a href="x://{next_host}/">') for i in range(1500)]
+    rows += [(page.format(f"c{i}"), f'<a href="x://{f"c{i - 1}.net" if i else "b.com"}/">')
+             for i in range(40)]
+    table = spark.createDataFrame(
+        [(i, *row) for i, row in enumerate(rows)], "page_id bigint, url string, html string")
+    found = hostrank.judge_pages(table).filter("verdict <> 'block'").select("host")
+    assert [r.host for r in found.collect()] == []
