@@ -9,8 +9,9 @@ it (so the order of sums doesn't decide a tie), else allow. The scores given out
 to whole units, UNIT to a fully trusted host; verdicts come from the scores before rounding,
 so a host may be blocked for a distrust that shows as 0.
 
-Links are those of ``href`` and ``src`` in the html to other hosts, and one each way between
-a host and the nearest parent domain that itself serves pages. Edges are distinct (host,
+Links are those of ``href`` and ``src`` in the html to other hosts, with a scheme or starting
+with ``//``, and one each way between a host and the nearest parent domain that itself serves
+pages. Edges are distinct (host,
 host) pairs; every sum is pre-aggregated before its shuffle, and adaptive execution splits
 joins on a host with many pages or edges.
 
@@ -29,6 +30,8 @@ from plumbline.llm.common import stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
+#: The start of a link that names a host; ``://`` further on belongs to a path or a query.
+ABSOLUTE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 #: Whole units of trust in one fully trusted host; 2**33 hosts fit in a bigint.
 UNIT = 1 << 30
 #: Rounds between two looks at what they added, and the part of a score that counts as equal.
@@ -98,8 +101,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     links = pages.select(
         F.col("host").alias("src"),
         F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))).alias("url"),
-    ).filter(F.instr("url", "://") > 0)
-    linked = links.select("src", host_of(F.col("url")).alias("dst"))
+    ).filter(F.col("url").rlike(ABSOLUTE))
+    linked = links.select(
+        "src", host_of(F.regexp_replace("url", ABSOLUTE, "://")).alias("dst")
+    )
     hosts = pages.select("host").distinct()
     labels = F.split("host", r"\.")
     up = hosts.filter(F.size(labels) > 2).select(

@@ -280,6 +280,14 @@ def test_url_filters(spark):
     assert hostrank.judge_pages(table.limit(0)).count() == 0
 
 
+def test_links_name_a_host_by_scheme_or_two_slashes(spark):
+    html = """<a href="//Two.net/x"><img src='HTTP://one.net?u=//no.net'><a href=/go?u=http://no.net>
+    <a href="go://three.net"><a href=go?u=x://no.net><a href="/a//no.net">"""
+    pages = spark.createDataFrame([("own.net", html)], "host string, html string")
+    found = {tuple(r) for r in hostrank.host_edges(pages).collect()}
+    assert found == {("own.net", f"{x}.net") for x in ("one", "two", "three")}
+
+
 def test_distrust_reaches_hosts_behind_many_links_and_far_away(spark):
     """Four layers of 1,500 hosts that link to one of the layer before, and a chain of 40 hosts."""
     page = "x://{}.net/x"
