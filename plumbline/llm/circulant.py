@@ -44,6 +44,7 @@ BANDS, ROWS = 40, 4
 WIDTH = BANDS * ROWS
 #: Coordinates in a signature; the first WIDTH make the bands, a byte of each is compared.
 COORDINATES = 512
+MARK = "text_hash"
 LEAST_ALIKE = 0.67
 BLOCK = 2000
 BEST_ROUNDS = 2
@@ -305,17 +306,40 @@ def _alike(left: list, right: list, slot: int, best_only: bool) -> Iterator[np.n
             yield np.stack([np.full(len(fits), node[k]), node2[fits]], axis=1)
 
 
+def distinct_nodes(rows: DataFrame) -> DataFrame:
+    """(node, holder, n_shingles, bands, bytes): a set once; ``holder`` (doc_id, mark) names a
+    row that has it, with a doc_id if one has."""
+    row = F.struct("doc_id", MARK)
+    holder = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), row)), F.min(row))
+    return rows.filter("node IS NOT NULL").groupBy("node").agg(
+        holder.alias("holder"), F.first("n_shingles").alias("n_shingles"),
+        F.first("bands").alias("bands"), F.first("bytes").alias("bytes"),
+    )
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """Adds MARK, a hash that tells apart the texts of rows that share a doc_id."""
+    return docs.withColumn(MARK, F.xxhash64("text"))
+
+
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the holders, from marked documents; a row has one node at most, but for
+    texts with one hash."""
+    holders = nodes.select(
+        "node", F.col("holder.doc_id").alias("_holder"), F.col(f"holder.{MARK}").alias("_hash")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_holder")) & (F.col(MARK) == F.col("_hash"))
+    return docs.join(holders, same).select("node", "text")
+
+
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles): the full sets of the given (node, holder), from the texts again."""
-    holders = nodes.select("node", F.col("holder").alias("_holder"))
-    texts = docs.select("doc_id", "text").join(
-        holders, F.col("doc_id").eqNullSafe(F.col("_holder"))
-    )
+    texts = node_texts(docs, nodes)
 
     def sets():
         def run(keys, values):
             found = shingle_sets(values)
-            # Of rows that share a doc_id, the one that is the node's.
+            # Of texts that share a doc_id and a hash, the one that is the node's.
             own = [i for i, s in enumerate(found) if len(s) and set_node(s) == keys[i]]
             return {"node": [keys[i] for i in own],
                     "shingles": [found[i].tobytes() for i in own]}
@@ -445,14 +469,9 @@ def contract(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 def near_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, carry...) of every document."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
-    rows = stored(describe(docs, carry))
-    nodes = stored(
-        rows.filter("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("holder"), F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"), F.first("bytes").alias("bytes"),
-        )
-    )
+    docs = marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry))
+    rows = stored(describe(docs, (*carry, MARK)))
+    nodes = stored(distinct_nodes(rows))
     members = nodes.select("node", F.posexplode("bands").alias("slot", "band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(members.join(shared.select("band"), "band"))

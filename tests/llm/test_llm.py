@@ -204,6 +204,17 @@ def test_alike_pair_whose_bytes_agree_in_a_band_it_does_not_share(spark):
         assert [tuple(r) for r in found] == [(2, 3)]
 
 
+def test_texts_without_or_under_one_doc_id_are_read_once(spark):
+    rows = [(key, f"one two three four five{i} six{i}") for key in (None, 7) for i in range(20)]
+    docs = circulant.marked(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    nodes = circulant.distinct_nodes(circulant.describe(docs, (circulant.MARK,)))
+    assert circulant.node_texts(docs, nodes).count() == nodes.count() == 20
+    assert circulant.node_sets(docs, nodes).count() == 20
+    alone = circulant.distinct_nodes(
+        circulant.describe(docs.filter("doc_id IS NULL"), (circulant.MARK,)))
+    assert circulant.node_texts(docs, alone).count() == 20
+
+
 def test_contract(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.label for r in circulant.contract(chain).collect()} == {0}
