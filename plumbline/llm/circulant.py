@@ -15,7 +15,7 @@ component:
    member (by the signatures' bytes) of another component, until a round links nothing or
    BEST_ROUNDS are over;
 3. all pairs of different components in a bucket whose signatures agree in at least
-   LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with probability 2e-5).
+   LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with probability 4e-14).
 
 Pairs inside a component need no look: they change no component. Large buckets are compared
 in blocks of rows. Components are found by contracting the links, in Spark.
@@ -45,7 +45,8 @@ WIDTH = BANDS * ROWS
 #: Coordinates in a signature; the first WIDTH make the bands, a byte of each is compared.
 COORDINATES = 512
 MARK = "text_hash"
-LEAST_ALIKE = 0.67
+#: Far enough below 0.75 that the bands, not this, decide what is missed.
+LEAST_ALIKE = 0.6
 BLOCK = 2000
 BEST_ROUNDS = 2
 #: Links of one node that a task confirms at a time.

@@ -204,6 +204,19 @@ def test_alike_pair_whose_bytes_agree_in_a_band_it_does_not_share(spark):
         assert [tuple(r) for r in found] == [(2, 3)]
 
 
+def test_similar_pair_with_a_poor_estimate_is_confirmed(spark):
+    """Three of four shingles in common, but only 320 of 512 coordinates."""
+    sets = [np.arange(n, n + 7, dtype=np.uint64) for n in (0, 1)]
+    signs = np.zeros((2, circulant.COORDINATES), dtype=np.uint8)
+    signs[1, 320:] = 1
+    nodes = spark.createDataFrame(
+        [(n, 7, signs[n].tobytes()) for n in (0, 1)], "node bigint, n_shingles bigint, bytes binary")
+    full = spark.createDataFrame(
+        [(n, sets[n].tobytes()) for n in (0, 1)], "node bigint, shingles binary")
+    pairs = spark.createDataFrame([(0, 1)], "a bigint, b bigint")
+    assert [tuple(r) for r in circulant.confirm(pairs, nodes, full).collect()] == [(0, 1)]
+
+
 def test_texts_without_or_under_one_doc_id_are_read_once(spark):
     rows = [(key, f"one two three four five{i} six{i}") for key in (None, 7) for i in range(20)]
     docs = circulant.marked(spark.createDataFrame(rows, "doc_id bigint, text string"))
