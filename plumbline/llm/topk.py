@@ -134,6 +134,13 @@ def route(
     return map_batches(queries.select("vec_id", "v"), make, schema)
 
 
+def copied(data: DataFrame, routed: DataFrame) -> DataFrame:
+    """``data`` once for each block of queries of which one was routed to the vector's cell."""
+    # A column of its own, for a cogroup of the result with the routed queries.
+    asking = routed.select("size", "cell", F.col("block").alias("block")).distinct()
+    return data.join(asking, ["size", "cell"])
+
+
 def solve(top: int):
     """Best of one slice of data for one slice of queries."""
 
@@ -205,15 +212,13 @@ def top_k(
     parts = F.coalesce(
         F.element_at(count, F.concat_ws(" ", "size", "cell")), F.lit(1)
     )
-    routed = route(asked, centres, cells, top).select(
-        "query_id", "q", "size", "cell",
-        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), block,
+    whole = stored(route(asked, centres, cells, top).select("query_id", "q", "size", "cell", block))
+    routed = whole.select(
+        "query_id", "q", "size", "cell", "block",
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
     )
     part = F.pmod(F.xxhash64("vec_id", F.lit(7)), parts).cast("int").alias("part")
-    spread = data.select(
-        "vec_id", "v", "size", "cell", part,
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
+    spread = copied(data.select("vec_id", "v", "size", "cell", part), whole)
     keys = ["size", "cell", "part", "block"]
     found = (
         routed.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(solve(top), FOUND)

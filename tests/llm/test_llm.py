@@ -252,6 +252,14 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_vectors_are_copied_to_the_blocks_that_ask_for_their_cell(spark):
+    data = spark.createDataFrame([(1, 8, 0), (2, 8, 1), (3, 8, 2)], "vec_id int, size int, cell int")
+    routed = spark.createDataFrame(
+        [(8, 0, 0), (8, 0, 0), (8, 1, 0), (8, 1, 1)], "size int, cell int, block int")
+    found = sorted((r.vec_id, r.block) for r in topk.copied(data, routed).collect())
+    assert found == [(1, 0), (2, 0), (2, 1)]
+
+
 def test_quality_rules(spark):
     assert anomalies.rule_counts("a a a a\nx|\nx|\n \n")[:5] == (6, 8, 2, 1, 4)
     rows = [(i, " ".join(f"word{(i * 7 + j) % 400}" for j in range(80))) for i in range(300)]
