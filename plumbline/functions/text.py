@@ -163,7 +163,7 @@ def fingerprint(text: Column) -> Column:
 
 def fingerprint_words(text: Column) -> Column:
     """Distinct words of the fingerprint; an empty array for a text without any."""
-    return F.array_distinct(F.array_remove(F.split(fingerprint(text), " "), ""))
+    return F.array_remove(F.array_distinct(F.split(fingerprint(text), " ")), "")
 
 
 def readable_join(items: Column) -> Column:

@@ -1,49 +1,68 @@
 """Near-duplicate texts: exact set-similarity on fingerprint words.
 
-Two texts are similar when the Jaccard similarity of their word sets reaches the
-threshold. Comparing everything with everything is avoided exactly, not by
-sampling or capping:
+Two texts are similar when the Jaccard similarity of their word sets reaches the threshold.
+Comparing everything with everything is avoided exactly, not by sampling or capping:
 
 * identical word sets are collapsed first, so a third of the table may be copies;
-* sets are compared only when they share a word of their *prefix*: in one global
-  word order (rare first), a set of n words and a similar set must share one of the
-  first n - ceil(t*n) + 1 words of each (Chaudhuri et al. 2006, Bayardo et al. 2007);
-* sizes outside [t*n, n/t] cannot be similar.
-
-The question answered is "is there a similar text earlier in the order", so a set
-needs one witness only. Every bucket (prefix word) first offers its earliest set
-as witness: members of a big cluster of near copies find it there, in linear work.
-Only sets still without a witness are compared with the rest of their buckets, and
-big buckets are split over several tasks for that.
+* words are ordered by the number of sets that have them, rare first, over all words. A word of
+  one set only matches nothing: it counts towards a set's size and is not kept otherwise;
+* sets are compared only when they share a word of their *prefix*: in that order a set of n
+  words and a similar set share one of the first n - ceil(t*n) + 1 words of each
+  (Chaudhuri et al. 2006, Bayardo et al. 2007);
+* three upper bounds of the words two sets can share then decide without the sets: sizes, the
+  places of the shared word (Xiao et al. 2008), and a count of the words per slice of the word
+  order, whose differences no shared word can explain.
+
+The question answered is "is there a similar text earlier in the order", so a set needs one
+witness only:
+
+1. every bucket (prefix word) offers its earliest set: members of a big cluster of near copies
+   find it there, in linear work;
+2. sets still open are compared with the other members of their buckets, a bucket being cut
+   into blocks that meet two by two, and each names its most alike earlier set of a block pair;
+3. sets that are open even then and had further candidates are compared on the words
+   themselves, inside the task of the block pair; a witness is all that leaves it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import fingerprint_words
-from plumbline.operators.durable import durable, stored
-from plumbline.operators.skew import salted_join
+from plumbline.operators.durable import stored
+from plumbline.operators.skew import map_side_join, salted_join
 
-# Words frequent enough to be ordered by their count. A top-k, so its size is fixed.
-ORDERED_WORDS = 50_000
-# Members of one bucket handled by one task.
-BUCKET_SLICE = 20_000
+# Members of one bucket in one block; a task compares two blocks at a time.
+BLOCK = 1000
+# Slices of the word order in which words are counted.
+BINS = 64
 # Fixed value: slack against rounding in t * n.
 EPSILON = 1e-9
+PREFIX = "token bigint, set bigint, n int, m int, place int, bins binary"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def similar(left: Column, right: Column, threshold: float) -> Column:
     """Jaccard of two distinct-word arrays reaches the threshold; empty is never similar."""
     shared = F.size(F.array_intersect(left, right))
-    union = F.size(left) + F.size(right) - shared
-    return (F.size(left) > 0) & (F.size(right) > 0) & (
-        shared.cast("double") / F.greatest(union, F.lit(1)).cast("double")
-        >= F.lit(float(threshold))
+    return _reaches(shared, F.size(left), F.size(right), threshold)
+
+
+def _reaches(shared: Column, a: Column, b: Column, threshold: float) -> Column:
+    union = F.greatest(a + b - shared, F.lit(1))
+    return (a > 0) & (b > 0) & (
+        shared.cast("double") / union.cast("double") >= F.lit(float(threshold))
     )
 
 
+# --- sets ------------------------------------------------------------------------------
+
+
 def keyed_words(texts: DataFrame, order: str) -> DataFrame:
     """(id, order, set_key, words), the words sorted; texts without words keep none."""
     worded = texts.select(
@@ -53,129 +72,358 @@ def keyed_words(texts: DataFrame, order: str) -> DataFrame:
     return worded.withColumn("set_key", F.sha2(F.concat_ws(" ", "words"), 256))
 
 
-def ordered_sets(keyed: DataFrame) -> DataFrame:
-    """One row per distinct word set: its earliest (order, id) and its words, rare first.
+def numbered_sets(keyed: DataFrame) -> DataFrame:
+    """(set, set_key, first, rows, words): distinct word sets, numbered by their earliest text.
 
-    A word sorts by how many texts have it. Words outside the frequent list count as
-    equally rare and sort alphabetically. Grouping, expanding and regrouping all run
-    on ``set_key``, so the sets are shuffled once.
+    The numbers grow with ``first`` (order, id) but are not dense: a range partition's number
+    in the upper bits, the row in it below. Store the result, so that they stay.
     """
-    frequent = (
-        keyed.select(F.explode("words").alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .filter("df > 1")
-        .orderBy(F.desc("df"), "word")
-        .limit(ORDERED_WORDS)
-    )
     distinct = keyed.groupBy("set_key").agg(
-        F.min(F.struct("order", "id")).alias("first"),
+        F.min(F.struct("order", "id")).alias("first"), F.count(F.lit(1)).alias("rows"),
         # All rows of a key hold the same words.
         F.any_value("words").alias("words"),
     )
-    tokens = distinct.select("set_key", "first", F.explode("words").alias("word"))
-    # ORDERED_WORDS rows at most, whatever the data.
-    placed = tokens.join(F.broadcast(frequent), "word", "left")
-    entry = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")
-    # A group is the words of one text.
-    grouped = placed.groupBy("set_key").agg(
-        F.any_value("first").alias("first"), F.sort_array(F.collect_list(entry)).alias("w")
-    )
-    return grouped.select(
-        "set_key", "first", F.col("w.word").alias("words"), F.size("w").alias("n")
+    placed = distinct.repartitionByRange("first").sortWithinPartitions("first")
+    return placed.select(
+        F.monotonically_increasing_id().alias("set"), "set_key", "first", "rows", "words")
+
+
+def word_order(sets: DataFrame, least: int = 2) -> DataFrame:
+    """(word, rows, rank) of the words of at least ``least`` sets: rare first, over all words."""
+    counted = (
+        sets.select(F.explode("words").alias("word")).groupBy("word")
+        .agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least)
     )
+    placed = counted.repartitionByRange("rows", "word").sortWithinPartitions("rows", "word")
+    return placed.select("word", "rows", F.monotonically_increasing_id().alias("rank"))
 
 
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(set_key, first, n, place, word) for the prefix words of every set."""
-    size = F.col("n")
-    keep = size - F.ceil(F.lit(threshold) * size - F.lit(EPSILON)).cast("int") + F.lit(1)
-    return sets.select(
-        "set_key", "first", "n",
-        F.posexplode(F.slice("words", F.lit(1), keep)).alias("place", "word"),
+def ranked_sets(sets: DataFrame, words: DataFrame) -> DataFrame:
+    """(set, n, ranks): a set's size and the places of its ordered words, rare first.
+
+    Sets without an ordered word are left out: they share nothing.
+    """
+    tokens = sets.select("set", F.size("words").alias("n"), F.explode("words").alias("word"))
+    # A group is the words of one set.
+    return map_side_join(tokens, words, "word").groupBy("set").agg(
+        F.any_value("n").alias("n"), F.sort_array(F.collect_list("rank")).alias("ranks")
     )
 
 
-def _can_match(a: dict[str, Column], b: dict[str, Column], threshold: float) -> Column:
-    """Sizes and the places of a shared word still allow the threshold.
+# --- prefixes and bounds ---------------------------------------------------------------
+
 
-    Before the word at most min(places) words can be shared, after it at most the
-    shorter rest; the overlap needed is t / (1 + t) of both sizes together.
+def _bins(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """(count, BINS) words of each row by a hash of their place; 255 and more are one.
+
+    Cut counts differ by no more than true ones, so what they exclude is excluded rightly.
+    """
+    bins = ((values.astype(np.uint64) * _ODD) >> np.uint64(58)).astype(np.int64)
+    found = np.bincount(rows * BINS + bins, minlength=count * BINS)
+    return np.minimum(found, 255).astype(np.uint8).reshape(count, BINS)
+
+
+def prefixes(ranked: DataFrame, threshold: float) -> DataFrame:
+    """(token, set, n, m, place, bins) for the prefix words of every set.
+
+    ``m`` is the number of ordered words and ``place`` the word's among them. Words of no other
+    set come first in the order, so they use up the prefix.
     """
-    low, high = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-    sizes = low + F.lit(EPSILON) >= F.lit(threshold) * high
-    rest = F.least(a["n"] - a["place"], b["n"] - b["place"])
-    most = F.least(a["place"], b["place"]) + rest
-    needed = F.lit(threshold / (1.0 + threshold)) * (a["n"] + b["n"]) - F.lit(EPSILON)
-    return sizes & (most >= needed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("n").to_numpy()
+            lists = batch.column("ranks")
+            values = lists.flatten().to_numpy()
+            m = lists.value_lengths().to_numpy().astype(np.int64)
+            least = np.ceil(threshold * size - EPSILON).astype(np.int64)
+            keep = np.clip(size - least + 1 - (size - m), 0, m)
+            rows = np.repeat(np.arange(len(m)), keep)
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(keep) - keep, keep)
+            starts = np.cumsum(m) - m
+            counts = _bins(values, np.repeat(np.arange(len(m)), m), len(m))
+            packed = pa.array([row.tobytes() for row in counts], type=pa.binary())
+            yield pa.RecordBatch.from_pydict({
+                "token": pa.array(values[starts[rows] + place], type=pa.int64()),
+                "set": batch.column("set").take(pa.array(rows)),
+                "n": pa.array(size[rows], type=pa.int32()),
+                "m": pa.array(m[rows], type=pa.int32()),
+                "place": pa.array(place, type=pa.int32()),
+                "bins": packed.take(pa.array(rows)),
+            })
+
+    return ranked.select("set", "n", "ranks").mapInArrow(
+        run, PREFIX
+    )
+
+
+class Members:
+    """Members of a bucket, by column: size, ordered words, place of the word, bins."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.n, self.m, self.place = (
+            batch.column(name).to_numpy().astype(np.int64) for name in ("n", "m", "place")
+        )
+        packed = b"".join(batch.column("bins").to_pylist())
+        self.bins = np.frombuffer(packed, dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def can_match(a: Members, i: np.ndarray, b: Members, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows ``i`` of a and ``j`` of b, pair by pair, can be similar."""
+    n, other = a.n[i], b.n[j]
+    needed = threshold / (1.0 + threshold) * (n + other) - EPSILON
+    most = np.minimum(a.place[i], b.place[j]) + np.minimum(
+        a.m[i] - a.place[i], b.m[j] - b.place[j]
+    )
+    found = (np.minimum(n, other) + EPSILON >= threshold * np.maximum(n, other)) & (most >= needed)
+    where = np.flatnonzero(found)
+    i, j = i[where], j[where]
+    apart = np.abs(a.bins[i] - b.bins[j]).sum(1)
+    found[where] = (a.m[i] + b.m[j] - apart) // 2 >= needed[where]
+    return found
+
+
+# --- witnesses -------------------------------------------------------------------------
 
 
-def _at(prefix: str = "") -> dict[str, Column]:
-    return {"n": F.col(f"{prefix}n"), "place": F.col(f"{prefix}place")}
+def with_leads(placed: DataFrame, threshold: float) -> DataFrame:
+    """Prefix rows sorted into buckets, with ``lead``: the bucket's first set if it can match.
 
+    Buckets are range partitioned by (token, set), so a hot word spans as many partitions as it
+    needs, each with a lead of its own. Rows stream; a task holds a batch and one lead.
+    """
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Keys of ``pairs`` (set_key, other) that really are similar."""
-    left = sets.select("set_key", "words")
-    right = sets.select(F.col("set_key").alias("other"), F.col("words").alias("other_words"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else join_batches([held, batch])
+            token = whole.column("token").to_numpy()
+            starts = np.ones(len(token), dtype=bool)
+            starts[1:] = token[1:] != token[:-1]
+            lead = np.maximum.accumulate(np.where(starts, np.arange(len(token)), 0))
+            rows = np.flatnonzero(~starts)
+            facts = Members(whole)
+            near = np.zeros(len(token), dtype=bool)
+            near[rows] = can_match(facts, rows, facts, lead[rows], threshold)
+            named = whole.column("set").take(pa.array(lead))
+            found = pa.RecordBatch.from_arrays(
+                [*whole.columns, pa.array(named.to_numpy(), mask=~near)],
+                [*whole.schema.names, "lead"],
+            )
+            yield found if held is None else found.slice(1)
+            held = whole.slice(int(lead[-1]), 1)
+
+    ordered = placed.repartitionByRange("token", "set").sortWithinPartitions("token", "set")
+    return ordered.mapInArrow(run, f"{PREFIX}, lead bigint")
+
+
+def verified(pairs: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (set, other) that really are similar. ``pairs`` is read several times."""
+    right = ranked.select(
+        F.col("set").alias("other"), F.col("n").alias("other_n"),
+        F.col("ranks").alias("other_ranks"),
+    )
     # One set may be the partner of any share of the pairs (the lead of a big cluster).
-    partnered = salted_join(durable(pairs.distinct()), right, "other", "set_key")
-    both = partnered.join(left, "set_key")
-    return both.filter(similar(F.col("words"), F.col("other_words"), threshold))
+    partnered = salted_join(pairs, right, "other", "set")
+    both = partnered.join(ranked, "set")
+    shared = F.size(F.array_intersect("ranks", "other_ranks"))
+    return both.filter(_reaches(shared, F.col("n"), F.col("other_n"), threshold)).select(
+        "set", "other")
+
 
+GROUP = ("token", "i", "j")
 
-def _earlier_witness(sets: DataFrame, threshold: float, slice_rows: int) -> DataFrame:
-    """Keys of the sets that have a similar set before them."""
-    prefixes = stored(_prefixes(sets, threshold))
-    lead = F.struct("first", "set_key", "n", "place")
-    buckets = prefixes.groupBy("word").agg(
-        F.count(F.lit(1)).alias("members"), F.min(lead).alias("lead")
-    ).filter("members > 1")
-    buckets = stored(buckets)
-    shared = stored(
-        salted_join(prefixes, buckets, "word", "set_key", rows_per_slice=slice_rows,
-                    counts=buckets.select("word", F.col("members").alias("rows")))
+
+def block_pairs(members: DataFrame, open_sets: DataFrame, block: int) -> DataFrame:
+    """Members of buckets with open sets, dealt to pairs of blocks and sorted by pair.
+
+    The members of a bucket of b blocks go to b groups each, and b * (b + 1) / 2 groups see
+    every two members once; a group holds two blocks.
+    """
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    wanted = members.select("set", "token").join(open_sets, "set").select("token").distinct()
+    blocks = F.ceil(F.col("rows") / F.lit(block)).cast("int")
+    dealt = map_side_join(members, stored(sizes.join(wanted, "token")), "token").select(
+        "token", "set", "n", "m", "place", "bins",
+        F.pmod(F.xxhash64("set"), blocks).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
     )
-    follows = shared.filter(F.col("lead.first") < F.col("first"))
-    by_lead = follows.filter(_can_match(_at(), _at("lead."), threshold)).select(
-        "set_key", F.col("lead.set_key").alias("other")
+    marked = dealt.join(open_sets.withColumn("open", F.lit(True)), "set", "left").select(
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", F.coalesce("open", F.lit(False)).alias("open"), "set", "n", "m", "place", "bins",
     )
-    led = durable(_verified(by_lead, sets, threshold).select("set_key").distinct())
+    return marked.repartition(*GROUP).sortWithinPartitions(*GROUP, "set")
+
+
+def join_batches(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
 
-    # What is left: sets without a witness so far against their buckets, cut into slices.
-    slices = F.ceil(F.col("members") / F.lit(slice_rows)).cast("int")
-    open_sets = follows.join(led, "set_key", "left_anti").select(
-        "set_key", "first", "n", "place", "word",
-        F.explode(F.sequence(F.lit(0), slices - F.lit(1))).alias("slice"),
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a GROUP ends; holds one batch and one group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = _keys(batch)
+        if held and (keys[0] != last).any():
+            yield join_batches(held)
+            held = []
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+        if len(edges):
+            cut = int(edges[-1]) + 1
+            yield join_batches([*held, batch.slice(0, cut)])
+            held = []
+            batch = batch.slice(cut)
+        held.append(batch)
+        last = keys[-1]
+    if held:
+        yield join_batches(held)
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(name).to_numpy() for name in GROUP], axis=1)
+
+
+# Pairs looked at together.
+PAIRS = 1 << 18
+
+
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of an open set, row of an earlier set of its group, first row of the group).
+
+    A pair of blocks sees pairs across the blocks, or all pairs of one block; all pairs of a
+    row come together.
+    """
+    keys = _keys(batch)
+    own = batch.column("own").to_numpy()
+    begins = np.ones(len(keys), dtype=bool)
+    begins[1:] = (keys[1:] != keys[:-1]).any(1)
+    start = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))
+    across = keys[:, 1] != keys[:, 2]
+    rows = np.flatnonzero(batch.column("open").to_numpy(False) & ~begins)
+    counts = np.arange(len(keys))[rows] - start[rows]
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS)))
+        part, number = rows[at:stop], counts[at:stop]
+        later = np.repeat(part, number)
+        within = np.arange(len(later)) - np.repeat(np.cumsum(number) - number, number)
+        earlier = np.repeat(start[part], number) + within
+        fits = ~across[later] | (own[later] != own[earlier])
+        yield later[fits], earlier[fits], start[later[fits]]
+        at = stop
+
+
+def _alike_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(set, other, more): every open set's most alike earlier set of each block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            facts, number = Members(batch), batch.column("set").to_numpy()
+            for later, earlier, _ in _pairs(batch):
+                near = can_match(facts, later, facts, earlier, threshold)
+                later, earlier = later[near], earlier[near]
+                apart = np.abs(facts.bins[later] - facts.bins[earlier]).sum(1)
+                order = np.lexsort((earlier, apart, later))
+                later, earlier = later[order], earlier[order]
+                first = np.ones(len(later), dtype=bool)
+                first[1:] = later[1:] != later[:-1]
+                more = np.diff(np.append(np.flatnonzero(first), len(later))) > 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number[later[first]]), pa.array(number[earlier[first]]),
+                     pa.array(more)],
+                    ["set", "other", "more"],
+                )
+
+    found = dealt.mapInArrow(run, "set bigint, other bigint, more boolean")
+    return found.groupBy("set", "other").agg(F.bool_or("more").alias("more"))
+
+
+def _involved(dealt: DataFrame, threshold: float) -> DataFrame:
+    """(GROUP..., own, open, set) of the sets of a block pair that are part of a candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            facts, part = Members(batch), np.zeros(batch.num_rows, dtype=bool)
+            for later, earlier, _ in _pairs(batch):
+                near = can_match(facts, later, facts, earlier, threshold)
+                part[later[near]] = True
+                part[earlier[near]] = True
+            yield batch.filter(pa.array(part)).select([*GROUP, "own", "open", "set"])
+
+    return dealt.mapInArrow(
+        run, "token bigint, i int, j int, own int, open boolean, set bigint"
     )
-    members = shared.select(
-        F.col("set_key").alias("other"), F.col("first").alias("other_first"),
-        F.col("n").alias("other_n"), F.col("place").alias("other_place"), "word",
-        F.pmod(F.xxhash64("set_key"), slices).cast("int").alias("slice"),
+
+
+def _found_in_blocks(dealt: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """(set): open sets with a similar earlier set, compared word by word in their block pairs."""
+    worded = _involved(dealt, threshold).join(ranked, "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            number, n = (batch.column(c).to_numpy() for c in ("set", "n"))
+            words = [value.values.to_numpy() for value in batch.column("ranks")]
+            found = set()
+            for later, earlier, _ in _pairs(batch):
+                low, high = np.minimum(n[later], n[earlier]), np.maximum(n[later], n[earlier])
+                sizes = low + EPSILON >= threshold * high
+                for a, b in zip(later[sizes].tolist(), earlier[sizes].tolist(), strict=True):
+                    if a not in found:
+                        shared = len(np.intersect1d(words[a], words[b], assume_unique=True))
+                        if shared / (n[a] + n[b] - shared) >= threshold:
+                            found.add(a)
+            yield pa.RecordBatch.from_arrays([pa.array(number[sorted(found)])], ["set"])
+
+    ordered = worded.repartition(*GROUP).sortWithinPartitions(*GROUP, "set")
+    return ordered.select(*GROUP, "own", "open", "set", "n", "ranks").mapInArrow(
+        run, "set bigint").distinct()
+
+
+def later_sets(ranked: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(set) of the sets that have a similar set before them."""
+    members = stored(with_leads(prefixes(ranked, threshold), threshold))
+    led_by = members.filter("lead IS NOT NULL").select("set", F.col("lead").alias("other"))
+    pairs = stored(led_by.distinct())
+    led = stored(verified(pairs, ranked, threshold).select("set").distinct())
+    members = members.drop("lead")
+    seekers = stored(members.select("set").distinct().join(led, "set", "left_anti"))
+    pairs = stored(_alike_pairs(block_pairs(members, seekers, block), threshold))
+    alike = stored(
+        verified(pairs.select("set", "other"), ranked, threshold).select("set").distinct()
     )
-    candidates = open_sets.join(members, ["word", "slice"]).filter(
-        (F.col("other_first") < F.col("first")) & _can_match(_at(), _at("other_"), threshold)
+    several = pairs.filter("more").select("set").distinct()
+    left = stored(several.join(alike, "set", "left_anti"))
+    found = led.unionByName(alike)
+    if left.isEmpty():
+        return found
+    return found.unionByName(
+        _found_in_blocks(block_pairs(members, left, block), ranked, threshold)
     )
-    rest = _verified(candidates.select("set_key", "other"), sets, threshold).select("set_key")
-    return led.unionByName(rest.distinct())
 
 
 def near_duplicates(
-    texts: DataFrame, order: str, threshold: float = 0.85, slice_rows: int = BUCKET_SLICE
+    texts: DataFrame, order: str, threshold: float = 0.85, block: int = BLOCK
 ) -> DataFrame:
     """(id, is_duplicate): does a similar text come earlier in (``order``, id).
 
     A text without words is never a duplicate.
     """
     keyed = stored(keyed_words(texts, order)).filter(F.size("words") > 0)
-    sets = stored(ordered_sets(keyed))
-    late = _earlier_witness(sets, threshold, slice_rows).withColumn("_late", F.lit(True))
-    marked = sets.select("set_key", "first").join(late, "set_key", "left")
+    sets = stored(numbered_sets(keyed))
+    ranked = stored(ranked_sets(sets, stored(word_order(sets))))
+    late = later_sets(ranked, threshold, block).withColumn("late", F.lit(True))
+    marked = sets.select("set", "set_key", "first", "rows").join(late, "set", "left")
     # One set may be the key of any share of the texts (copies of one text).
-    own = salted_join(keyed.select("id", "order", "set_key"), marked, "set_key", "id")
+    own = map_side_join(keyed.select("id", "order", "set_key"), stored(marked), "set_key")
     found = own.select(
         "id",
-        ((F.struct("order", "id") > F.col("first")) | F.coalesce("_late", F.lit(False))).alias(
+        ((F.struct("order", "id") > F.col("first")) | F.coalesce("late", F.lit(False))).alias(
             "_found"),
     )
     return texts.select("id").join(found, "id", "left").select(
@@ -189,18 +437,18 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     The result itself is all similar pairs, so this is for report-sized inputs (the
     texts of a top-n); whole tables are answered by :func:`near_duplicates`.
     """
-    worded = texts.select("id", fingerprint_words(F.col("text")).alias("words"))
-    keyed = worded.filter(F.size("words") > 0).select(
-        F.lit(0).alias("order"), "id", F.col("id").alias("set_key"), "words"
-    )
-    sets = durable(ordered_sets(keyed))
-    prefixes = _prefixes(sets, threshold).drop("first")
-    others = prefixes.select(
-        F.col("set_key").alias("other"), F.col("n").alias("other_n"),
-        F.col("place").alias("other_place"), "word",
-    )
-    candidates = prefixes.join(others, "word").filter(
-        (F.col("set_key") < F.col("other")) & _can_match(_at(), _at("other_"), threshold)
+    sets = stored(
+        texts.select(F.col("id").alias("key"), fingerprint_words(F.col("text")).alias("words"))
+        .filter(F.size("words") > 0)
+        .select(F.monotonically_increasing_id().alias("set"), "key", "words")
     )
-    found = _verified(candidates.select("set_key", "other"), sets, threshold)
-    return found.select(F.col("set_key").alias("id"), "other")
+    ranked = stored(ranked_sets(sets, word_order(sets)))
+    placed = prefixes(ranked, threshold).select("token", "set")
+    pairs = stored(placed.join(placed.withColumnRenamed("set", "other"), "token").filter(
+        F.col("set") < F.col("other")).select("set", "other").distinct())
+    found = verified(pairs, ranked, threshold)
+    names = sets.select("set", "key")
+    left = found.join(names.withColumnRenamed("key", "a"), "set")
+    both = left.join(
+        names.select(F.col("set").alias("other"), F.col("key").alias("b")), "other")
+    return both.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"))

@@ -43,13 +43,13 @@ def corpus(seed=1, n=150):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "slice_rows"), [(1, 20_000), (2, 5)])
-def test_near_duplicates_equal_brute_force(spark, seed, slice_rows):
+@pytest.mark.parametrize(("seed", "block"), [(1, 1000), (2, 5), (3, 2)])
+def test_near_duplicates_equal_brute_force(spark, seed, block):
     texts = corpus(seed)
     df = spark.createDataFrame(texts, "id string, n int, text string").repartition(5)
     got = {
         r.id: r.is_duplicate
-        for r in neardup.near_duplicates(df, "n", slice_rows=slice_rows).collect()
+        for r in neardup.near_duplicates(df, "n", block=block).collect()
     }
     expected = {
         i: any(similar(text, earlier) for _, m, earlier in texts if m < n) for i, n, text in texts
@@ -66,3 +66,76 @@ def test_pairs_equal_brute_force(spark):
         (a, b) for a, _, x in texts for b, _, y in texts if a < b and similar(x, y)
     }
     assert got == expected
+
+
+def chained(n):
+    """Texts that are each similar to the two before only, and share one rare word with all."""
+    return [
+        (f"c{i:04d}", i, " ".join(["rareword", *(f"x{chr(97 + j // 26)}{chr(97 + j % 26)}"
+                                                for j in range(i, i + 24))]))
+        for i in range(n)
+    ]
+
+
+def test_hot_word_is_split(spark):
+    """Every set has the same prefix word: blocks stay bounded and the output linear."""
+    texts = chained(300)
+    df = spark.createDataFrame(texts, "id string, n int, text string").repartition(6)
+    sets = neardup.stored(neardup.numbered_sets(neardup.keyed_words(df, "n")))
+    ranked = neardup.stored(neardup.ranked_sets(sets, neardup.stored(neardup.word_order(sets))))
+    members = neardup.stored(neardup.prefixes(ranked, 0.85)).select(
+        neardup.F.lit(7).cast("bigint").alias("token"), "set", "n", "m", "place", "bins"
+    ).dropDuplicates(["set"])
+    seekers = members.select("set").distinct()
+    block = 20
+    dealt = neardup.stored(neardup.block_pairs(members, seekers, block))
+    sizes = [r["count"] for r in dealt.groupBy(*neardup.GROUP).count().collect()]
+    assert len(sizes) > 100 and max(sizes) <= 4 * block
+    named = neardup._alike_pairs(neardup.block_pairs(members, seekers, block), 0.85)
+    assert named.count() <= members.count() * -(-members.count() // block)
+    got = {r.id for r in neardup.near_duplicates(df, "n", block=block).collect() if r.is_duplicate}
+    assert got == {
+        i for i, n, text in texts if any(similar(text, e) for _, m, e in texts if m < n)
+    }
+
+
+def test_word_by_word_blocks_agree_with_the_rounds(spark):
+    """The last step alone, with every set open, finds what all steps find."""
+    texts = corpus(5, 120)
+    df = spark.createDataFrame(texts, "id string, n int, text string").repartition(3)
+    sets = neardup.stored(neardup.numbered_sets(neardup.keyed_words(df, "n").filter("size(words) > 0")))
+    ranked = neardup.stored(neardup.ranked_sets(sets, neardup.stored(neardup.word_order(sets))))
+    members = neardup.stored(neardup.prefixes(ranked, 0.85))
+    everyone = neardup.stored(members.select("set").distinct())
+    found = neardup._found_in_blocks(
+        neardup.block_pairs(members, everyone, 7), ranked, 0.85)
+    got = {r["set"] for r in found.collect()}
+    late = neardup.later_sets(ranked, 0.85, 7)
+    assert got == {r["set"] for r in late.collect()} and got
+
+
+def test_bounds_never_exclude_similar_sets(spark):
+    """Sizes, places and bins against true Jaccard of random sets."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.choice(10_000, 400, replace=False))
+    for _ in range(300):
+        size = int(rng.integers(5, 400))
+        a = np.sort(rng.choice(base, size, replace=False))
+        b = a.copy()
+        for _ in range(int(rng.integers(0, size // 4 + 1))):
+            b[rng.integers(len(b))] = rng.integers(10_000)
+        b = np.unique(b)
+        both = np.intersect1d(a, b)
+        if not len(both) or len(both) / (len(a) + len(b) - len(both)) < 0.85:
+            continue
+        facts = neardup.Members(pa.RecordBatch.from_pydict({
+            "n": [len(a), len(b)], "m": [len(a), len(b)],
+            "place": [int(np.searchsorted(s, both[0])) for s in (a, b)],
+            "bins": [neardup._bins(s, np.zeros(len(s), dtype=int), 1)[0].tobytes()
+                     for s in (a, b)],
+        }))
+        one, two = np.array([0]), np.array([1])
+        assert neardup.can_match(facts, one, facts, two, 0.85).all()
