@@ -6,19 +6,19 @@ the scattered value shifted by 0, 1, 2, ...; a coordinate is the minimum over th
 of ROWS coordinates put documents into buckets. With 40 bands of 4, a pair at the similarity
 of 0.75 meets in no bucket with probability 3e-7.
 
-Documents with one set are one node, so copies cost nothing further. Buckets are searched in
-rounds; every candidate is confirmed on the full sets, and nodes linked so far count as one
+Documents with one set are one node, so copies cost nothing further. Buckets are searched in two
+steps; every candidate is confirmed on the full sets, and nodes linked so far count as one
 component:
 
 1. every member of a bucket against the bucket's first member;
-2. in buckets that still hold several components, every member against its most alike
-   member (by the signatures' bytes) of another component, until a round links nothing or
-   BEST_ROUNDS are over;
-3. all pairs of different components in a bucket whose signatures agree in at least
-   LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with probability 4e-14).
+2. in buckets that still hold several components, all pairs of different components whose
+   signatures agree in at least LEAST_ALIKE of the coordinates (a pair at 0.75 falls below with
+   probability 4e-14). Buckets are cut into blocks; the task of two blocks compares the full
+   sets, joins what is similar in a union-find and gives out a spanning forest only: fewer links
+   than members, and no pair that is not a link.
 
-Pairs inside a component need no look: they change no component. Large buckets are compared
-in blocks of rows. Components are found by contracting the links, in Spark.
+Pairs inside a component need no look: they change no component. Components are found by
+contracting the links, in Spark; then nodes and labels that hold many rows are joined map-side.
 
 Defined cases: a null text or one without words has an empty set, is linked with nothing and
 is kept; with fewer words the whole sequence is the one shingle; rows that share a doc_id are
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import map_batches, map_texts, stored, table
+from plumbline.operators.skew import map_side_join
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
@@ -47,8 +48,7 @@ COORDINATES = 512
 MARK = "text_hash"
 #: Far enough below 0.75 that the bands, not this, decide what is missed.
 LEAST_ALIKE = 0.6
-BLOCK = 2000
-BEST_ROUNDS = 2
+BLOCK = 1000
 #: Links of one node that a task confirms at a time.
 SLICE = 64
 #: Bytes whose words are hashed at a time.
@@ -219,47 +219,111 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several, "band")
 
 
-def alike_links(opened: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b): pairs of different components in a bucket whose signatures are alike.
+PAIR = ("band", "i", "j")
+_DEALT = "band bigint, i int, j int, slot int, own int, node bigint, part bigint"
 
-    ``best_only``: for each member the most alike one only. A pair is taken from the first
-    bucket that it shares, which whole band keys decide. A bucket of n blocks is
-    n * (n + 1) / 2 groups of two blocks.
+
+def block_pairs(opened: DataFrame) -> DataFrame:
+    """Members dealt to pairs of blocks (PAIR..., slot, own, node, part).
+
+    A bucket of n blocks is n * (n + 1) / 2 groups of two blocks; a member goes to n of them.
     """
     counts = opened.groupBy("band").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")
     )
-    facts = opened.join(nodes.select("node", "n_shingles", "bytes", "bands"), "node").join(counts, "band")
     block = F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")
-    dealt = facts.withColumn("own", block).select(
-        "band", "slot", "node", "part", "n_shingles", "bytes", "bands", "own",
+    dealt = opened.join(counts, "band").withColumn("own", block).select(
+        "band", "slot", "node", "part", "own",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
-    dealt = dealt.select(
-        "*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    return dealt.select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "slot", "own", "node", "part",
     )
 
-    ordered = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+
+class Pair:
+    """The members of a pair of blocks and which of them are alike."""
+
+    def __init__(self, group: dict):
+        self.node, self.size, self.own = (group[n] for n in ("node", "n_shingles", "own"))
+        self.i, self.j, self.slot = (int(group[n][0]) for n in ("i", "j", "slot"))
+        self.signs = np.frombuffer(b"".join(group["bytes"]), dtype=np.uint8)
+        self.signs = self.signs.reshape(-1, COORDINATES)
+        self.bands = np.stack(group["bands"])
+        self.part = np.unique(group["part"], return_inverse=True)[1]
+
+    def others(self, k: int) -> np.ndarray:
+        """Members of the other block, of one block those behind, alike and not yet joined.
+
+        A pair is looked at in the first bucket that it shares, which whole band keys decide.
+        """
+        apart = self.part != self.part[k]
+        if self.i != self.j:
+            apart &= self.own != self.i
+        else:
+            apart[: k + 1] = False
+        low, high = np.minimum(self.size, self.size[k]), np.maximum(self.size, self.size[k])
+        fits = np.flatnonzero(apart & (100 * low >= PERCENT * high))
+        agree = (self.signs[fits] == self.signs[k]).sum(1)
+        fits = fits[agree >= LEAST_ALIKE * COORDINATES]
+        return fits[(self.bands[fits] == self.bands[k]).argmax(1) == self.slot]
+
+    def rows(self) -> np.ndarray:
+        """Members to compare with others: one block, or all of it."""
+        return np.flatnonzero(self.own == self.i)
+
+
+def involved(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The dealt members that are alike to one of another component in their pair of blocks."""
+    facts = dealt.join(nodes.select("node", "n_shingles", "bytes", "bands"), "node")
+    ordered = facts.repartition(*PAIR).sortWithinPartitions(*PAIR, "node")
+    names = [*PAIR, "slot", "own", "node", "part"]
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            for group in _groups(batches, ("band", "i", "j")):
-                i, j, own = group["i"][0], group["j"][0], group["own"]
-                facts = [group[n] for n in ("node", "part", "n_shingles")]
-                signs = np.frombuffer(b"".join(group["bytes"]), dtype=np.uint8)
-                facts += [signs.reshape(-1, COORDINATES), np.stack(group["bands"])]
-                left, right = ([fact[own == k] for fact in facts] for k in (i, j))
-                pairs = list(_alike(left, right, int(group["slot"][0]), best_only))
-                if pairs:
-                    both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-                    yield {"a": both[:, 0], "b": both[:, 1]}
+            for group in _groups(batches, PAIR):
+                pair = Pair(group)
+                chosen = np.zeros(len(pair.node), dtype=bool)
+                for k in pair.rows():
+                    found = pair.others(k)
+                    chosen[found] = True
+                    chosen[k] |= len(found) > 0
+                if chosen.any():
+                    yield {name: group[name][chosen] for name in names}
 
         return run
 
-    columns = ordered.select(
-        "band", "i", "j", "slot", "own", "node", "part", "n_shingles", "bytes", "bands"
-    )
-    return map_batches(columns, make, "a bigint, b bigint").distinct()
+    return map_batches(ordered.select(*names, "n_shingles", "bytes", "bands"), make, _DEALT)
+
+
+def forest(chosen: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of each pair of blocks, fewer than its members."""
+    facts = chosen.join(nodes.select("node", "n_shingles", "bytes", "bands"), "node")
+    ordered = facts.join(sets, "node").repartition(*PAIR).sortWithinPartitions(*PAIR, "node")
+
+    def make():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for group in _groups(batches, PAIR):
+                pair = Pair(group)
+                full = [np.frombuffer(blob, dtype=np.uint64) for blob in group["shingles"]]
+                links = []
+                for k in pair.rows():
+                    for other in pair.others(k):
+                        if pair.part[other] != pair.part[k] and similar_sets(full[k], full[other]):
+                            links.append((pair.node[k], pair.node[other]))
+                            pair.part[pair.part == pair.part[other]] = pair.part[k]
+                yield {"a": [a for a, _ in links], "b": [b for _, b in links]}
+
+        return run
+
+    names = [*PAIR, "slot", "own", "node", "part", "n_shingles", "bytes", "bands", "shingles"]
+    return map_batches(ordered.select(*names), make, "a bigint, b bigint").distinct()
+
+
+def similar_sets(left: np.ndarray, right: np.ndarray) -> bool:
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * common >= PERCENT * (len(left) + len(right) - common)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict]:
@@ -287,33 +351,14 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield {n: np.concatenate([part[n] for part in held]) for n in held[0]}
 
 
-def _alike(left: list, right: list, slot: int, best_only: bool) -> Iterator[np.ndarray]:
-    (node, part, size, sign, bands), (node2, part2, size2, sign2, bands2) = left, right
-    for k in range(len(node)):
-        fits = np.flatnonzero(
-            (part2 != part[k])
-            & (100 * np.minimum(size2, size[k]) >= PERCENT * np.maximum(size2, size[k]))
-        )
-        if not len(fits):
-            continue
-        agree = (sign2[fits] == sign[k]).sum(1)
-        near = agree >= LEAST_ALIKE * COORDINATES
-        fits, agree = fits[near], agree[near]
-        first = (bands2[fits] == bands[k]).argmax(1) == slot
-        fits, agree = fits[first], agree[first]
-        if best_only and len(fits):
-            fits = fits[np.lexsort((node2[fits], -agree))[:1]]
-        if len(fits):
-            yield np.stack([np.full(len(fits), node[k]), node2[fits]], axis=1)
-
-
 def distinct_nodes(rows: DataFrame) -> DataFrame:
-    """(node, holder, n_shingles, bands, bytes): a set once; ``holder`` (doc_id, mark) names a
-    row that has it, with a doc_id if one has."""
+    """(node, holder, rows, smallest, n_shingles, bands, bytes): a set once; ``holder`` (doc_id,
+    mark) names a row that has it, with a doc_id if one has."""
     row = F.struct("doc_id", MARK)
     holder = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), row)), F.min(row))
     return rows.filter("node IS NOT NULL").groupBy("node").agg(
-        holder.alias("holder"), F.first("n_shingles").alias("n_shingles"),
+        holder.alias("holder"), F.count(F.lit(1)).alias("rows"),
+        F.min("doc_id").alias("smallest"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"), F.first("bytes").alias("bytes"),
     )
 
@@ -409,9 +454,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
                     if other is None:
                         held = values.copy()
                         continue
-                    common = len(np.intersect1d(held, values, assume_unique=True))
-                    union = len(held) + len(values) - common
-                    if 100 * common >= PERCENT * union:
+                    if similar_sets(held, values):
                         out["a"].append(one)
                         out["b"].append(other)
                 yield out
@@ -468,6 +511,16 @@ def contract(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return labels
 
 
+def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, rows, component): every node with the smallest doc_id of its component."""
+    named = stored(with_label(nodes.select("node", "rows", "smallest"), "node", labels, "label"))
+    smallest = named.groupBy("label").agg(
+        F.min("smallest").alias("component"), F.count(F.lit(1)).alias("rows"))
+    found = map_side_join(named.select("label", "node", F.col("rows").alias("copies")),
+                          stored(smallest), "label")
+    return stored(found.select("node", F.col("copies").alias("rows"), "component"))
+
+
 def near_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, carry...) of every document."""
     docs = marked(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry))
@@ -478,27 +531,16 @@ def near_components(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     members = stored(members.join(shared.select("band"), "band"))
     meeting = nodes.select("node", "holder").join(members.select("node").distinct(), "node")
     sets = stored(node_sets(docs, meeting))
-    tested = stored(first_links(members))
-    labels = contract(confirm(tested, nodes, sets))
+    labels = contract(confirm(stored(first_links(members)), nodes, sets))
     opened = stored(open_members(members, labels))
-    left = BEST_ROUNDS
-    while left >= 0 and not opened.isEmpty():
-        pairs = alike_links(opened, nodes, best_only=left > 0).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-        )
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = stored(confirm(pairs, nodes, sets))
-        tested = tested.unionByName(pairs)
-        if found.isEmpty():
-            left = 0 if left > 0 else -1
-            continue
-        labels = contract(found, labels)
-        opened = stored(open_members(members, labels))
-        left -= 1
-    placed = with_label(rows.select("doc_id", "n_shingles", "node", *carry), "node", labels, "label")
-    smallest = placed.groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    found = placed.join(smallest.filter("label IS NOT NULL"), "label", "left")
-    component = F.coalesce("smallest", "doc_id")
+    chosen = stored(involved(block_pairs(opened), nodes))
+    labels = contract(forest(chosen, nodes, sets), labels)
+    placed = with_components(nodes, labels)
+    joined = map_side_join(rows.select("doc_id", "n_shingles", "node", *carry), placed, "node")
+    empty = rows.filter("node IS NULL").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component"), *carry)
+    found = joined.select(empty.columns).unionByName(empty)
+    component = F.coalesce("component", "doc_id")
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"), *carry,

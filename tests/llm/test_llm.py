@@ -199,9 +199,50 @@ def test_alike_pair_whose_bytes_agree_in_a_band_it_does_not_share(spark):
     opened = spark.createDataFrame(
         [(777, 5, n, n) for n in (1, 2, 3)] + [(888, 7, n, n) for n in (2, 3)],
         "band bigint, slot int, node bigint, part bigint")
-    for best_only in (True, False):
-        found = circulant.alike_links(opened, nodes, best_only).collect()
-        assert [tuple(r) for r in found] == [(2, 3)]
+    chosen = circulant.involved(circulant.block_pairs(opened), nodes)
+    assert {r.node for r in chosen.collect()} == {2, 3}
+    full = np.arange(10, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(n, full) for n in (1, 2, 3)], "node bigint, shingles binary")
+    found = circulant.forest(chosen, nodes, sets).collect()
+    assert [tuple(r) for r in found] == [(2, 3)]
+
+
+@pytest.mark.parametrize("block", [7, circulant.BLOCK])
+def test_group_of_near_copies_larger_than_a_block(spark, monkeypatch, block):
+    """Two clusters whose members are alike in pairs, hard to tell apart, against brute force;
+    links stay fewer than members of the groups."""
+    monkeypatch.setattr(circulant, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for i in range(120):
+        own = base[:]
+        for _ in range(1 + i % 4):
+            own[rng.randrange(80)] = f"n{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [set(s.tolist()) for s in circulant.shingle_sets(texts)]
+    label = list(range(len(texts)))
+    for i, one in enumerate(sets):
+        for j in range(i):
+            if 100 * len(one & sets[j]) >= 75 * len(one | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    found = {r.doc_id: r.component_id for r in circulant.near_components(docs).collect()}
+    assert found == dict(enumerate(label))
+    assert 3 < len(set(label)) < 100
+    # Every member a component of its own: all pairs are looked at, a forest comes out.
+    marked = circulant.marked(docs)
+    nodes = circulant.stored(circulant.distinct_nodes(
+        circulant.describe(marked, (circulant.MARK,))))
+    opened = nodes.select(F.posexplode("bands").alias("slot", "band"), "node").select(
+        "band", "slot", "node", F.col("node").alias("part"))
+    several = opened.groupBy("band").count().filter("count > 1").select("band")
+    dealt = circulant.block_pairs(opened.join(several, "band"))
+    chosen = circulant.stored(circulant.involved(circulant.stored(dealt), nodes))
+    links = circulant.forest(chosen, nodes, circulant.node_sets(marked, nodes)).collect()
+    groups = chosen.select("band", "i", "j").distinct().count()
+    assert 0 < len(links) <= chosen.count() - groups
 
 
 def test_similar_pair_with_a_poor_estimate_is_confirmed(spark):
