@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-import zlib
-
-import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.catalog import sql as S
@@ -14,7 +9,7 @@ from plumbline.catalog.base import big, joined, query, six
 from plumbline.catalog.texts import CARD, RATES, SIGNAL_LINE
 from plumbline.functions.vector import norm
 from plumbline.operators import checks, enrich
-from plumbline.operators.durable import durable
+from plumbline.operators.durable import durable, work_folder
 from plumbline.plans.jobs import encoder_texts, profile_cards, shortlist
 from plumbline.sources.tables import coverage_gaps, manifest, mirror
 
@@ -69,30 +64,14 @@ def prompts(data):
     )
 
 
-def stand_in():
-    """A pure function in place of a model.
-
-    It leaves the second entry out of every batch of several, fails outright on
-    entries that mention a license, and wraps its answer in prose. It is an inner
-    function, so that it travels to the workers by value.
-    """
-
-    def reply(prompt: str) -> str:
-        entries = re.split(r"(?m)^\[\d+\] id: ", prompt.split("CANDIDATES:\n\n", 1)[1])[1:]
-        if len(entries) == 1 and "license" in entries[0].lower():
-            raise RuntimeError("no answer")
-        found = []
-        for place, entry in enumerate(entries):
-            name, text = entry.split("\n", 1)
-            if place == 1 or "license" in text.lower():
-                continue
-            found.append(
-                {"id": name, "role_archetype": "Data Scientist", "domain": "NLP/IR",
-                 "product_vs_services": str(len(text.strip()) / 10000)}
-            )
-        return "Here you are:\n" + json.dumps({"results": found}) + "\nAnything else?"
-
-    return reply
+def recorded(todo):
+    """Answers made of the cards themselves; cards that mention a license have none."""
+    record = F.struct(
+        "id", F.lit("Data Scientist").alias("role_archetype"), F.lit("NLP/IR").alias("domain"),
+        (F.length(F.trim("text")) / F.lit(10000)).cast("string").alias("product_vs_services"),
+    )
+    answers = todo.filter(~F.contains(F.lower("text"), F.lit("license")))
+    return enrich.from_records(answers.select("id", F.to_json(record).alias("record")))
 
 
 @query(
@@ -106,7 +85,7 @@ def stand_in():
 )
 def enriched(data):
     todo = durable(_todo(data))
-    found, _ = enrich.enrich(todo, stand_in(), HEAD, batch_size=BATCH, retries=1)
+    found, _ = enrich.enrich(todo, recorded(todo), HEAD, batch_size=BATCH, retries=1)
     return found.select(
         "id", F.col("role_archetype").alias("role"), "domain",
         six("product_vs_services").alias("product"),
@@ -118,7 +97,8 @@ def enriched(data):
     S.using("SELECT id FROM batched WHERE contains(lower(card), 'license')", *_VIEWS, **_CARDS),
 )
 def failed(data):
-    _, lost = enrich.enrich(durable(_todo(data)), stand_in(), HEAD, batch_size=BATCH, retries=0)
+    todo = durable(_todo(data))
+    _, lost = enrich.enrich(todo, recorded(todo), HEAD, batch_size=BATCH, retries=0)
     return lost.orderBy("id")
 
 
@@ -132,20 +112,6 @@ def first_pending(data):
     return rows.select("id")
 
 
-def bag_of_words(dim: int = 64):
-    """Test encoder: hashed word counts, unit length."""
-
-    def encode(texts):
-        matrix = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for word in text.lower().split():
-                matrix[row, zlib.crc32(word.encode()) % dim] += 1.0
-        lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return matrix / np.where(lengths == 0, 1.0, lengths)
-
-    return encode
-
-
 @query(
     "n5_encoded",
     S.using(
@@ -155,12 +121,33 @@ def bag_of_words(dim: int = 64):
     ),
 )
 def encoded(data):
-    """Vectors for the records that have none yet."""
-    rows = enrich.encode_pending(encoder_texts(data), data.vectors, bag_of_words())
+    """Vectors for the records that have none yet, committed chunk by chunk."""
+    folder = work_folder(data.spark, "vectors")
+    texts = encoder_texts(data, "doc_id")
+    done = data.table("embeddings").select(F.col("vec_id").alias("doc_id"))
+    enrich.encode_chunks(texts, done, enrich.hashed_words(64), folder, "doc_id")
+    rows = enrich.read_chunks(data.spark, folder, "doc_id")
     return rows.select("id", big(F.size("embedding")).alias("n"),
                        six(norm(F.col("embedding"))).alias("length"))
 
 
+@query(
+    "n5_pending_ranges",
+    """WITH flagged AS (SELECT doc_id, text, doc_id IN (SELECT vec_id FROM embeddings
+        WHERE label <> 3) AS done FROM documents),
+      placed AS (SELECT doc_id, done, row_number() OVER (ORDER BY doc_id) - row_number() OVER
+        (PARTITION BY done ORDER BY doc_id) AS run FROM flagged)
+    SELECT min(doc_id) AS low, max(doc_id) AS high, count(*) AS rows, 0::BIGINT AS gaps
+    FROM placed WHERE NOT done GROUP BY run""",
+)
+def pending_ranges(data):
+    """What is left to encode when the vectors of one class are missing."""
+    done = data.table("embeddings").filter("label <> 3").select(F.col("vec_id").alias("doc_id"))
+    return enrich.pending_ranges(
+        data.documents, done, "doc_id", most=1 << 30).select(
+        "low", "high", "rows", big("gaps").alias("gaps"))
+
+
 # --- artifact tables -----------------------------------------------------------
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import functions as F
 
 from plumbline.catalog import sql as S
@@ -15,6 +12,8 @@ from plumbline.config import GAP_CUES, GENERIC_WORDS
 from plumbline.functions import grounding as gr
 from plumbline.functions import text as tx
 from plumbline.operators import explain
+from plumbline.operators.durable import durable
+from plumbline.operators.enrich import from_records
 from plumbline.operators.neardup import similar
 from plumbline.operators.summary import gap_honesty, text_counts
 from plumbline.plans.jobs import ranked_top, scored_pool, write_explanations
@@ -280,27 +279,16 @@ def counts(data):
 
 @query("g10_accepted_texts")
 def accepted(data):
-    """Texts of the best hundred that have none, from a stand-in generator.
+    """Texts of the best hundred that have none, from recorded answers that repeat the title.
 
-    The generator repeats the facts it was given; facts that look alike give texts
-    that look alike, which exercises retry and fallback.
+    Records with one title get one text, which exercises retry and fallback.
     """
     top = ranked_top(data, TOP)
+    said = F.concat(F.lit("works as "), F.lower(gr.clean_title(F.col("title"))),
+                    F.lit(" and fits the search role well."))
+    record = F.to_json(F.struct("id", said.alias("reasoning")))
+    ask = from_records(durable(top.select("id", record.alias("record"))))
     rows = write_explanations(
-        top, data.texts_pool, data.texts, data.settings, {"domains": ["ranking"]}, stand_in()
+        top, data.texts_pool, data.texts, data.settings, {"domains": ["ranking"]}, ask
     )
     return rows.select("id", "rank", "text", "source", "attempt")
-
-
-def stand_in():
-    """A pure function in place of a model: one sentence per entry of the prompt."""
-
-    def reply(prompt: str) -> str:
-        entries = re.findall(r"\[\d+\] id: (\S+)\n.*?\nrole: ([^;]+);", prompt, re.S)
-        texts = [
-            {"id": i, "reasoning": f"works as {t.strip().lower()} and fits the search role well."}
-            for i, t in entries
-        ]
-        return "```json\n" + json.dumps(texts) + "\n```"
-
-    return reply

@@ -25,7 +25,7 @@ from plumbline.operators.membership import exclude, with_text
 from plumbline.operators.ordering import positions, top_n
 from plumbline.operators.scored import order_by, score_ids, score_survivors
 from plumbline.operators.shortlist import prefilter
-from plumbline.plans.dataset import Dataset
+from plumbline.plans.dataset import Dataset, records
 from plumbline.sources.tables import validated_rubrics
 
 TOP_N = 100
@@ -114,11 +114,12 @@ def calibration(data: Dataset, grid: Sequence[sweep.Config]) -> DataFrame:
     return rows.join(F.broadcast(names), "config_id")
 
 
-def encoder_texts(data: Dataset) -> DataFrame:
-    """(id, text) given to an encoder for every record."""
+def encoder_texts(data: Dataset, *keys: str) -> DataFrame:
+    """(id, text, keys...) given to an encoder for every record."""
     vector = data.settings.vector
     text = career_text(F.col("profile"), F.col("career_history"), vector.text_chars)
-    return data.texts_pool.select("id", prefixed(vector.passage_prefix, text).alias("text"))
+    rows = records(data.documents)
+    return rows.select("id", prefixed(vector.passage_prefix, text).alias("text"), *keys)
 
 
 def profile_cards(data: Dataset) -> DataFrame:
@@ -136,12 +137,23 @@ def extract_signals(
     limit: int | None = None,
     batch_size: int = 8,
     retries: int = 1,
+    log: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cache-first signal extraction: (new records, failed ids); nothing pending, no call."""
+    """Cache-first signal extraction: (new records, failed ids); nothing pending, no call.
+
+    Replies that an earlier run committed to ``log`` and that never reached the cache are
+    handed on first and not asked for again.
+    """
+    if log is not None:
+        recovered = durable(exclude(enriching.answered(cards.sparkSession, log), cached))
+        if not recovered.isEmpty():
+            on_results(recovered)
+            cached = cached.select("id").unionByName(recovered.select("id"))
     todo = durable(enriching.pending_entries(requested, cached, cards, limit))
     head = enriching.rubric_summary(rubric)
     return enriching.enrich(
-        todo, reply, head, batch_size=batch_size, retries=retries, on_results=on_results
+        todo, enriching.through_model(reply, log), head, batch_size=batch_size,
+        retries=retries, on_results=on_results,
     )
 
 
@@ -151,24 +163,24 @@ def write_explanations(
     cached: DataFrame,
     settings: Settings,
     rubric: dict,
-    reply: Callable[[str], str] | None = None,
+    ask: enriching.Ask | None = None,
     batch_size: int = 6,
 ) -> DataFrame:
     """New explanation rows (id, rank, text, source, attempt) of a ranked cut.
 
-    Without ``reply`` every text is the fallback. A generated text that fails its
+    Without ``ask`` every text is the fallback. A generated text that fails its
     checks, or could collide with an earlier one, is asked for once more.
     """
     todo = durable(facts(exclude(top, cached), pool, settings.text))
     none = todo.select("id", F.lit("").alias("text")).limit(0)
-    if reply is None:
+    if ask is None:
         return todo.select(
             "id", "rank", F.col("fallback").alias("text"),
             F.lit("deterministic").alias("source"), F.lit("fallback").alias("attempt"),
         )
     head = enriching.rubric_summary(rubric)
     entries = prompt_entries(todo, settings.text)
-    generated = ask_texts(entries, reply, head, batch_size)
+    generated = ask_texts(entries, ask, head, batch_size)
     retried, asked = none, todo.select("id").limit(0)
     while True:
         chosen = durable(accept_texts(todo, generated, retried, cached, settings.text))
@@ -178,7 +190,7 @@ def write_explanations(
             return chosen
         asked = asked.unionByName(need)
         retried = retried.unionByName(
-            ask_texts(entries.join(need, "id", "left_semi"), reply, head, 1)
+            ask_texts(entries.join(need, "id", "left_semi"), ask, head, 1)
         )
 
 
@@ -205,11 +217,10 @@ def build_reference(
     return checked.drop("issues").join(vectors, "id")
 
 
-def ask_texts(entries: DataFrame, reply: Callable[[str], str], head: str, size: int) -> DataFrame:
+def ask_texts(entries: DataFrame, ask: enriching.Ask, head: str, size: int) -> DataFrame:
     """(id, text) of one call per batch, without retries."""
     batched = enriching.batches(entries, size)
     expected = durable(batched.select("batch_id", "id"))
     requests = enriching.prompts(batched, enriching.numbered_entry(F.col("text")), head)
-    replies = enriching.call(requests, reply)
-    return durable(enriching.parse_replies(replies, expected, "text").select("id", "text"))
+    return durable(enriching.parse_replies(ask(requests), expected, "text").select("id", "text"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import sys
 
@@ -10,7 +11,6 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from plumbline.catalog.enrichment import bag_of_words
 from plumbline.config import TextSettings
 from plumbline.functions import grounding as gr
 from plumbline.operators import enrich, explain
@@ -40,7 +40,7 @@ def answer(ids):
 def run(spark, reply, n=10, size=4, retries=1):
     passes = []
     found, failed = enrich.enrich(
-        entries(spark, n), reply, "HEAD", batch_size=size, retries=retries,
+        entries(spark, n), enrich.through_model(reply), "HEAD", batch_size=size, retries=retries,
         on_results=lambda df: passes.append(df.count()),
     )
     return sorted(r.id for r in found.collect()), [r.id for r in failed.collect()], passes
@@ -119,6 +119,66 @@ def test_cached_run_makes_no_call(spark, tmp_path):
     assert new.count() == 0 and failed.count() == 0
 
 
+def test_a_run_that_dies_loses_the_requests_it_was_at(spark, tmp_path):
+    """Every reply is committed by itself; the next run asks for the rest only."""
+    log, cache, notes = (str(tmp_path / name) for name in ("log", "cache", "notes"))
+    (tmp_path / "notes").mkdir()
+    pool = entries(spark, 40)
+
+    class Killed(BaseException):
+        """What ends a worker; nothing catches it."""
+
+    def once(dies_at):
+        def reply(prompt):
+            ids = asked(prompt)
+            if dies_at in ids:
+                # The others have time to commit theirs.
+                import time
+
+                time.sleep(8)
+                raise Killed
+            with open(f"{notes}/{'+'.join(ids)}-{dies_at}", "w"):
+                pass
+            return answer(i for i in ids if i != "c09")
+
+        return jobs.extract_signals(
+            pool.select("id"), jsonl.read_signals(spark, cache), pool, reply, {},
+            lambda df: jsonl.append_records(df, cache), batch_size=4, log=log,
+        )
+
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark makes of a lost worker
+        once("c38")
+    assert jsonl.read_signals(spark, cache).count() == 0
+    kept = {r.id for r in enrich.answered(spark, log).collect()}
+    before = {name for name in os.listdir(notes)}
+    assert {"c00", "c01", "c20"} <= kept and not {"c36", "c37", "c38", "c39", "c09"} & kept
+    found, failed = once("nothing")
+    again = {i for name in set(os.listdir(notes)) - before
+             for i in name.rsplit("-", 1)[0].split("+")}
+    assert again == {f"c{i:02d}" for i in range(40)} - kept
+    assert {r.id for r in jsonl.read_signals(spark, cache).collect()} == {
+        f"c{i:02d}" for i in range(40)} - {"c09"}
+    assert [r.id for r in failed.collect()] == ["c09"]
+
+
+def test_units_are_made_once(spark, tmp_path):
+    from plumbline.sources import commits
+
+    def produce(key, rows):
+        return f"{key} {len(list(rows))}\n".encode()
+
+    rows = spark.createDataFrame([(i // 3, i) for i in range(30)], "unit int, i int")
+    ordered = rows.repartition(4, "unit").sortWithinPartitions("unit")
+    folder = str(tmp_path / "units")
+    for _ in range(2):
+        commits.write_units(ordered, folder, "unit", produce, ".txt")
+    assert sorted(r.value for r in spark.read.text(folder).collect()) == sorted(
+        f"{i} 3" for i in range(10))
+    runs = [json.loads((tmp_path / "units" / name).read_text())
+            for name in os.listdir(folder) if name.startswith("_run")]
+    assert sorted((r["made"], r["found"]) for r in runs) == [(0, 10), (10, 0)]
+
+
 def test_bind_expected(spark):
     expected = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "batch_id int, id string")
     returned = spark.createDataFrame(
@@ -131,12 +191,74 @@ def test_bind_expected(spark):
 def test_encoding_resumes(spark):
     texts = entries(spark, 5)
     first = enrich.encode_pending(texts.limit(0).unionByName(texts.filter("id < 'c02'")),
-                                  texts.select("id").limit(0), bag_of_words())
-    rest = enrich.encode_pending(texts, first, bag_of_words())
+                                  texts.select("id").limit(0), enrich.hashed_words(64))
+    rest = enrich.encode_pending(texts, first, enrich.hashed_words(64))
     assert sorted(r.id for r in rest.collect()) == ["c02", "c03", "c04"]
     with pytest.raises(Exception, match="missing its id"):
         bad = spark.createDataFrame([(None, "x")], "id string, text string")
-        enrich.encode_pending(bad, first, bag_of_words()).collect()
+        enrich.encode_pending(bad, first, enrich.hashed_words(64)).collect()
+
+
+def numbered_texts(spark, path, rows=600, files=6):
+    spark.range(rows).select(
+        F.col("id").alias("key"), F.format_string("c%03d", "id").alias("id"),
+        F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"),
+    ).repartitionByRange(files, "key").sortWithinPartitions("key").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_encoding_goes_on_where_it_died(spark, tmp_path):
+    """Chunks are committed one by one; a second run reads and encodes the rest only."""
+    texts = numbered_texts(spark, str(tmp_path / "texts"))
+    folder, notes = str(tmp_path / "vectors"), tmp_path / "notes"
+    notes.mkdir()
+    none = texts.select("key").limit(0)
+    encode = enrich.hashed_words(8)
+
+    def encoder(dies_at, name):
+        def run(batch):
+            if any(text.endswith(f" {dies_at}") for text in batch):
+                import time
+
+                time.sleep(6)
+                raise RuntimeError("out of memory")
+            with open(f"{notes}/{name}-{batch[0].split()[-1]}", "w") as out:
+                out.write("\n".join(batch))
+            return encode(batch)
+
+        return run
+
+    def asked_of(name):
+        return {line.split()[-1] for path in notes.glob(f"{name}-*")
+                for line in path.read_text().splitlines()}
+
+    with pytest.raises(Exception, match="out of memory"):
+        enrich.encode_chunks(texts, none, encoder(250, "first"), folder, "key", chunk=40)
+    kept = {r.key for r in enrich.read_chunks(spark, folder, "key").collect()}
+    assert 400 <= len(kept) < 600 and 250 not in kept
+    ranges = enrich.pending_ranges(texts, enrich.read_chunks(spark, folder, "key"), "key").collect()
+    assert sum(r.rows for r in ranges) == 600 - len(kept) and all(r.gaps == 0 for r in ranges)
+    left = enrich.pending_texts(texts, enrich.read_chunks(spark, folder, "key"), "key")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key" in plan and "Join" not in plan and "Exchange" not in plan
+    enrich.encode_chunks(texts, none, encoder(-1, "second"), folder, "key", chunk=40)
+    assert {int(i) for i in asked_of("second")} == set(range(600)) - kept
+    found = enrich.read_chunks(spark, folder, "key").collect()
+    assert sorted(r.key for r in found) == list(range(600))
+    assert enrich.pending_ranges(texts, enrich.read_chunks(spark, folder, "key"), "key").count() == 0
+    rows = {r.key: r for r in found}
+    assert rows[7].id == "c007" and rows[7].embedding == pytest.approx(
+        [float(x) for x in encode(["text number 7"])[0]])
+
+
+def test_many_ranges_are_drawn_together(spark, tmp_path):
+    texts = numbered_texts(spark, str(tmp_path / "texts"), 200, 3)
+    done = texts.filter("key % 3 = 0").select("key")
+    ranges = enrich.pending_ranges(texts, done, "key", most=10).collect()
+    assert len(ranges) <= 10 and sum(r.rows for r in ranges) == 133
+    assert sum(r.gaps for r in ranges) > 0
+    left = enrich.pending_texts(texts, done, "key")
+    assert {r.key for r in left.collect()} == {i for i in range(200) if i % 3}
 
 
 def test_rubric_summary():
@@ -161,7 +283,7 @@ def test_reference_build(spark):
 
     def build(reply, dim=64):
         rows = spark.createDataFrame([("jd", reply)], "id string, reply string")
-        return jobs.build_reference(rows, bag_of_words(dim), settings).first()
+        return jobs.build_reference(rows, enrich.hashed_words(dim), settings).first()
 
     row = build(good)
     assert row.ideal_text == "a b" and len(row.embedding) == 64
