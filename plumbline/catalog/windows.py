@@ -9,6 +9,7 @@ from plumbline.catalog.base import big, joined, query, six
 from plumbline.config import TERM_WEIGHTS, TERMS
 from plumbline.functions.grounding import leading_terms
 from plumbline.operators import metrics, ordering, sweep
+from plumbline.operators.durable import durable
 from plumbline.operators.sampling import priority_sample
 from plumbline.operators.scored import order_by
 from plumbline.plans.jobs import full_ranking, scored_pool, shortlist
@@ -67,7 +68,7 @@ def rank_lines(data):
 )
 def top_n(data):
     top = ordering.top_n(scored_pool(data), order_by("formatted"), 100)
-    return ordering.require_rows(top, 1).select("id", "rank", "score")
+    return ordering.require_rows(durable(top), 100).select("id", "rank", "score")
 
 
 @query(

@@ -18,7 +18,7 @@ from plumbline.functions.scalar import (
     sentinel_rate,
     unit_rate,
 )
-from plumbline.functions.text import career_text, keyword_evidence
+from plumbline.functions.text import career_text, joined_career, keyword_evidence
 
 
 def availability_parts(activity: Column, settings: ScoreSettings) -> dict[str, Column]:
@@ -61,9 +61,16 @@ def availability_from_blend(blend: Column, floor: Column | float) -> Column:
 
 
 def lexical_evidence(settings: ScoreSettings) -> Column:
-    """Keyword evidence in the career text (columns profile, career_history)."""
-    text = career_text(F.col("profile"), F.col("career_history"), settings.text_chars)
-    return keyword_evidence(text, settings.keywords)
+    """Keyword evidence in the career text (columns profile, career_history).
+
+    White space matters to phrases and to a limit of characters only; without both the text is
+    searched as it is, which saves a pass over it.
+    """
+    profile, career = F.col("profile"), F.col("career_history")
+    terms = [term for category in settings.keywords.values() for term in category]
+    if settings.text_chars is None and all(term.split() == [term] for term in terms):
+        return keyword_evidence(joined_career(profile, career), settings.keywords)
+    return keyword_evidence(career_text(profile, career, settings.text_chars), settings.keywords)
 
 
 def signal_features(cosine: Column, signal: Column, settings: ScoreSettings) -> dict[str, Column]:

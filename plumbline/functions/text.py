@@ -32,16 +32,18 @@ def roles_of(career: Column) -> Column:
     return F.coalesce(career, F.array().cast(f"array<{ROLE}>"))
 
 
+def joined_career(profile: Column, career: Column) -> Column:
+    """Title, summary and role descriptions with their own white space."""
+    return F.concat_ws(" ", profile["current_title"], profile["summary"], career["description"])
+
+
 def career_text(profile: Column, career: Column, max_chars: int | None) -> Column:
     """Title, summary and role descriptions in order; skills never enter.
 
     Squeezing the joined text equals joining the squeezed, non-empty parts, and needs
     one pass over the text.
     """
-    joined = F.concat_ws(
-        " ", profile["current_title"], profile["summary"], career["description"]
-    )
-    text = squeeze(joined)
+    text = squeeze(joined_career(profile, career))
     return text if max_chars is None else F.trim(F.substring(text, 1, max_chars))
 
 

@@ -23,17 +23,14 @@ from plumbline.functions.scoring import (
 )
 from plumbline.operators.membership import (
     restrict,
-    with_membership,
     with_signals,
     with_similarity,
 )
-from plumbline.operators.ordering import first_per_key
-from plumbline.operators.shortlist import prefilter
-
+from plumbline.operators.shortlist import is_contradictory, prefilter, with_impossible
 
 
 def text_features(settings: Settings) -> dict[str, Column]:
-    """Features and facts from profile and career_history."""
+    """Features and facts from profile, career_history and skills."""
     profile = F.col("profile")
     title = F.coalesce(F.nullif(profile["current_title"], F.lit("")), F.lit("(no title)"))
     return {
@@ -42,6 +39,7 @@ def text_features(settings: Settings) -> dict[str, Column]:
         "title": title,
         "years": profile["years_of_experience"],
         "country": profile["country"],
+        "contradictory": is_contradictory(settings.integrity),
     }
 
 
@@ -107,38 +105,34 @@ def score_survivors(
     records: DataFrame,
     similarity: DataFrame,
     signals: DataFrame,
-    flagged: DataFrame,
     settings: Settings,
     source_order: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Rank path: dedup, pre-filter, then features and score of the survivors only.
 
-    ``records`` are narrow. The filter needs titles and similarities alone, so
-    signals and flags are joined to survivors. All joins are on ``id``, which keeps
-    one partitioning throughout.
+    ``records`` are narrow and say themselves whether they are ``contradictory``, so texts are
+    read once. The filter needs titles and similarities alone, so signals are joined to
+    survivors. All joins are on ``id``, which keeps one partitioning throughout.
     """
-    unique = records if source_order is None else first_per_key(records, "id", source_order)
+    unique = with_impossible(records, source_order)
     survivors = prefilter(unique, similarity, settings.filter)
-    return score_joined(survivors, signals, flagged, settings)
+    return score_joined(survivors, signals, settings)
 
 
 def score_ids(
     records: DataFrame,
     similarity: DataFrame,
     signals: DataFrame,
-    flagged: DataFrame,
     ids: DataFrame,
     settings: Settings,
 ) -> DataFrame:
     """Evaluation path: score the (narrow) records of a given id set, without a filter."""
-    chosen = with_similarity(restrict(records, ids), similarity)
-    return score_joined(chosen, signals, flagged, settings)
+    chosen = with_similarity(with_impossible(restrict(records, ids)), similarity)
+    return score_joined(chosen, signals, settings)
 
 
-def score_joined(
-    records: DataFrame, signals: DataFrame, flagged: DataFrame, settings: Settings
-) -> DataFrame:
-    joined = with_membership(with_signals(records, signals), flagged, "impossible")
+def score_joined(records: DataFrame, signals: DataFrame, settings: Settings) -> DataFrame:
+    joined = with_signals(records, signals)
     scored = with_score(assemble_features(joined, settings.score), settings.score)
     text = fixed(F.col("final"))
     return scored.withColumn("score", text).withColumn("score_value", text.cast("double"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.config import FilterSettings, IntegritySettings
 from plumbline.functions.integrity import integrity_reasons
@@ -56,6 +57,35 @@ def threshold_scan(
     return marked.agg(*counts).select(F.inline(F.array(*rows)))
 
 
+def is_contradictory(settings: IntegritySettings) -> Column:
+    """Does any integrity rule fire on (skills, career_history, profile) of the row."""
+    reasons = integrity_reasons(
+        F.col("skills"), F.col("career_history"), F.col("profile.years_of_experience"), settings
+    )
+    return F.size(reasons) > 0
+
+
+def with_impossible(
+    records: DataFrame, source_order: Sequence[Column] | None = None
+) -> DataFrame:
+    """``impossible``: is any record of the id ``contradictory``.
+
+    With ``source_order`` the first record of every id is kept and records without an id are
+    dropped; both take the one exchange by id that the joins on ids use as well.
+    """
+    own = F.col("id").isNotNull() & F.col("contradictory")
+    if source_order is None:
+        any_of = F.max(own).over(Window.partitionBy("id"))
+        return records.withColumn("impossible", any_of).drop("contradictory")
+    keyed = records.filter(F.col("id").isNotNull() & (F.col("id") != ""))
+    ordered = Window.partitionBy("id").orderBy(*source_order)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = keyed.withColumns(
+        {"impossible": F.max(own).over(whole), "_first": F.row_number().over(ordered)}
+    )
+    return marked.filter("_first = 1").drop("_first", "contradictory")
+
+
 def integrity_flags(pool: DataFrame, settings: IntegritySettings) -> DataFrame:
     """(id, reasons) of the contradictory records; records without an id are dropped.
 

@@ -268,12 +268,9 @@ class Dataset:
 
     @property
     def narrow(self) -> DataFrame:
-        """Features and facts per record; texts are reduced before activity is joined."""
-        described = F.transform(
-            F.split("text", "\n", -1), lambda line: F.struct(line.alias("description"))
-        )
-        # The features need the descriptions of the roles and nothing else of them.
-        rows = records(self.documents, described).select(
+        """Features, facts and integrity per record, from one scan of the texts; they are
+        reduced before activity is joined."""
+        rows = records(self.documents).select(
             "doc_id", "id", "source_order",
             *[c.alias(n) for n, c in text_features(self.settings).items()],
         )

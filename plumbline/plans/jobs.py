@@ -22,7 +22,7 @@ from plumbline.operators.explain import (
     with_fallback,
 )
 from plumbline.operators.membership import exclude, with_text
-from plumbline.operators.ordering import positions, top_n
+from plumbline.operators.ordering import positions, require_rows, top_n
 from plumbline.operators.scored import order_by, score_ids, score_survivors
 from plumbline.operators.shortlist import prefilter
 from plumbline.plans.dataset import Dataset, records
@@ -34,7 +34,7 @@ TOP_N = 100
 def scored_pool(data: Dataset) -> DataFrame:
     """Survivors of the pre-filter with features and score."""
     return score_survivors(
-        data.narrow, data.similarity, data.signals, data.flagged, data.settings,
+        data.narrow, data.similarity, data.signals, data.settings,
         [F.col("source_order").asc()],
     )
 
@@ -49,8 +49,11 @@ def ranked_top(data: Dataset, n: int = TOP_N, key: str = "formatted") -> DataFra
 
 
 def ranked_output(data: Dataset, n: int = TOP_N) -> DataFrame:
-    """id, rank, score, reasoning of the best ``n``: the output a run writes."""
-    top = with_fallback(ranked_top(data, n), data.settings.text)
+    """id, rank, score, reasoning of the best ``n``: the output a run writes.
+
+    Fails if fewer than ``n`` records pass the filter.
+    """
+    top = with_fallback(require_rows(ranked_top(data, n), n), data.settings.text)
     return with_text(top, data.texts, F.col("fallback")).select(
         "id", "rank", "score", squeeze(F.col("reasoning")).alias("reasoning"), "text_source"
     )
@@ -64,21 +67,15 @@ def shortlist(data: Dataset) -> DataFrame:
 def full_ranking(data: Dataset, ids: DataFrame | None = None) -> DataFrame:
     """Every record of the shortlist (or of the given ids) at its place, by the raw score."""
     if ids is None:
-        scored = score_survivors(
-            data.narrow, data.similarity, data.signals, data.flagged, data.settings
-        )
+        scored = score_survivors(data.narrow, data.similarity, data.signals, data.settings)
     else:
-        scored = score_ids(
-            data.narrow, data.similarity, data.signals, data.flagged, ids, data.settings
-        )
+        scored = score_ids(data.narrow, data.similarity, data.signals, ids, data.settings)
     return positions(scored.drop("source_order"), order_by("raw"))
 
 
 def shortlist_scores(data: Dataset) -> DataFrame:
     """(id, final, …) of the shortlist: what orders, judges and checks a ranking."""
-    scored = score_survivors(
-        data.narrow, data.similarity, data.signals, data.flagged, data.settings
-    )
+    scored = score_survivors(data.narrow, data.similarity, data.signals, data.settings)
     return scored.select("id", "final", "flags", "impossible", "role_match", "availability")
 
 

@@ -139,6 +139,44 @@ def test_texts_do_not_travel(data):
     assert "profile" not in narrow and "career_history" not in narrow
 
 
+def test_rank_run_reads_texts_once(data):
+    """Features and integrity come from one scan, and no exchange carries a text."""
+    plan = jobs.scored_pool(data)._jdf.queryExecution().optimizedPlan()
+    scans = [str(plan.collectLeaves().apply(i).output().mkString(","))
+             for i in range(plan.collectLeaves().size())]
+    assert sum("text#" in scan for scan in scans) == 1
+    df = jobs.scored_pool(data)
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    nodes = df._jdf.queryExecution().explainString(mode).split("\n\n")
+    exchanges = [node for node in nodes if "Exchange" in node.strip().split("\n")[0]]
+    assert exchanges and not any("text#" in node for node in exchanges)
+    wide = [name for name in jobs.scored_pool(data).columns if name in ("text", "profile")]
+    assert wide == []
+
+
+def test_short_cuts_fail(data):
+    passed = jobs.scored_pool(data).count()
+    assert jobs.ranked_output(data, passed).count() == passed
+    with pytest.raises(od.TooFewRows):
+        jobs.ranked_output(data, passed + 1)
+
+
+def test_any_contradictory_record_marks_its_id(spark):
+    """First record of an id stays; a later contradictory one marks it all the same."""
+    from plumbline.operators.shortlist import with_impossible
+
+    rows = [("a", 1, False), ("a", 2, True), ("b", 1, False), ("c", 1, True), (None, 1, True),
+            (None, 2, False), ("", 3, True)]
+    df = spark.createDataFrame(rows, "id string, line int, contradictory boolean")
+    kept = with_impossible(df, [F.col("line").asc()])
+    assert sorted((r.id, r.line, r.impossible) for r in kept.collect()) == [
+        ("a", 1, True), ("b", 1, False), ("c", 1, True)]
+    every = [(r.id, r.line, bool(r.impossible)) for r in with_impossible(df).collect()]
+    assert sorted(every, key=str) == sorted(
+        [("a", 1, True), ("a", 2, True), ("b", 1, False), ("c", 1, True), (None, 1, False),
+         (None, 2, False), ("", 3, True)], key=str)
+
+
 def test_filter_is_pushed_to_the_scan(data):
     plan = plan_of(data.reference)
     assert "PushedFilters: [IsNotNull(vec_id), EqualTo(vec_id,0)]" in plan
