@@ -19,12 +19,14 @@ doc_id, or earlier in the same document). The construction follows difference co
   the same way, then the blocks that are still open into their strings (the suffixes cut to
   LENGTH), of which all but the first of equal ones are removed.
 
-Strings are equal where prefix hash, shift and string hash (64 bits each) are.
+Strings are equal where prefix hash, shift and string hash (64 bits each) are. A document is a
+doc_id and the hash of a text (``mark``), so texts that share a doc_id are told apart.
 
 Defined cases: a null or empty text has no bytes; texts under LENGTH bytes are kept whole; a
-row without doc_id is neither earlier nor later than any and is kept whole; rows that share a
-doc_id get the union of the spans found for it, and an equal string in a repeat of the same
-row is not earlier; an empty table gives no rows.
+row without doc_id is neither earlier nor later than any and is kept whole; different texts that
+share a doc_id are documents of their own, in the order of their hashes; repeated rows are cut
+alike, and an equal string in a repeat of the same row is not earlier; an empty table gives no
+rows; a carried column must not be called like a column of the result.
 """
 
 from __future__ import annotations
@@ -42,9 +44,9 @@ from plumbline.llm.common import fields, map_batches, map_texts, slices, stored,
 LENGTH, PREFIX, BLOCK = 100, 24, 8
 #: Bytes that are hashed at a time; places in them fit in the low bits of a packed minimum.
 CHUNK, PLACE_BITS = 1 << 19, 20
-SAMPLES = "prefix bigint, rank bigint, doc bigint, place bigint"
-SETTLED = "doc bigint, first bigint, last bigint, prefix bigint, opened boolean"
-STRINGS = "low bigint, high bigint, doc bigint, place bigint"
+SAMPLES = "prefix bigint, rank bigint, doc bigint, mark bigint, place bigint"
+SETTLED = "doc bigint, mark bigint, first bigint, last bigint, prefix bigint, opened boolean"
+STRINGS = "low bigint, high bigint, doc bigint, mark bigint, place bigint"
 RESULT = "doc_id bigint, n_bytes bigint, removed array<struct<first:bigint,past:bigint>>, kept binary"
 
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + 1
@@ -147,9 +149,12 @@ def sample_suffixes(docs: DataFrame) -> DataFrame:
 
     def make():
         def run(keys, texts):
-            out = {"prefix": [], "rank": [], "doc": [], "place": []}
-            keys = np.array([-1 if key is None else key for key in keys], dtype=np.int64)
-            for held, joined in chunked([text.encode() for text in texts]):
+            out = {name.split()[0]: [] for name in SAMPLES.split(", ")}
+            keys = np.array(keys, dtype=np.int64)
+            encoded = [text.encode() for text in texts]
+            marks = np.array([xxhash.xxh64_intdigest(raw, 42) for raw in encoded],
+                             dtype=np.uint64).view(np.int64)
+            for held, joined in chunked(encoded):
                 number, start, end, offset = map(np.array, zip(*held, strict=True))
                 raw = np.frombuffer(joined, dtype=np.uint8)
                 place, first, last, prefix = cover_samples(raw, start, end)
@@ -165,6 +170,7 @@ def sample_suffixes(docs: DataFrame) -> DataFrame:
                 out["prefix"].append(prefix)
                 out["rank"].append(rank.view(np.int64))
                 out["doc"].append(keys[number[at]])
+                out["mark"].append(marks[number[at]])
                 own = place - start[at] + offset[at]
                 out["place"].append((own << 14) | (late << 7) | early)
             return _settle_here(
@@ -179,22 +185,24 @@ def sample_suffixes(docs: DataFrame) -> DataFrame:
     return map_texts(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), make, SAMPLES)
 
 
-def _settle_here(prefix, rank, doc, place) -> dict[str, np.ndarray]:
+def _settle_here(prefix, rank, doc, mark, place) -> dict[str, np.ndarray]:
     """Combines before the shuffle: of samples that tie here, all but the first are settled.
 
     A settled one has its place inverted (negative) and a bucket by its place, so that a
     common passage sends one row per call to its bucket.
     """
-    order = np.lexsort((place, doc, rank, prefix))
-    prefix, rank, doc, place = prefix[order], rank[order], doc[order], place[order]
+    order = np.lexsort((place, mark, doc, rank, prefix))
+    prefix, rank, doc, mark, place = (c[order] for c in (prefix, rank, doc, mark, place))
     tied = np.zeros(len(order), dtype=bool)
     tied[1:] = (prefix[1:] == prefix[:-1]) & (rank[1:] == rank[:-1])
     lead = np.maximum.accumulate(np.where(tied, 0, np.arange(len(order))))
-    repeated = tied & (doc == doc[lead]) & (place == place[lead])  # of a repeated row
+    # Of a repeated row.
+    repeated = tied & (doc == doc[lead]) & (mark == mark[lead]) & (place == place[lead])
     spread = (doc.astype(np.uint64) * _BASE + place.astype(np.uint64)) * _BASE
     out = {
         "prefix": np.where(tied, spread.view(np.int64), prefix),
-        "rank": np.where(tied, 0, rank), "doc": doc, "place": np.where(tied, ~place, place),
+        "rank": np.where(tied, 0, rank), "doc": doc, "mark": mark,
+        "place": np.where(tied, ~place, place),
     }
     return {name: column[~repeated] for name, column in out.items()}
 
@@ -204,7 +212,9 @@ def settle_buckets(samples: DataFrame) -> DataFrame:
 
     An opened sample has its packed place in ``first``.
     """
-    ordered = samples.repartition("prefix").sortWithinPartitions("prefix", "rank", "doc", "place")
+    ordered = samples.repartition("prefix").sortWithinPartitions(
+        "prefix", "rank", "doc", "mark", "place"
+    )
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -214,16 +224,16 @@ def settle_buckets(samples: DataFrame) -> DataFrame:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                columns = [batch.column(i).to_numpy() for i in range(4)]
-                done = columns[3] < 0
+                columns = [batch.column(i).to_numpy() for i in range(5)]
+                done = columns[4] < 0
                 if done.any():
-                    own = ~columns[3][done]
+                    own = ~columns[4][done]
                     yield {
-                        "doc": columns[2][done], "first": (own >> 14) - (own & 127),
+                        "doc": columns[2][done], "mark": columns[3][done], "first": (own >> 14) - (own & 127),
                         "last": (own >> 14) - (own >> 7 & 127),
                         "prefix": np.zeros(len(own), np.int64), "opened": np.zeros(len(own), bool),
                     }
-                prefix, rank, doc, place = (column[~done] for column in columns)
+                prefix, rank, doc, mark, place = (column[~done] for column in columns)
                 if not len(prefix):
                     continue
                 same = np.zeros(len(prefix), dtype=bool)
@@ -235,17 +245,16 @@ def settle_buckets(samples: DataFrame) -> DataFrame:
                     same[0] = True
                     tied[0] = held[1] == rank[0]
                 lead = np.maximum.accumulate(np.where(tied, -1, np.arange(len(prefix))))
-                lead_doc, lead_place = doc[lead], place[lead]
+                leads = np.stack([doc[lead], mark[lead], place[lead]])
                 if goes_on and tied[0]:
-                    before = lead < 0
-                    lead_doc[before], lead_place[before] = held[2], held[3]
-                gone = np.flatnonzero(tied & ((doc != lead_doc) | (place != lead_place)))
+                    leads[:, lead < 0] = np.array(held[2])[:, None]
+                gone = np.flatnonzero(tied & (np.stack([doc, mark, place]) != leads).any(0))
                 # First samples of a rank, the pending one of the last batch before them.
                 at = np.flatnonzero(~tied)
-                heads = np.stack([prefix[at], doc[at], place[at]])
-                pending = held[4] if goes_on else None
+                heads = np.stack([prefix[at], doc[at], mark[at], place[at]])
+                pending = held[3] if goes_on else None
                 if pending is not None:
-                    head = np.array([[held[0]], [pending[0]], [pending[1]]], dtype=np.int64)
+                    head = np.array([held[0], *pending], dtype=np.int64)[:, None]
                     heads = np.concatenate([head, heads], axis=1)
                 names, back, count = np.unique(heads[0], return_inverse=True, return_counts=True)
                 several = count[back] > 1
@@ -258,14 +267,15 @@ def settle_buckets(samples: DataFrame) -> DataFrame:
                     goes_on and pending is None and held[0] == ends
                 )
                 held = (
-                    ends, rank[-1], lead_doc[-1], lead_place[-1],
+                    ends, rank[-1], leads[:, -1].tolist(),
                     None if many else tuple(waiting[:, 0].tolist()),
                 )
                 opened = heads[:, several]
                 own = place[gone] >> 14
                 yield {
                     "doc": np.concatenate([doc[gone], opened[1]]),
-                    "first": np.concatenate([own - (place[gone] & 127), opened[2]]),
+                    "mark": np.concatenate([mark[gone], opened[2]]),
+                    "first": np.concatenate([own - (place[gone] & 127), opened[3]]),
                     "last": np.concatenate(
                         [own - (place[gone] >> 7 & 127), np.zeros(opened.shape[1], np.int64)]
                     ),
@@ -280,10 +290,12 @@ def settle_buckets(samples: DataFrame) -> DataFrame:
 
 def open_samples(docs: DataFrame, opened: DataFrame, opening, schema: str) -> DataFrame:
     """Rows of ``opening(raw, place, late, early, prefix)`` for the opened samples."""
-    wanted = opened.groupBy("doc").agg(
+    wanted = opened.groupBy("doc", "mark").agg(
         F.collect_list(F.struct("first", "prefix")).alias("samples")
     )
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("doc"))
+    # Repeated rows are opened alike; what they send is told apart by nothing and counts once.
+    known = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), "text")
+    texts = known.join(wanted, ["doc", "mark"])
     names = [part.split()[0] for part in schema.split(", ")]
 
     def make():
@@ -291,20 +303,16 @@ def open_samples(docs: DataFrame, opened: DataFrame, opening, schema: str) -> Da
             for whole in batches:
                 for batch in slices(whole, "text"):
                     parts: dict[str, list] = {name: [] for name in names}
-                    columns = (batch.column(n) for n in ("doc", "text", "samples"))
-                    for doc, text, samples in zip(*columns, strict=True):
+                    columns = (batch.column(n) for n in ("doc", "mark", "text", "samples"))
+                    for doc, mark, text, samples in zip(*columns, strict=True):
                         raw = np.frombuffer(text.as_py().encode(), dtype=np.uint8)
                         flat = samples.values.flatten()
                         packed, prefix = (part.to_numpy(False) for part in flat)
-                        # A row with the same doc_id and another text may be shorter.
-                        fits = (packed >> 14) - (packed >> 7 & 127) + LENGTH <= len(raw)
-                        packed = packed[fits]
-                        if not len(packed):
-                            continue
                         found = opening(
-                            raw, packed >> 14, packed >> 7 & 127, packed & 127, prefix[fits]
+                            raw, packed >> 14, packed >> 7 & 127, packed & 127, prefix
                         )
                         found["doc"] = np.full(len(found["place"]), doc.as_py())
+                        found["mark"] = np.full(len(found["place"]), mark.as_py())
                         for name in names:
                             parts[name].append(found[name])
                     yield {
@@ -314,7 +322,7 @@ def open_samples(docs: DataFrame, opened: DataFrame, opening, schema: str) -> Da
 
         return run
 
-    return map_batches(texts.select("doc", "text", "samples"), make, schema)
+    return map_batches(texts.select("doc", "mark", "text", "samples"), make, schema)
 
 
 def as_blocks(raw, place, late, early, prefix) -> dict[str, np.ndarray]:
@@ -342,7 +350,8 @@ def as_strings(raw, place, late, early, prefix) -> dict[str, np.ndarray]:
     start = place[owner] - shift
     return {
         "low": hashes_at(raw, start, LENGTH).view(np.int64),
-        "high": prefix[owner] * 128 + shift, "place": start,
+        "high": (prefix[owner].view(np.uint64) + shift.astype(np.uint64) * _BASE).view(np.int64),
+        "place": start,
     }
 
 
@@ -367,7 +376,7 @@ def hashes_at(raw: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
 def later_strings(strings: DataFrame) -> DataFrame:
     """Starts (doc, first, last) of all strings that also start earlier."""
     ordered = strings.repartition("low", "high").sortWithinPartitions(
-        "low", "high", "doc", "place"
+        "low", "high", "doc", "mark", "place"
     )
 
     def make():
@@ -376,21 +385,24 @@ def later_strings(strings: DataFrame) -> DataFrame:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                low, high, doc, place = (batch.column(i).to_numpy() for i in range(4))
+                low, high, doc, mark, place = (batch.column(i).to_numpy() for i in range(5))
                 tied = np.zeros(len(low), dtype=bool)
                 tied[1:] = (low[1:] == low[:-1]) & (high[1:] == high[:-1])
                 tied[0] = held is not None and (low[0], high[0]) == held[:2]
                 lead = np.maximum.accumulate(np.where(tied, -1, np.arange(len(low))))
-                lead_doc, lead_place = doc[lead], place[lead]
+                leads = np.stack([doc[lead], mark[lead], place[lead]])
                 if tied[0]:
-                    lead_doc[lead < 0], lead_place[lead < 0] = held[2:]
-                held = low[-1], high[-1], lead_doc[-1], lead_place[-1]
-                gone = tied & ((doc != lead_doc) | (place != lead_place))
-                yield {"doc": doc[gone], "first": place[gone], "last": place[gone]}
+                    leads[:, lead < 0] = np.array(held[2])[:, None]
+                held = low[-1], high[-1], leads[:, -1].tolist()
+                gone = tied & (np.stack([doc, mark, place]) != leads).any(0)
+                yield {
+                    "doc": doc[gone], "mark": mark[gone], "first": place[gone],
+                    "last": place[gone],
+                }
 
         return run
 
-    return map_batches(ordered, make, "doc bigint, first bigint, last bigint")
+    return map_batches(ordered, make, "doc bigint, mark bigint, first bigint, last bigint")
 
 
 def cut_text(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[list, bytes]:
@@ -410,22 +422,29 @@ def cut_text(raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[list, byt
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, removed, kept, carry...) of every document."""
+    taken = {part.split()[0] for part in RESULT.split(", ")} | {"text", "_doc", "_mark", "_runs"}
+    if taken & set(carry):
+        raise ValueError(f"carried columns need other names: {sorted(taken & set(carry))}")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *carry)
     settled = stored(settle_buckets(sample_suffixes(docs)))
     blocks = open_samples(docs, settled.filter("opened"), as_blocks, SAMPLES)
     finer = stored(settle_buckets(blocks))
     strings = open_samples(docs, finer.filter("opened"), as_strings, STRINGS)
-    settled_runs = settled.unionByName(finer).filter("NOT opened").select("doc", "first", "last")
+    names = ("doc", "mark", "first", "last")
+    settled_runs = settled.unionByName(finer).filter("NOT opened").select(*names)
     runs = settled_runs.unionByName(later_strings(strings))
-    grouped = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    joined = docs.join(grouped, F.col("doc_id") == F.col("doc"), "left")
+    grouped = runs.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(
+        F.collect_list(F.struct("first", "last")).alias("_runs")
+    )
+    own = (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
+    joined = docs.join(grouped, own, "left")
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for whole in batches:
                 for batch in slices(whole, "text"):
                     out = {name: [] for name in ("n_bytes", "removed", "kept")}
-                    for text, runs in zip(batch.column("text"), batch.column("runs")):
+                    for text, runs in zip(batch.column("text"), batch.column("_runs")):
                         raw = (text.as_py() or "").encode()
                         spans: list = []
                         if runs.is_valid:
@@ -440,7 +459,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
         return run
 
-    columns = joined.select("doc_id", "text", "runs", *carry)
+    columns = joined.select("doc_id", "text", "_runs", *carry)
     return map_batches(columns, make, RESULT + fields(docs, carry))
 
 

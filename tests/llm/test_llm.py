@@ -161,6 +161,36 @@ def test_suffixes(spark):
     assert suffixes.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_suffixes_of_texts_under_one_doc_id(spark):
+    """Texts that share a doc_id are documents of their own, in the order of their hashes."""
+    rng = random.Random(4)
+
+    def letters(n):
+        return "".join(rng.choices("abcdefgh", k=n))
+
+    shared = letters(300)
+    rows = [(1, letters(868)), (1, letters(400) + shared + letters(90)),
+            (1, shared + letters(700)), (2, letters(50) + shared), (2, letters(1148))]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows] + [(*rows[3], 1, 2)],
+                                  "doc_id bigint, text string, doc int, runs int")
+    marks = {r.text: r.mark for r in table.select("text", F.xxhash64("text").alias("mark")).collect()}
+    seen: set[str] = set()
+    want = {}
+    for key, text in sorted(rows, key=lambda row: (row[0], marks[row[1]])):
+        gone = [False] * len(text)
+        for at in range(len(text) - 99):
+            if text[at : at + 100] in seen:
+                gone[at : at + 100] = [True] * 100
+        seen |= {text[at : at + 100] for at in range(len(text) - 99)}
+        want[(key, len(text))] = "".join(c for c, g in zip(text, gone, strict=True) if not g)
+    found = suffixes.remove_repeats(table, ("doc", "runs")).collect()
+    assert len(found) == 6
+    for row in found:
+        assert bytes(row.kept).decode() == want[(row.doc_id, row.n_bytes)]
+    with pytest.raises(ValueError, match="other names"):
+        suffixes.remove_repeats(table.withColumnRenamed("doc", "kept"), ("kept",))
+
+
 def test_near_components(spark, docs, texts):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
