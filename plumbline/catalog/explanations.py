@@ -264,17 +264,28 @@ def gap_rows(data):
                        F.col("mentions_gap").alias("disclosed"))
 
 
+_TOP_CHECKED = {
+    # The evidence of a ranked record belongs to its closed world.
+    "top_pool": f"""SELECT pool.*, coalesce(r.s_evidence, '') AS ev FROM pool
+      JOIN ranked r ON r.id = pool.id WHERE r.rank <= {TOP}""",
+    **_CHECKED,
+    "corp": f"SELECT *, {_CORPUS.format(evidence='ev')} AS corpus FROM top_pool",
+}
+
+
 @query(
     "a12_text_counts",
     S.using(
         """SELECT count(*) AS n, sum((text IS NOT NULL AND made_by = 'llm')::BIGINT)::BIGINT
         AS generated, sum(coalesce(made_by = 'deterministic', false)::BIGINT)::BIGINT AS computed,
-        sum((text IS NULL)::BIGINT)::BIGINT AS missing FROM quality""",
-        "ranked", "texts", quality=_QUALITY["quality"],
+        sum((text IS NULL)::BIGINT)::BIGINT AS missing,
+        (SELECT count(*) FROM issued WHERE len(issues) > 0) AS failed FROM quality""",
+        "pool", "ranked", "texts", **_TOP_CHECKED, quality=_QUALITY["quality"],
     ),
 )
 def counts(data):
-    return text_counts(_quality(data)).select("n", "generated", "computed", "missing")
+    """Where the texts of the best hundred come from, and how many fail their checks."""
+    return text_counts(_quality(data)).select("n", "generated", "computed", "missing", "failed")
 
 
 @query("g10_accepted_texts")

@@ -9,7 +9,7 @@ from plumbline.catalog.base import query
 from plumbline.functions.scalar import fixed
 from plumbline.operators import checks
 from plumbline.operators.durable import durable
-from plumbline.plans.jobs import ranked_output
+from plumbline.plans.jobs import TOP_N, ranked_output
 
 PATTERN = r"^[A-Z]+_[0-9]{7,}$"
 #: Rows that the output should have; the orders are fewer or more.
@@ -127,7 +127,7 @@ def all_violations(data):
 
 @query("q7_ranked_output_is_valid", """SELECT '' AS "check", 0::BIGINT AS n WHERE false""")
 def own_output(data):
-    """The ranked output itself breaks no constraint (a small pool fills a shorter cut)."""
-    output = durable(ranked_output(data))
-    rows = output.select("id", F.col("rank").cast("string").alias("rank"), "score")
-    return _count(checks.output_violations(rows, output.count(), PATTERN))
+    """The ranked output itself breaks no constraint and has all its rows."""
+    rows = durable(ranked_output(data, TOP_N)).select(
+        "id", F.col("rank").cast("string").alias("rank"), "score")
+    return _count(checks.output_violations(rows, TOP_N, PATTERN))
