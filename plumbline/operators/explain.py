@@ -23,6 +23,7 @@ from plumbline.functions.text import mentions_gap
 from plumbline.operators.durable import durable
 from plumbline.operators.membership import restrict
 from plumbline.operators.neardup import similar_pairs
+from plumbline.operators.textindex import TextIndex
 
 
 def with_fallback(top: DataFrame, settings: TextSettings) -> DataFrame:
@@ -83,14 +84,15 @@ def accept_texts(
     fact_rows: DataFrame,
     generated: DataFrame,
     retried: DataFrame,
-    accepted: DataFrame,
+    accepted: TextIndex,
     settings: TextSettings,
 ) -> DataFrame:
     """(id, rank, text, source, attempt): first text, else its retry, else the fallback.
 
     Rows are decided in rank order: a text is taken when it passes the checks and is
     not similar to any text decided before it (nor to an earlier accepted one). That
-    order is followed exactly, but in rounds instead of row by row: a version is
+    order is followed exactly; earlier accepted texts are looked up in their index, and the new
+    ones are compared with one another, in rounds instead of row by row: a version is
     dropped as soon as a similar earlier version is taken, and taken as soon as all
     similar earlier versions are dropped. Input is a top-n, so a round is small; the
     number of rounds is the longest chain of similar texts.
@@ -108,13 +110,13 @@ def accept_texts(
         "id", "rank", F.lit(2).alias("version"), F.col("fallback").alias("text"),
         F.lit(True).alias("valid"),
     )
-    before = accepted.select(
-        "id", F.lit(0).cast("bigint").alias("rank"), F.lit(-1).alias("version"), "text",
-        F.lit(True).alias("valid"),
-    )
     versions = version(generated, 0).unionByName(version(retried, 1)).unionByName(last)
     node = F.concat_ws("|", F.col("version").cast("string"), "id")
-    nodes = durable(versions.unionByName(before).filter("valid").withColumn("node", node))
+    valid = durable(versions.filter("valid").withColumn("node", node))
+    texts = valid.select(F.col("node").alias("id"), "text")
+    asked = texts.join(valid.filter("version < 2").select(F.col("node").alias("id")), "id")
+    stale = accepted.similar_to(asked).select(F.col("id").alias("node")).distinct()
+    nodes = durable(valid.join(stale, "node", "left_anti"))
     pairs = similar_pairs(nodes.select(F.col("node").alias("id"), "text"), settings.similar_at)
     both = pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other")))
     mine = nodes.select(F.col("node"), F.col("rank"), F.col("version"))
@@ -125,14 +127,12 @@ def accept_texts(
         .select("node", "other")
     )
     # A later version of a record waits for its earlier versions.
-    state = nodes.withColumn(
-        "taken", F.when(F.col("version") == -1, True).cast("boolean")
-    )
+    state = nodes.withColumn("taken", F.lit(None).cast("boolean"))
     while True:
         state = durable(_decide(state, edges))
         if state.filter("taken IS NULL").isEmpty():
             break
-    chosen = state.filter("taken AND version >= 0")
+    chosen = state.filter("taken")
     return chosen.select(
         "id", "rank", "text",
         F.when(F.col("version") == 2, "deterministic").otherwise("llm").alias("source"),

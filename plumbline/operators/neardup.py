@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import fingerprint_words
-from plumbline.operators.durable import stored
+from plumbline.operators.durable import durable, stored
 from plumbline.operators.skew import map_side_join, salted_join
 
 # Members of one bucket in one block; a task compares two blocks at a time.
@@ -435,20 +435,25 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, other) with id < other for every similar pair of a *cut* of texts.
 
     The result itself is all similar pairs, so this is for report-sized inputs (the
-    texts of a top-n); whole tables are answered by :func:`near_duplicates`.
+    texts of a top-n), whose joins need no care for hot words; whole tables are answered by
+    :func:`near_duplicates`, texts against a collection by ``textindex``.
     """
-    sets = stored(
-        texts.select(F.col("id").alias("key"), fingerprint_words(F.col("text")).alias("words"))
+    worded = durable(
+        texts.select("id", fingerprint_words(F.col("text")).alias("words"))
         .filter(F.size("words") > 0)
-        .select(F.monotonically_increasing_id().alias("set"), "key", "words")
     )
-    ranked = stored(ranked_sets(sets, word_order(sets)))
-    placed = prefixes(ranked, threshold).select("token", "set")
-    pairs = stored(placed.join(placed.withColumnRenamed("set", "other"), "token").filter(
-        F.col("set") < F.col("other")).select("set", "other").distinct())
-    found = verified(pairs, ranked, threshold)
-    names = sets.select("set", "key")
-    left = found.join(names.withColumnRenamed("key", "a"), "set")
-    both = left.join(
-        names.select(F.col("set").alias("other"), F.col("key").alias("b")), "other")
-    return both.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"))
+    tokens = worded.select("id", F.explode("words").alias("word"))
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    # A group is the words of one text.
+    ordered = tokens.join(counts, "word").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("rows", "word"))).alias("w")
+    )
+    size = F.size("w")
+    keep = size - F.ceil(F.lit(threshold) * size - F.lit(EPSILON)).cast("int") + F.lit(1)
+    placed = durable(ordered.select("id", F.explode(F.slice(F.col("w.word"), 1, keep)).alias("t")))
+    pairs = placed.join(placed.withColumnRenamed("id", "other"), "t").filter(
+        F.col("id") < F.col("other")).select("id", "other").distinct()
+    right = worded.select(F.col("id").alias("other"), F.col("words").alias("other_words"))
+    both = pairs.join(worded, "id").join(right, "other")
+    return both.filter(similar(F.col("words"), F.col("other_words"), threshold)).select(
+        "id", "other")

@@ -25,6 +25,7 @@ from plumbline.operators.membership import exclude, with_text
 from plumbline.operators.ordering import positions, require_rows, top_n
 from plumbline.operators.scored import order_by, score_ids, score_survivors
 from plumbline.operators.shortlist import prefilter
+from plumbline.operators.textindex import TextIndex
 from plumbline.plans.dataset import Dataset, records
 from plumbline.sources.tables import validated_rubrics
 
@@ -179,8 +180,10 @@ def write_explanations(
     entries = prompt_entries(todo, settings.text)
     generated = ask_texts(entries, ask, head, batch_size)
     retried, asked = none, todo.select("id").limit(0)
+    index = TextIndex(pool.sparkSession, settings.text.similar_at)
+    index.add(cached.select("id", "text"))
     while True:
-        chosen = durable(accept_texts(todo, generated, retried, cached, settings.text))
+        chosen = durable(accept_texts(todo, generated, retried, index, settings.text))
         # Retries can push aside a text that was fine before; it then gets its own retry.
         need = durable(exclude(chosen.filter("attempt <> 'generated'").select("id"), asked))
         if need.isEmpty():

@@ -15,9 +15,10 @@ from plumbline.config import TextSettings
 from plumbline.functions import grounding as gr
 from plumbline.operators import enrich, explain
 from plumbline.operators.membership import bind_expected, pending
+from plumbline.operators.textindex import TextIndex
 from plumbline.plans import jobs
 from plumbline.sources import jsonl
-from test_neardup import similar
+from test_neardup import corpus, similar
 
 TEXT = TextSettings()
 # Workers cannot import test modules, so the helpers below travel by value.
@@ -390,9 +391,11 @@ def test_acceptance_equals_the_sequential_rule(spark):
         return spark.createDataFrame(list(texts.items()), "id string, text string")
 
     cached = spark.createDataFrame([("old", accepted[0])], "id string, text string")
+    index = TextIndex(spark, TEXT.similar_at)
+    index.add(cached)
     got = {
         r.id: (r.attempt, r.text)
-        for r in explain.accept_texts(fact_rows, frame(generated), frame(retried), cached,
+        for r in explain.accept_texts(fact_rows, frame(generated), frame(retried), index,
                                       TEXT).collect()
     }
 
@@ -402,3 +405,32 @@ def test_acceptance_equals_the_sequential_rule(spark):
     expected = sequential(facts, generated, retried, accepted, ok)
     assert got == expected
     assert {a for a, _ in expected.values()} == {"generated", "regenerated", "fallback"}
+
+
+def test_text_index(spark, tmp_path):
+    """New texts against two additions and a folder opened again, by brute force."""
+    texts = [(i, text) for i, _, text in corpus(7, 150)]
+    first, second, new = texts[:60], texts[60:110], texts[110:]
+    folder = str(tmp_path / "index")
+
+    def frame(rows):
+        return spark.createDataFrame(rows, "id string, text string")
+
+    index = TextIndex(spark, 0.85, folder)
+    assert index.similar_to(frame(new)).count() == 0
+    index.add(frame(first))
+    index.add(frame(second))
+    for opened in (index, TextIndex(spark, 0.85, folder)):
+        got = [(r.id, r.other) for r in opened.similar_to(frame(new)).collect()]
+        wanted = {(a, b) for a, x in new for b, y in first + second if similar(x, y)}
+        assert len(got) == len(set(got)) and set(got) == wanted and wanted
+    ranks = [r["rank"] for r in index.table("words").collect()]
+    assert len(ranks) == len(set(ranks))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tokens = spark.range(50).select(F.col("id").alias("token")).repartition(64, "token")
+        plan = index.table("members").join(tokens, "token")._jdf.queryExecution()
+        text = plan.executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text
