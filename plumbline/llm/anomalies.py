@@ -135,38 +135,69 @@ def average_path(n: int) -> float:
     return 2.0 * (np.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow_forest(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> list:
-    """Trees grown in tasks, each on the ``sample`` rows with the smallest hash for it.
+def draws(rows: np.ndarray, tree: int) -> np.ndarray:
+    """One number per row hash and tree; the rows with the smallest ones are the tree's."""
+    mixed = rows ^ np.uint64((tree + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def smallest(draw: np.ndarray, points: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``sample`` rows with the smallest draws, ties by their features."""
+    if len(draw) <= sample:
+        return draw, points
+    order = np.lexsort((*points.T, draw))[:sample]
+    return draw[order], points[order]
+
 
-    The samples are cut per partition before they meet (top rows per tree), so a shuffle
-    carries at most trees * sample rows from a partition.
+def draw_samples(rows: DataFrame, trees: int, sample: int) -> DataFrame:
+    """(tree, draw, FEATURES...): what each partition offers every tree.
+
+    A row reaches Python once, with one hash. A task holds ``trees`` * ``sample`` rows, and
+    gives out no more; a row is copied only for the trees that it beats a held row of.
     """
-    numbered = F.sequence(F.lit(0), F.lit(trees - 1))
-    draw = F.xxhash64(F.col("doc_id"), F.col("tree"), *[F.col(name) for name in FEATURES])
-    drawn = rows.select("doc_id", *FEATURES, F.explode(numbered).alias("tree"))
-    keyed = drawn.withColumn("draw", draw)
+    row = F.xxhash64("doc_id", *FEATURES).alias("row")
+    columns = ", ".join(f"{name} double" for name in FEATURES)
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            held = None
+            width = len(FEATURES)
+            held = [(np.zeros(0, np.uint64), np.zeros((0, width)))] * trees
             for batch in batches:
-                frame = batch.to_pandas()
-                held = frame if held is None else pd.concat([held, frame])
-                held = held.sort_values("draw").groupby("tree").head(sample)
-            if held is not None:
-                yield {name: held[name].to_numpy() for name in held}
+                hashes = batch.column("row").to_numpy().view(np.uint64)
+                points = np.column_stack([batch.column(n).to_numpy(False) for n in FEATURES])
+                for tree in range(trees):
+                    draw, kept = held[tree]
+                    fresh = draws(hashes, tree)
+                    better = np.flatnonzero(
+                        fresh <= draw.max() if len(draw) >= sample else np.ones(len(fresh), bool)
+                    )
+                    if len(better):
+                        held[tree] = smallest(
+                            np.concatenate([draw, fresh[better]]),
+                            np.concatenate([kept, points[better]]), sample,
+                        )
+            for tree, (draw, kept) in enumerate(held):
+                if len(draw):
+                    yield {"tree": np.full(len(draw), tree), "draw": draw.view(np.int64)} | {
+                        name: kept[:, i] for i, name in enumerate(FEATURES)
+                    }
 
         return run
 
-    columns = ", ".join(f"{name} double" for name in FEATURES)
-    cut = map_batches(
-        keyed.select("tree", "draw", *FEATURES), make, f"tree int, draw bigint, {columns}"
-    )
+    return map_batches(rows.select(row, *FEATURES), make, f"tree int, draw bigint, {columns}")
+
+
+def grow_forest(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> list:
+    """Trees grown in tasks, each on the ``sample`` rows with the smallest draws for it."""
+    cut = draw_samples(rows, trees, sample)
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
-        chosen = frame.sort_values(["draw", *FEATURES]).head(sample)
-        number = int(chosen["tree"].iloc[0])
-        tree = grow_tree(chosen[list(FEATURES)].to_numpy(), number)
+        number = int(frame["tree"].iloc[0])
+        draw = frame["draw"].to_numpy().view(np.uint64)
+        _, chosen = smallest(draw, frame[list(FEATURES)].to_numpy(), sample)
+        tree = grow_tree(chosen, number)
         names = ("feature", "split", "left", "path")
         return pd.DataFrame(
             {"tree": [number], "rows": [len(chosen)]} | {n: [v] for n, v in zip(names, tree)}
@@ -246,7 +277,13 @@ def calibrate(scored: DataFrame, labels: DataFrame, false_rejects: float = FALSE
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, counts, base_failed, kept, score, carry...) of every document."""
+    """(doc_id, counts, base_failed, kept, score, carry...) of every document.
+
+    A carried column that is named like one of these, or like a statistic, is an error.
+    """
+    taken = {"doc_id", "text", "base_failed", "kept", "score", *STATISTICS, *FEATURES}
+    if taken & set(carry):
+        raise ValueError(f"carried columns need other names: {sorted(taken & set(carry))}")
     rows = stored(with_features(count_rules(docs, carry)))
     forest = grow_forest(rows.filter(~F.col("base_failed")))
     scored = stored(score_rows(rows, forest, carry))

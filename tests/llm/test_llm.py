@@ -331,6 +331,59 @@ def test_vectors_are_copied_to_the_blocks_that_ask_for_their_cell(spark):
     assert found == [(1, 0), (2, 0), (2, 1)]
 
 
+def test_forest_samples_are_the_smallest_draws(spark):
+    rows = [(i, *[float((i * 7 + j * 3) % 11) for j in range(8)]) for i in range(900)]
+    rows += [rows[5]] * 40 + [(None, *[float(j) for j in range(8)])] * 3  # repeated, no id
+    schema = "doc_id bigint, " + ", ".join(f"{n} double" for n in anomalies.FEATURES)
+    table = spark.createDataFrame(rows, schema).repartition(6)
+    offered = anomalies.draw_samples(table, 4, 30).toPandas()
+    assert len(offered) <= 6 * 4 * 30
+    hashed = table.select(
+        F.xxhash64("doc_id", *anomalies.FEATURES).alias("row"), *anomalies.FEATURES).toPandas()
+    points = hashed[list(anomalies.FEATURES)].to_numpy()
+    for tree in range(4):
+        every = anomalies.draws(hashed["row"].to_numpy().view(np.uint64), tree)
+        wanted = sorted(zip(every.tolist(), map(tuple, points.tolist())))[:30]
+        mine = offered[offered["tree"] == tree]
+        draw, kept = anomalies.smallest(
+            mine["draw"].to_numpy().view(np.uint64),
+            mine[list(anomalies.FEATURES)].to_numpy(), 30)
+        assert sorted(zip(draw.tolist(), map(tuple, kept.tolist()))) == wanted
+    first, again = anomalies.grow_forest(table, 4, 30), anomalies.grow_forest(
+        table.repartition(3), 4, 30)
+    assert [tree[0] for tree in first] == [30] * 4
+    assert all((a == b).all() for x, y in zip(first, again) for a, b in zip(x[1:], y[1:]))
+    assert anomalies.grow_forest(table.limit(0)) == []
+
+
+def test_isolation_finds_the_far_rows():
+    near = np.random.default_rng(1).normal(size=(256, 8))
+    forest = []
+    for seed in range(50):
+        tree = anomalies.grow_tree(near, seed)
+        forest.append((256, *map(np.array, tree)))
+    scores = anomalies.anomaly_scores(forest, np.vstack([near, np.full((1, 8), 9.0)]))
+    assert scores[-1] > scores[:-1].max()
+
+    def walk(tree, point):
+        _, feature, split, left, path = tree
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] + int(point[feature[node]] > split[node])
+        return path[node]
+
+    mean = np.mean([walk(tree, near[3]) for tree in forest])
+    assert np.isclose(scores[3], 2 ** (-mean / anomalies.average_path(256)))
+
+
+def test_quality_rules_refuses_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, score int")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert anomalies.quality_rules(docs, labels).count() == 1
+    with pytest.raises(ValueError, match="score"):
+        anomalies.quality_rules(docs, labels, ("score",))
+
+
 def test_quality_rules(spark):
     assert anomalies.rule_counts("a a a a\nx|\nx|\n \n")[:5] == (6, 8, 2, 1, 4)
     rows = [(i, " ".join(f"word{(i * 7 + j) % 400}" for j in range(80))) for i in range(300)]
