@@ -221,10 +221,48 @@ def outside_rows(data):
                        "career_history", "suggested_rationale")
 
 
-@query("s19_review_cards")
+_OUTSIDE = f"""SELECT 'honeypot_pool' AS category, f.id, title AS current_title,
+    {S.fix('years', 1)} AS years_experience, lang AS country, true AS impossible,
+    {_clip('summary', 280)} AS summary, {EXCERPT} AS career_history, 0 AS suggested_tier,
+    '[SUGGESTION — overwrite] honeypot (' || array_to_string(reasons, ', ') ||
+    ') excluded by the pre-filter → tier 0' AS suggested_rationale
+    FROM (SELECT * FROM flagged WHERE id NOT IN (SELECT id FROM matched) ORDER BY id LIMIT 2)
+    f JOIN docs ON docs.id = f.id"""
+
+
+def _card() -> str:
+    """The card of a row of ``sheet``, whose years are text."""
+    facts = [
+        f"""'| {label} | ' || replace(regexp_replace(nullif({name}::VARCHAR, ''),
+          '[ \\t\\n\\r]+', ' ', 'g'), '|', '\\|') || ' |'"""
+        for label, name in sampling.CARD_FACTS.items()
+    ]
+    texts = [
+        f"""chr(10) || '> **{label}.** ' ||
+          replace(nullif({name}::VARCHAR, ''), chr(10), chr(10) || '> ')"""
+        for label, name in sampling.CARD_TEXTS.items()
+    ]
+    head = ["'### `' || id || '`' || chr(10)", "'| Fact | Value |' || chr(10) || '| --- | --- |'"]
+    tail = """chr(10) || 'Draft tier: ' || coalesce(suggested_tier::VARCHAR, 'none') || chr(10) ||
+      'Decision:' || chr(10) || 'Remarks:' || chr(10)"""
+    return "concat_ws(chr(10), " + ", ".join([*head, *facts, *texts, tail]) + ")"
+
+
+@query(
+    "s19_review_cards",
+    S.using(
+        f"""SELECT category, coalesce(rank, {1 << 62})::BIGINT AS place, id, {_card()} AS value
+        FROM sheet UNION ALL SELECT category, -1::BIGINT, '', '## ' || category || ' (' || count(*)
+        || ')' || chr(10) FROM sheet GROUP BY category""",
+        "fullrank", "docs", "flagged", "matched", **PICKS, **DRAFT,
+        picked=_SHEET.replace(S.six("years"), S.fix("years", 1)), outside=_OUTSIDE,
+        sheet="SELECT * FROM picked UNION ALL BY NAME SELECT * FROM outside",
+    ),
+)
 def review_cards(data):
     rows, ranking = _picked(data)
     outside = sampling.outside_rows(
         sampling.outside_flagged(data.flagged, ranking), data.texts_pool
     )
-    return sampling.review_cards(sampling.review_sheet(rows, outside))
+    cards = sampling.review_cards(sampling.review_sheet(rows, outside))
+    return sampling.card_lines(durable(cards))

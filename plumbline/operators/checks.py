@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import squeeze, strip
-from plumbline.operators.ordering import positions
+from plumbline.operators.durable import durable
 from plumbline.schema import RUBRIC_LISTS
 
 OUTPUT_COLUMNS = ("id", "rank", "score", "reasoning")
@@ -27,19 +27,37 @@ def violation(df: DataFrame, check: str, row: Column, detail: Column) -> DataFra
     )
 
 
+def flaw(check: str, bad: Column, row: Column, detail: Column) -> Column:
+    """One violation as a struct, null where the row is fine."""
+    parts = {"check": F.lit(check), "row": row.cast("string"), "detail": detail.cast("string")}
+    return F.when(bad, F.struct(*[value.alias(name) for name, value in parts.items()]))
+
+
+def row_flaws(rows: DataFrame, *flaws: Column) -> DataFrame:
+    """Every violation that shows in a row by itself, in one pass."""
+    return rows.select(F.inline(F.array_compact(F.array(*flaws))))
+
+
 def row_count(rows: DataFrame, expected: int) -> DataFrame:
     counted = rows.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != expected)
     return violation(counted, "row_count", F.lit("all"), F.col("n"))
 
 
+def _blank_id() -> Column:
+    return flaw("id_missing", strip(F.col("id")) == "", F.col("rank"), F.col("id"))
+
+
+def _odd_id(pattern: str) -> Column:
+    name = strip(F.col("id"))
+    return flaw("id_pattern", (name != "") & ~name.rlike(pattern), F.col("rank"), F.col("id"))
+
+
 def id_missing(rows: DataFrame) -> DataFrame:
-    bad = rows.filter(strip(F.col("id")) == "")
-    return violation(bad, "id_missing", F.col("rank"), F.col("id"))
+    return row_flaws(rows, _blank_id())
 
 
 def id_pattern(rows: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
-    bad = rows.filter((strip(F.col("id")) != "") & ~strip(F.col("id")).rlike(pattern))
-    return violation(bad, "id_pattern", F.col("rank"), F.col("id"))
+    return row_flaws(rows, _odd_id(pattern))
 
 
 def id_duplicates(rows: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
@@ -55,14 +73,24 @@ def canonical_rank(rank: Column) -> Column:
     return F.when(number.cast("string") == rank, number)
 
 
+def _place() -> Column:
+    return canonical_rank(strip(F.col("rank")))
+
+
+def _odd_rank() -> Column:
+    return flaw("rank_format", _place().isNull(), F.col("rank"), F.col("id"))
+
+
+def _far_rank(n: int) -> Column:
+    return flaw("rank_range", ~_place().between(1, n), F.col("rank"), F.col("id"))
+
+
 def rank_format(rows: DataFrame) -> DataFrame:
-    bad = rows.filter(F.coalesce(canonical_rank(strip(F.col("rank"))).isNull(), F.lit(True)))
-    return violation(bad, "rank_format", F.col("rank"), F.col("id"))
+    return row_flaws(rows, _odd_rank())
 
 
 def rank_range(rows: DataFrame, n: int) -> DataFrame:
-    bad = rows.filter(~canonical_rank(strip(F.col("rank"))).between(1, n))
-    return violation(bad, "rank_range", F.col("rank"), F.col("id"))
+    return row_flaws(rows, _far_rank(n))
 
 
 def rank_duplicates(rows: DataFrame, n: int) -> DataFrame:
@@ -80,9 +108,13 @@ def rank_missing(rows: DataFrame, n: int) -> DataFrame:
     return violation(wanted.join(found, "r", "left_anti"), "rank_missing", F.col("r"), F.lit(""))
 
 
+def _odd_score() -> Column:
+    bad = F.coalesce(~_is_float(F.col("score")), F.lit(True))
+    return flaw("score_format", bad, F.col("rank"), F.col("score"))
+
+
 def score_format(rows: DataFrame) -> DataFrame:
-    bad = rows.filter(F.coalesce(~_is_float(F.col("score")), F.lit(True)))
-    return violation(bad, "score_format", F.col("rank"), F.col("score"))
+    return row_flaws(rows, _odd_score())
 
 
 def _is_float(text: Column) -> Column:
@@ -94,68 +126,90 @@ def _is_float(text: Column) -> Column:
 def score_order(rows: DataFrame) -> DataFrame:
     """Neighbours by rank whose scores rise, or whose ids fall at equal scores.
 
-    Neighbours meet in a join on consecutive positions instead of a window over the
-    whole table.
+    Rows are cut into ranges of (rank, id); neighbours meet within a range, and the last row
+    of a range meets the first of the next one. Only flawed pairs and the ends of the ranges
+    are stored, two rows for a range.
     """
     typed = rows.select(
-        canonical_rank(strip(F.col("rank"))).alias("r"),
-        F.col("score").try_cast("double").alias("s"), strip(F.col("id")).alias("id"),
+        _place().alias("r"), F.col("score").try_cast("double").alias("s"),
+        strip(F.col("id")).alias("id"),
     ).filter("r IS NOT NULL AND s IS NOT NULL AND id <> ''")
-    placed = positions(typed, [F.col("r").asc(), F.col("id").asc()], rank="p")
-    following = placed.select(
-        (F.col("p") - 1).alias("p"), F.col("r").alias("r2"), F.col("s").alias("s2"),
-        F.col("id").alias("id2"),
+    ranges = typed.repartitionByRange("r", "id").withColumn("slot", F.spark_partition_id())
+    order = Window.partitionBy("slot").orderBy("r", "id")
+    following = F.lead(F.struct("r", "s", "id")).over(order)
+    first = F.lag("r").over(order).isNull()
+    paired = ranges.withColumns({"after": following, "first": first})
+    flawed = (F.col("s") < F.col("after.s")) | (
+        (F.col("s") == F.col("after.s")) & (F.col("id") > F.col("after.id"))
     )
-    both = placed.join(following, "p")
-    rising = violation(
-        both.filter("s < s2"), "score_order", F.col("r2"),
-        F.concat_ws(" < ", F.col("s").cast("string"), F.col("s2").cast("string")),
+    last = F.col("after").isNull()
+    held = durable(paired.filter(F.col("first") | last | flawed))
+    ends = held.filter(F.col("first") | last).withColumn("last", last)
+    across = Window.orderBy("slot", "r", "id", "last")  # two rows for a range, not more
+    met = ends.withColumn("after", F.lead(F.struct("r", "s", "id")).over(across)).filter("last")
+    both = held.select("s", "id", "after").unionByName(met.select("s", "id", "after"))
+    return row_flaws(
+        both,
+        flaw("score_order", F.col("s") < F.col("after.s"), F.col("after.r"), F.concat_ws(
+            " < ", F.col("s").cast("string"), F.col("after.s").cast("string"))),
+        flaw("tie_order", (F.col("s") == F.col("after.s")) & (F.col("id") > F.col("after.id")),
+             F.col("after.r"), F.concat_ws(" > ", "id", "after.id")),
     )
-    tied = violation(
-        both.filter("s = s2 AND id > id2"), "tie_order", F.col("r2"),
-        F.concat_ws(" > ", "id", "id2"),
+
+
+def key_flaws(rows: DataFrame, n: int, pattern: str = ID_PATTERN) -> DataFrame:
+    """Repeated ids and ranks, absent ranks and a wrong number of rows, from one count by key.
+
+    The wanted ranks join the count with a weight of zero, so no second pass looks for them.
+    """
+
+    def key(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("key"))
+
+    name, place = strip(F.col("id")), _place()
+    keys = F.array_compact(F.array(
+        key("row_count", F.lit("all")),
+        F.when(name.rlike(pattern), key("id_duplicate", name)),
+        F.when(place.between(1, n), key("rank_duplicate", place)),
+    ))
+    found = rows.select(F.inline(keys)).withColumn("found", F.lit(1))
+    wanted = rows.sparkSession.range(0, n + 1).select(
+        F.when(F.col("id") == 0, "row_count").otherwise("rank_duplicate").alias("kind"),
+        F.when(F.col("id") == 0, "all").otherwise(F.col("id").cast("string")).alias("key"),
+        F.lit(0).alias("found"),
+    )
+    counted = found.unionByName(wanted).groupBy("kind", "key").agg(F.sum("found").alias("n"))
+    check = (
+        F.when(F.col("kind") == "row_count", F.when(F.col("n") != n, F.col("kind")))
+        .when(F.col("n") == 0, "rank_missing").when(F.col("n") > 1, F.col("kind"))
+    )
+    detail = F.when(F.col("check") == "rank_missing", "").otherwise(F.col("n").cast("string"))
+    return counted.withColumn("check", check).filter("check IS NOT NULL").select(
+        "check", F.col("key").alias("row"), detail.alias("detail")
     )
-    return rising.unionByName(tied)
 
 
 def output_violations(rows: DataFrame, n: int, pattern: str = ID_PATTERN) -> DataFrame:
     """Every violation of a ranked output given as text columns id, rank, score."""
-    checks = [
-        row_count(rows, n),
-        id_missing(rows),
-        id_pattern(rows, pattern),
-        id_duplicates(rows, pattern),
-        rank_format(rows),
-        rank_range(rows, n),
-        rank_duplicates(rows, n),
-        rank_missing(rows, n),
-        score_format(rows),
-        score_order(rows),
-    ]
-    found = checks[0]
-    for more in checks[1:]:
-        found = found.unionByName(more)
-    return found
+    by_row = row_flaws(
+        rows, _blank_id(), _odd_id(pattern), _odd_rank(), _far_rank(n), _odd_score()
+    )
+    return by_row.unionByName(key_flaws(rows, n, pattern)).unionByName(score_order(rows))
 
 
 def vector_violations(vectors: DataFrame, dim: int) -> DataFrame:
     """Rows that must not be written: no id, no vector, wrong length, repeated id."""
-    embedding = F.col("embedding")
-    rows = vectors.select(
-        F.col("id").cast("string").alias("id"), F.size(embedding).alias("n"),
-        embedding.isNull().alias("empty"),
+    embedding, nothing = F.col("embedding"), F.lit("")
+    rows = vectors.select(F.col("id").cast("string").alias("id"), F.size(embedding).alias("n"),
+                          embedding.isNull().alias("empty"))
+    by_row = row_flaws(
+        rows,
+        flaw("id_missing", F.coalesce("id", nothing) == "", nothing, nothing),
+        flaw("vector_missing", F.col("empty"), F.col("id"), nothing),
+        flaw("vector_size", ~F.col("empty") & (F.col("n") != dim), F.col("id"), F.col("n")),
     )
-    missing_id = violation(rows.filter(F.coalesce("id", F.lit("")) == ""), "id_missing",
-                           F.lit(""), F.lit(""))
-    missing = violation(rows.filter("empty"), "vector_missing", F.col("id"), F.lit(""))
-    wrong = violation(rows.filter(~F.col("empty") & (F.col("n") != dim)), "vector_size",
-                      F.col("id"), F.col("n"))
     repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    return (
-        missing_id.unionByName(missing)
-        .unionByName(wrong)
-        .unionByName(violation(repeated, "id_duplicate", F.col("id"), F.col("k")))
-    )
+    return by_row.unionByName(violation(repeated, "id_duplicate", F.col("id"), F.col("k")))
 
 
 def dimension_mismatches(vectors: DataFrame, reference: DataFrame) -> DataFrame:

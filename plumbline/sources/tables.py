@@ -220,8 +220,10 @@ def write_sheet(sheet: DataFrame, path: str) -> None:
     sheet.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def write_cards(cards: DataFrame, path: str) -> None:
-    cards.select("card").coalesce(1).write.mode("overwrite").text(path, lineSep="\n\n")
+def write_cards(lines: DataFrame, path: str) -> None:
+    """Headings and cards (category, place, id, value) as one file: a bounded sample."""
+    ordered = lines.coalesce(1).sortWithinPartitions("category", "place", "id")
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def mirror(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -203,3 +203,52 @@ def test_record_lists(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     sizes = df.select(F.size(cl.records(F.col("t"), ["id", "role_archetype"]))).collect()
     assert [r[0] for r in sizes] == [2, 1, 2, 0, 0]
+
+
+def test_score_order_meets_across_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"AB_{rng.randrange(400):07d}", str(rng.randrange(1, 300)), str(rng.randrange(3)))
+            for _ in range(2000)]
+    rows = list({row[:2]: row for row in rows}.values())  # one row for a place and an id
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame(rows, "id string, rank string, score string").repartition(5)
+        found = sorted((r["check"], r["row"], r["detail"]) for r in
+                       checks.score_order(table).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = sorted((int(rank), name, float(score)) for name, rank, score in rows)
+    wanted = []
+    for (_, a, s), (r, b, t) in zip(ordered, ordered[1:]):
+        if s < t:
+            wanted.append(("score_order", str(r), f"{s} < {t}"))
+        elif s == t and a > b:
+            wanted.append(("tie_order", str(r), f"{a} > {b}"))
+    assert found == sorted(wanted) and len(found) > 100
+    empty = table.limit(0)
+    assert checks.score_order(empty).count() == 0
+    assert sorted((r["check"], r["row"]) for r in checks.output_violations(empty, 2).collect()) == [
+        ("rank_missing", "1"), ("rank_missing", "2"), ("row_count", "all")]
+
+
+def test_review_cards(spark, tmp_path):
+    from plumbline.operators import sampling
+
+    row = dict.fromkeys(sampling.REVIEW_COLUMNS, "")
+    rows = [row | {"category": "b", "rank": 2, "id": "x", "years_experience": 4.0,
+                   "current_title": "a | b", "summary": "one\ntwo", "suggested_tier": 3},
+            row | {"category": "a", "rank": None, "id": "y", "years_experience": None,
+                   "suggested_tier": None}]
+    kinds = {"rank": "bigint", "years_experience": "double", "suggested_tier": "int"}
+    sheet = spark.createDataFrame(
+        [tuple(r[n] for n in sampling.REVIEW_COLUMNS) for r in rows],
+        ", ".join(f"{n} {kinds.get(n, 'string')}" for n in sampling.REVIEW_COLUMNS))
+    path = tmp_path / "cards"
+    tables.write_cards(sampling.card_lines(sampling.review_cards(sheet)), str(path))
+    (part,) = path.glob("part-*")
+    text = part.read_text()
+    assert text.index("## a (1)") < text.index("### `y`") < text.index("## b (1)")
+    assert "| Title | a \\| b |" in text and "| Years | 4.0 |" in text
+    assert "> **Summary.** one\n> two" in text and text.count("Draft tier: none") == 1
