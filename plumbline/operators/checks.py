@@ -35,7 +35,14 @@ def flaw(check: str, bad: Column, row: Column, detail: Column) -> Column:
 
 def row_flaws(rows: DataFrame, *flaws: Column) -> DataFrame:
     """Every violation that shows in a row by itself, in one pass."""
-    return rows.select(F.inline(F.array_compact(F.array(*flaws))))
+    # Nulls go after the generator: a lambda over the array would leave whole-stage codegen.
+    return rows.select(F.inline(F.array(*flaws))).filter("check IS NOT NULL")
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Adds the stripped id and the rank as a number, so that they are worked out once."""
+    return rows.withColumns({"_name": strip(F.col("id")),
+                             "_place": canonical_rank(strip(F.col("rank")))})
 
 
 def row_count(rows: DataFrame, expected: int) -> DataFrame:
@@ -44,20 +51,20 @@ def row_count(rows: DataFrame, expected: int) -> DataFrame:
 
 
 def _blank_id() -> Column:
-    return flaw("id_missing", strip(F.col("id")) == "", F.col("rank"), F.col("id"))
+    return flaw("id_missing", F.col("_name") == "", F.col("rank"), F.col("id"))
 
 
 def _odd_id(pattern: str) -> Column:
-    name = strip(F.col("id"))
-    return flaw("id_pattern", (name != "") & ~name.rlike(pattern), F.col("rank"), F.col("id"))
+    bad = (F.col("_name") != "") & ~F.col("_name").rlike(pattern)
+    return flaw("id_pattern", bad, F.col("rank"), F.col("id"))
 
 
 def id_missing(rows: DataFrame) -> DataFrame:
-    return row_flaws(rows, _blank_id())
+    return row_flaws(_typed(rows), _blank_id())
 
 
 def id_pattern(rows: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
-    return row_flaws(rows, _odd_id(pattern))
+    return row_flaws(_typed(rows), _odd_id(pattern))
 
 
 def id_duplicates(rows: DataFrame, pattern: str = ID_PATTERN) -> DataFrame:
@@ -73,24 +80,20 @@ def canonical_rank(rank: Column) -> Column:
     return F.when(number.cast("string") == rank, number)
 
 
-def _place() -> Column:
-    return canonical_rank(strip(F.col("rank")))
-
-
 def _odd_rank() -> Column:
-    return flaw("rank_format", _place().isNull(), F.col("rank"), F.col("id"))
+    return flaw("rank_format", F.col("_place").isNull(), F.col("rank"), F.col("id"))
 
 
 def _far_rank(n: int) -> Column:
-    return flaw("rank_range", ~_place().between(1, n), F.col("rank"), F.col("id"))
+    return flaw("rank_range", ~F.col("_place").between(1, n), F.col("rank"), F.col("id"))
 
 
 def rank_format(rows: DataFrame) -> DataFrame:
-    return row_flaws(rows, _odd_rank())
+    return row_flaws(_typed(rows), _odd_rank())
 
 
 def rank_range(rows: DataFrame, n: int) -> DataFrame:
-    return row_flaws(rows, _far_rank(n))
+    return row_flaws(_typed(rows), _far_rank(n))
 
 
 def rank_duplicates(rows: DataFrame, n: int) -> DataFrame:
@@ -130,9 +133,9 @@ def score_order(rows: DataFrame) -> DataFrame:
     of a range meets the first of the next one. Only flawed pairs and the ends of the ranges
     are stored, two rows for a range.
     """
-    typed = rows.select(
-        _place().alias("r"), F.col("score").try_cast("double").alias("s"),
-        strip(F.col("id")).alias("id"),
+    typed = _typed(rows).select(
+        F.col("_place").alias("r"), F.col("score").try_cast("double").alias("s"),
+        F.col("_name").alias("id"),
     ).filter("r IS NOT NULL AND s IS NOT NULL AND id <> ''")
     ranges = typed.repartitionByRange("r", "id").withColumn("slot", F.spark_partition_id())
     order = Window.partitionBy("slot").orderBy("r", "id")
@@ -166,13 +169,14 @@ def key_flaws(rows: DataFrame, n: int, pattern: str = ID_PATTERN) -> DataFrame:
     def key(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("key"))
 
-    name, place = strip(F.col("id")), _place()
-    keys = F.array_compact(F.array(
+    name, place = F.col("_name"), F.col("_place")
+    keys = F.array(
         key("row_count", F.lit("all")),
         F.when(name.rlike(pattern), key("id_duplicate", name)),
         F.when(place.between(1, n), key("rank_duplicate", place)),
-    ))
-    found = rows.select(F.inline(keys)).withColumn("found", F.lit(1))
+    )
+    listed = _typed(rows).select(F.inline(keys)).filter("kind IS NOT NULL")
+    found = listed.withColumn("found", F.lit(1))
     wanted = rows.sparkSession.range(0, n + 1).select(
         F.when(F.col("id") == 0, "row_count").otherwise("rank_duplicate").alias("kind"),
         F.when(F.col("id") == 0, "all").otherwise(F.col("id").cast("string")).alias("key"),
@@ -192,7 +196,7 @@ def key_flaws(rows: DataFrame, n: int, pattern: str = ID_PATTERN) -> DataFrame:
 def output_violations(rows: DataFrame, n: int, pattern: str = ID_PATTERN) -> DataFrame:
     """Every violation of a ranked output given as text columns id, rank, score."""
     by_row = row_flaws(
-        rows, _blank_id(), _odd_id(pattern), _odd_rank(), _far_rank(n), _odd_score()
+        _typed(rows), _blank_id(), _odd_id(pattern), _odd_rank(), _far_rank(n), _odd_score()
     )
     return by_row.unionByName(key_flaws(rows, n, pattern)).unionByName(score_order(rows))
 
