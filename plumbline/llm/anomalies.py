@@ -1,11 +1,16 @@
 """Quality rules: fixed base rules, then an isolation forest on rule statistics.
 
-Every document is reduced to counts in one pass over its text. Trees are grown on bounded
-samples, as the method defines them: each of ``TREES`` trees gets ``SAMPLE`` rows, the ones
-with the smallest hash for that tree. A short mean path over random splits marks an anomaly.
-The threshold is calibrated on all labelled rows: the lowest score at which no more than
-``FALSE_REJECTS`` of the rows labelled good, and a larger share of those labelled bad than of
-the good ones, would go. Without labels nothing beyond the base rules is rejected.
+Every document is reduced to counts in one pass over its text. There is a forest for each
+group of statistics in ``GROUPS``, as rules about words and about repetition are broken by
+different documents. Trees are grown on bounded samples, as the method defines them: a tree
+gets ``SAMPLE`` rows, the ones with the smallest hash for its number. Samples are small because
+bad documents are many and alike: in a larger one they hide each other, and the long tails of
+good ones are cut off first. A short mean path over random splits marks an anomaly.
+
+Each forest has a threshold of its own, calibrated on all labelled rows: the lowest score at
+which no more than its part of ``FALSE_REJECTS`` of the rows labelled good, and a larger share
+of those labelled bad than of the good ones, would go. A document goes if a forest rejects it.
+Without labels nothing beyond the base rules is rejected.
 
 Defined cases: a null or empty text has no words and fails the base; repeated rows are judged
 each; an empty table gives an empty result; a null label is no label.
@@ -32,7 +37,12 @@ FEATURES = (
     "log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share",
     "upper_share", "marked_share", "distinct_share",
 )
-TREES, SAMPLE, BINS = 100, 256, 1000
+GROUPS = {
+    "words": ("word_length", "symbol_share", "upper_share", "marked_share"),
+    "repeats": ("log_words", "dup_line_share", "repeat_share", "distinct_share"),
+}
+SCORES = tuple(f"{group}_score" for group in GROUPS)
+TREES, SAMPLE, BINS = 100, 32, 1000
 FALSE_REJECTS = 0.002
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
@@ -189,31 +199,38 @@ def draw_samples(rows: DataFrame, trees: int, sample: int) -> DataFrame:
     return map_batches(rows.select(row, *FEATURES), make, f"tree int, draw bigint, {columns}")
 
 
-def grow_forest(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> list:
-    """Trees grown in tasks, each on the ``sample`` rows with the smallest draws for it."""
+def grow_forests(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> list[list]:
+    """A forest per group, grown in tasks: a tree of each on the ``sample`` rows with the
+    smallest draws for its number."""
     cut = draw_samples(rows, trees, sample)
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         number = int(frame["tree"].iloc[0])
         draw = frame["draw"].to_numpy().view(np.uint64)
         _, chosen = smallest(draw, frame[list(FEATURES)].to_numpy(), sample)
-        tree = grow_tree(chosen, number)
-        names = ("feature", "split", "left", "path")
-        return pd.DataFrame(
-            {"tree": [number], "rows": [len(chosen)]} | {n: [v] for n, v in zip(names, tree)}
-        )
+        grown = [
+            (number, forest, len(chosen), *grow_tree(chosen[:, columns], number * len(GROUPS) + forest))
+            for forest, columns in enumerate(group_columns())
+        ]
+        return pd.DataFrame(grown, columns=["tree", "forest", "rows", *names])
 
+    names = ("feature", "split", "left", "path")
     schema = (
-        "tree int, rows int, feature array<int>, split array<double>, left array<int>, "
-        "path array<double>"
+        "tree int, forest int, rows int, feature array<int>, split array<double>, "
+        "left array<int>, path array<double>"
     )
-    grown = cut.groupBy("tree").applyInPandas(grow, schema)
+    grown = cut.groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()
     return [
-        (row.rows, *(np.array(row[n]) for n in ("feature", "split", "left", "path")))
-        for row in grown.orderBy("tree").collect()
+        [(row.rows, *(np.array(row[n]) for n in names)) for row in grown if row.forest == forest]
+        for forest in range(len(GROUPS))
     ]
 
 
+def group_columns() -> list[list[int]]:
+    """The places of every group's statistics among the FEATURES."""
+    return [[FEATURES.index(name) for name in names] for names in GROUPS.values()]
+
+
 def anomaly_scores(forest: list, points: np.ndarray) -> np.ndarray:
     """2 ** (-mean path / expected path): near 1 for anomalies."""
     total, expected = np.zeros(len(points)), 0.0
@@ -231,44 +248,53 @@ def anomaly_scores(forest: list, points: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / expected)
 
 
-def score_rows(rows: DataFrame, forest: list, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the score in whole BINS; the forest is bounded by TREES * 2 * SAMPLE nodes."""
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+def score_rows(rows: DataFrame, forests: list[list], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the SCORES in whole BINS; a forest is bounded by TREES * 2 * SAMPLE nodes."""
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
     names = ["doc_id", *COUNTS, "base_failed", *carry]
     schema = (
         "doc_id bigint, " + ", ".join(f"{n} bigint" for n in COUNTS)
-        + ", base_failed boolean, score int" + fields(rows, carry)
+        + ", base_failed boolean, " + ", ".join(f"{n} int" for n in SCORES) + fields(rows, carry)
     )
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for batch in batches:
                 points = np.column_stack([batch.column(n).to_numpy(False) for n in FEATURES])
-                trees = shared.value
-                score = anomaly_scores(trees, points) if trees else np.zeros(len(points))
-                yield {n: batch.column(n) for n in names} | {
-                    "score": np.floor(score * BINS).astype(np.int32)
-                }
+                out = {n: batch.column(n) for n in names}
+                for name, columns, trees in zip(SCORES, group_columns(), shared.value, strict=True):
+                    score = anomaly_scores(trees, points[:, columns]) if trees else 0 * points[:, 0]
+                    out[name] = np.floor(score * BINS).astype(np.int32)
+                yield out
 
         return run
 
     return map_batches(rows.select(*names, *FEATURES), make, schema)
 
 
-def calibrate(scored: DataFrame, labels: DataFrame, false_rejects: float = FALSE_REJECTS) -> int:
-    """The score bin from which a document is rejected; BINS + 1 rejects none."""
+def calibrate(
+    scored: DataFrame, labels: DataFrame, false_rejects: float = FALSE_REJECTS
+) -> list[int]:
+    """Per forest, the score bin from which a document is rejected; BINS + 1 rejects none."""
     known = labels.select("doc_id", "quality").filter("quality IN (0, 1)").distinct()
+    pairs = F.posexplode(F.array(*SCORES)).alias("forest", "score")
     counts = (
-        scored.filter(~F.col("base_failed")).select("doc_id", "score").join(known, "doc_id")
-        .groupBy("score").agg(
+        scored.filter(~F.col("base_failed")).select("doc_id", *SCORES).join(known, "doc_id")
+        .select("quality", pairs).groupBy("forest", "score").agg(
             F.count_if(F.col("quality") == 1).alias("good"),
             F.count_if(F.col("quality") == 0).alias("bad"),
         )
-        .collect()  # at most BINS + 1 rows
+        .collect()  # at most BINS + 1 rows for a forest
     )
-    good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
+    good, bad = np.zeros((2, len(GROUPS), BINS + 2))
     for row in counts:
-        good[row.score], bad[row.score] = row.good, row.bad
+        good[row.forest, row.score], bad[row.forest, row.score] = row.good, row.bad
+    return [lowest_fit(*both, false_rejects / len(GROUPS)) for both in zip(good, bad, strict=True)]
+
+
+def lowest_fit(good: np.ndarray, bad: np.ndarray, false_rejects: float) -> int:
+    """The lowest score that keeps within ``false_rejects`` and separates, given both classes'
+    rows per score."""
     lost, caught = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
     fits = (lost <= false_rejects * max(lost[0], 1)) & (
         caught * max(lost[0], 1) > lost * max(caught[0], 1)
@@ -277,19 +303,20 @@ def calibrate(scored: DataFrame, labels: DataFrame, false_rejects: float = FALSE
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, counts, base_failed, kept, score, carry...) of every document.
+    """(doc_id, counts, base_failed, kept, SCORES..., carry...) of every document.
 
     A carried column that is named like one of these, or like a statistic, is an error.
     """
-    taken = {"doc_id", "text", "base_failed", "kept", "score", *STATISTICS, *FEATURES}
+    taken = {"doc_id", "text", "base_failed", "kept", *SCORES, *STATISTICS, *FEATURES}
     if taken & set(carry):
         raise ValueError(f"carried columns need other names: {sorted(taken & set(carry))}")
     rows = stored(with_features(count_rules(docs, carry)))
-    forest = grow_forest(rows.filter(~F.col("base_failed")))
-    scored = stored(score_rows(rows, forest, carry))
-    threshold = calibrate(scored, labels)
-    kept = ~F.col("base_failed") & (F.col("score") < threshold)
-    return scored.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "score", *carry)
+    forests = grow_forests(rows.filter(~F.col("base_failed")))
+    scored = stored(score_rows(rows, forests, carry))
+    kept = ~F.col("base_failed")
+    for name, threshold in zip(SCORES, calibrate(scored, labels), strict=True):
+        kept &= F.col(name) < threshold
+    return scored.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), *SCORES, *carry)
 
 
 def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:

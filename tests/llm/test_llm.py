@@ -349,11 +349,49 @@ def test_forest_samples_are_the_smallest_draws(spark):
             mine["draw"].to_numpy().view(np.uint64),
             mine[list(anomalies.FEATURES)].to_numpy(), 30)
         assert sorted(zip(draw.tolist(), map(tuple, kept.tolist()))) == wanted
-    first, again = anomalies.grow_forest(table, 4, 30), anomalies.grow_forest(
+    both, again = anomalies.grow_forests(table, 4, 30), anomalies.grow_forests(
         table.repartition(3), 4, 30)
-    assert [tree[0] for tree in first] == [30] * 4
-    assert all((a == b).all() for x, y in zip(first, again) for a, b in zip(x[1:], y[1:]))
-    assert anomalies.grow_forest(table.limit(0)) == []
+    assert [[tree[0] for tree in forest] for forest in both] == [[30] * 4] * 2
+    for first, second in zip(both, again, strict=True):
+        assert all((a == b).all() for x, y in zip(first, second) for a, b in zip(x[1:], y[1:]))
+    assert anomalies.grow_forests(table.limit(0)) == [[], []]
+    # Brute force of a whole score: the trees walked row by row, a group's columns alone.
+    rules = table.select("*", *[F.lit(0).cast("bigint").alias(n) for n in anomalies.COUNTS],
+                         F.lit(False).alias("base_failed"))
+    rules = rules.withColumns({f"was_{n}": F.col(n) for n in anomalies.FEATURES})
+    carried = tuple(f"was_{n}" for n in anomalies.FEATURES)
+    for row in anomalies.score_rows(rules, both, carried).limit(20).collect():
+        for name, columns, forest in zip(anomalies.SCORES, anomalies.GROUPS.values(), both):
+            paths = [walk(tree, [row[f"was_{c}"] for c in columns]) for tree in forest]
+            share = 2 ** (-np.mean(paths) / anomalies.average_path(30))
+            assert abs(row[name] - 1000 * share) <= 1.001
+
+
+def walk(tree, point):
+    """The path length of one row in one tree."""
+    _, feature, split, left, path = tree
+    node = 0
+    while feature[node] >= 0:
+        node = left[node] + int(point[feature[node]] > split[node])
+    return path[node]
+
+
+def test_thresholds_by_brute_force():
+    """Every threshold tried one by one on labelled scores, ties and missing classes included."""
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.01, 0.2):
+        for good_rows, bad_rows in ((0, 0), (40, 0), (0, 40), (300, 40), (300, 300)):
+            good, bad = rng.integers(300, 500, good_rows), rng.integers(350, 900, bad_rows)
+            wanted = anomalies.BINS + 1
+            for at in range(anomalies.BINS + 1, -1, -1):
+                lost, caught = (good >= at).sum(), (bad >= at).sum()
+                fits = lost <= share * max(good_rows, 1)
+                if fits and caught * max(good_rows, 1) > lost * max(bad_rows, 1):
+                    wanted = at
+            size = anomalies.BINS + 2
+            found = anomalies.lowest_fit(
+                np.bincount(good, minlength=size), np.bincount(bad, minlength=size), share)
+            assert found == wanted
 
 
 def test_isolation_finds_the_far_rows():
@@ -365,23 +403,16 @@ def test_isolation_finds_the_far_rows():
     scores = anomalies.anomaly_scores(forest, np.vstack([near, np.full((1, 8), 9.0)]))
     assert scores[-1] > scores[:-1].max()
 
-    def walk(tree, point):
-        _, feature, split, left, path = tree
-        node = 0
-        while feature[node] >= 0:
-            node = left[node] + int(point[feature[node]] > split[node])
-        return path[node]
-
     mean = np.mean([walk(tree, near[3]) for tree in forest])
     assert np.isclose(scores[3], 2 ** (-mean / anomalies.average_path(256)))
 
 
 def test_quality_rules_refuses_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, score int")
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id bigint, text string, words_score int")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert anomalies.quality_rules(docs, labels).count() == 1
-    with pytest.raises(ValueError, match="score"):
-        anomalies.quality_rules(docs, labels, ("score",))
+    with pytest.raises(ValueError, match="words_score"):
+        anomalies.quality_rules(docs, labels, ("words_score",))
 
 
 def test_quality_rules(spark):
