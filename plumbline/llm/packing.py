@@ -142,7 +142,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = counts.select("task", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = pieces.join(offsets, ["task", "length"]).select(
+    # Sorted together: offsets grow with the tasks, so they aren't broadcast; a piece is short.
+    numbered = pieces.join(offsets.hint("merge"), ["task", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("before") + F.col("place")).alias("number"),
     )
