@@ -45,9 +45,17 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the document with the smallest doc_id of each group stays."""
+    """MinHash near-dedup: the document with the smallest doc_id of each group stays.
+
+    Of rows that repeat a doc_id and its text one stays, the smallest by the other columns.
+    """
     docs = _marked(docs)
-    return _kept(docs, circulant.near_components(docs, (MARK,)).filter("kept"))
+    kept = circulant.near_components(docs, (MARK,)).filter("kept")
+    times = stored(kept.groupBy("doc_id", MARK).agg(F.count(F.lit(1)).alias("n")))
+    repeated = _kept(docs, times.filter("n > 1"))
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    once = repeated.groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*")
+    return _kept(docs, times.filter("n = 1")).unionByName(once)
 
 
 CUT = "doc_id bigint, text string, cut boolean, blank boolean"
