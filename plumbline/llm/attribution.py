@@ -13,6 +13,8 @@ order and must not overlap, and an empty one gets no tokens; repeated rows are c
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,21 +37,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(byte if byte in shown else next(rest)): byte for byte in range(256)}
 
 
+@functools.cache
 def encoder(path: str):
     """The vocabulary of a ``tokenizers`` file in an encoder of the same ids.
 
     ``tiktoken`` merges the same pairs several times faster; a test holds the ids of both
-    libraries against each other. Strings of special tokens are ordinary text.
+    libraries against each other. Strings of special tokens are ordinary text. A Python worker
+    builds it once, for all of its tasks.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    special = {token.content for token in loaded.get_added_tokens_decoder().values()}
+    with open(path, encoding="utf-8") as file:
+        loaded = json.load(file)
+    special = {token["content"] for token in loaded["added_tokens"]}
     alphabet = byte_alphabet()
     ranks = {
         bytes(alphabet[c] for c in token): number
-        for token, number in loaded.get_vocab().items()
+        for token, number in loaded["model"]["vocab"].items()
         if token not in special
     }
     return tiktoken.Encoding(

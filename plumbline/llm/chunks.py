@@ -13,6 +13,10 @@ from collections.abc import Callable
 _START = re.compile(r"(?= \S)")
 
 
+# Characters of a chunk that is remembered; longer ones hardly come back.
+LONGEST = 64
+
+
 class _WhiteSpace(Exception):
     """A space that white space follows, which starts no chunk."""
 
@@ -27,14 +31,19 @@ class _Codes(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace():
             raise _WhiteSpace
-        if len(self) >= self.room:
-            self.clear()
-        code = self[chunk] = self.encode(" " + chunk)
+        code = self.encode(" " + chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= self.room:
+                self.clear()
+            self[chunk] = code
         return code
 
 
 class ChunkMemory:
-    """The code of a text from a function that encodes a chunk; emptied beyond ``room`` chunks."""
+    """The code of a text from a function that encodes a chunk; emptied beyond ``room`` chunks.
+
+    Chunks beyond LONGEST are encoded each time, so ``room`` bounds the bytes held, too.
+    """
 
     def __init__(self, encode: Callable[[str], bytes], room: int = 700_000):
         self.encode, self.codes = encode, _Codes(encode, room)

@@ -31,6 +31,8 @@ from plumbline.llm.chunks import ChunkMemory
 from plumbline.llm.common import map_batches, map_texts, stored, table
 
 CAPACITY, CLOSING_ID = 2048, 0
+# Chunks that a task remembers: about 60 MB, beside an executor's heap.
+CHUNKS = 200_000
 PIECES = (
     "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, place bigint"
 )
@@ -51,7 +53,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     def make():
         loaded = encoder(path)
-        memory = ChunkMemory(lambda chunk: array("I", loaded.encode_ordinary(chunk)).tobytes())
+        memory = ChunkMemory(
+            lambda chunk: array("I", loaded.encode_ordinary(chunk)).tobytes(), CHUNKS)
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)

@@ -17,6 +17,7 @@ from plumbline.llm import (
     attribution,
     byte_bpe,
     chat,
+    chunks,
     circulant,
     hostrank,
     packing,
@@ -115,6 +116,18 @@ def test_byte_bpe(docs, texts):
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_chunk_memory_is_bounded():
+    # A worker has one encoder, whatever the number of its tasks.
+    assert attribution.encoder(PATH) is attribution.encoder(PATH)
+    loaded = attribution.encoder(PATH)
+    memory = chunks.ChunkMemory(lambda chunk: repr(loaded.encode_ordinary(chunk)).encode(), 50)
+    text = " ".join(["few", "w" * 100_000, *(f"w{i}" for i in range(120)), "few"])
+    fresh = chunks.ChunkMemory(memory.encode)
+    assert memory.code(text) == memory.code(text) == fresh.code(text)
+    assert len(memory.codes) <= 50
+    assert max(map(len, fresh.codes)) <= chunks.LONGEST
+
+
 def test_packing(spark, docs):
     rows = packing.pack(docs, PATH, capacity=64).collect()
     bins: dict[int, list] = {}
