@@ -11,6 +11,7 @@ from plumbline.catalog.texts import fingerprint_sql
 from plumbline.config import GAP_CUES, GENERIC_WORDS
 from plumbline.functions import grounding as gr
 from plumbline.functions import text as tx
+from plumbline.functions.scalar import fixed_any
 from plumbline.operators import explain
 from plumbline.operators.durable import durable
 from plumbline.operators.enrich import from_records
@@ -95,7 +96,7 @@ def closed_world(data):
     ),
 )
 def known_numbers(data):
-    shown = F.transform(F.sort_array("numbers"), six)
+    shown = F.transform(F.sort_array("numbers"), lambda x: fixed_any(x))
     return _closed(data).select("id", joined(shown).alias("numbers"))
 
 

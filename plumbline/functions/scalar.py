@@ -119,12 +119,75 @@ def fixed(value: Column, decimals: int = 6) -> Column:
     """Fixed-point text, rounded half-even on the exact binary value.
 
     ``format_number`` with a pattern is the only built-in that rounds this way;
-    ``round`` and ``format_string`` differ on about one value in seven.
+    ``round`` and ``format_string`` differ on about one value in seven. For scores and the
+    like; numbers that can reach PRINTED go through :func:`fixed_any`.
     """
     pattern = "0." + "0" * decimals if decimals else "0"
     return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
 
+# From here on a double has fewer decimals than six, or more digits than Java prints.
+PRINTED = 2.0**33
+# From here on a bigint doesn't hold it.
+WHOLE = 2.0**63
+_LIMB, _LIMBS, _BITS = 15, 21, 9
+
+
+def fixed_any(value: Column, decimals: int = 6) -> Column:
+    """As :func:`fixed`, for numbers of any size, as texts hold them; up to six decimals.
+
+    ``format_number`` prints the shortest digits that tell a double apart, and zeros behind
+    them: right below PRINTED only.
+    """
+    value = value.cast("double")
+    size = F.abs(value)
+    sign = F.when(value < 0, "-").otherwise("")
+    point = "." + "0" * decimals if decimals else ""
+    return (
+        F.when(F.isnan(value), "nan")
+        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(size >= WHOLE, F.concat(sign, _whole_digits(size), F.lit(point)))
+        .when(size >= PRINTED, F.concat(sign, _split_digits(size, decimals)))
+        .otherwise(fixed(value, decimals))
+    )
+
+
+def _split_digits(value: Column, decimals: int) -> Column:
+    """Digits from PRINTED on, below WHOLE: at most 19 bits are decimals, so all steps are exact."""
+    if not decimals:
+        return F.rint(value).try_cast("bigint").cast("string")
+    scale = 10**decimals
+    whole = F.floor(value)
+    rest = F.rint((value - whole.cast("double")) * F.lit(float(scale))).try_cast("bigint")
+    carried = F.when(rest == scale, whole + 1).otherwise(whole).cast("string")
+    shown = F.lpad((rest % F.lit(scale)).cast("string"), decimals, "0")
+    return F.concat(carried, F.lit("."), shown)
+
+
+def _whole_digits(value: Column) -> Column:
+    """Digits of a finite double from WHOLE on: its 53 bits, shifted up in limbs of 15 digits.
+
+    A limb shifted by _BITS is a multiple of 2**_BITS, and so is a limb's range; the carry from
+    the limb below is smaller, so one addition never carries on.
+    """
+    base, shift = F.lit(10**_LIMB), F.lit(1 << _BITS)
+    times = F.floor((F.floor(F.log2(value)) - F.lit(53)) / F.lit(_BITS)).cast("int")
+    head = (value / F.pow(F.lit(2.0), times * F.lit(_BITS))).try_cast("bigint")
+    none = F.lit(0).cast("bigint")
+    limbs = F.array(head % base, F.call_function("div", head, base), *[none] * (_LIMBS - 2))
+
+    def shifted(limbs: Column, _: Column) -> Column:
+        def moved(x: Column, i: Column) -> Column:
+            carry = F.call_function("div", F.get(limbs, i - F.lit(1)) * shift, base)
+            return x * shift % base + F.coalesce(carry, none)
+
+        return F.transform(limbs, moved)
+
+    grown = F.aggregate(F.sequence(F.lit(1), times), limbs, shifted)
+    shown = F.transform(F.reverse(grown), lambda x: F.lpad(x.cast("string"), _LIMB, "0"))
+    return F.regexp_replace(F.array_join(shown, ""), "^0+", "")
+
+
 def fixed_value(value: Column, decimals: int = 6) -> Column:
     """The number a reader gets back from :func:`fixed`."""
     return fixed(value, decimals).cast("double")

@@ -29,6 +29,20 @@ def test_fixed_rounds_like_python(spark):
     assert got == [f"{n:.6f}" for n in numbers]
 
 
+def test_fixed_any_prints_numbers_of_any_size(spark):
+    rng = random.Random(8)
+    numbers = [rng.choice((-1, 1)) * 2.0 ** rng.uniform(20, 1023.9) for _ in range(200)]
+    numbers += [2.0 ** rng.uniform(30, 66) for _ in range(1000)] + [2.0**n for n in range(30, 70)]
+    numbers += [2.0**33 + i / 2**19 for i in range(200)] + [2.0**n - 2.0 ** (n - 53) for n in
+                                                            (33, 34, 40, 52, 63, 64, 72, 1023)]
+    numbers += [1e22, 1e23, 123456789012345678901.0, 1.7976931348623157e308, 0.0, 5e-7, -1.5,
+                float("inf"), float("-inf"), float("nan"), 10000000000.9999995, 2.0**1023]
+    got = values(spark, [(n,) for n in numbers], "x double", sc.fixed_any(F.col("x")))
+    assert got == [f"{n:.6f}" for n in numbers]
+    got = values(spark, [(n,) for n in numbers], "x double", sc.fixed_any(F.col("x"), 0))
+    assert got == [f"{n:.0f}" for n in numbers]
+
+
 def test_general_prints_like_python(spark):
     numbers = [7.6, 5.0, 0.0, 123456.7, 999999.6, 1e10, 0.0001, 0.00001234, -2.5, 99999.95]
     got = values(spark, [(n,) for n in numbers], "x double", sc.general(F.col("x")))
