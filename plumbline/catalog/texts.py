@@ -8,7 +8,7 @@ from plumbline.catalog import sql as S
 from plumbline.catalog.base import big, joined, query, six
 from plumbline.config import GAP_CUES
 from plumbline.functions import text as tx
-from plumbline.functions.scalar import squeeze
+from plumbline.functions.scalar import fixed_any, squeeze
 from plumbline.plans.dataset import KEYWORDS
 from plumbline.plans.jobs import encoder_texts, profile_cards
 
@@ -172,7 +172,7 @@ def word_tokens(data):
     FROM documents""",
 )
 def number_tokens(data):
-    found = F.transform(tx.numbers(F.col("text")), six)
+    found = F.transform(tx.numbers(F.col("text")), lambda x: fixed_any(x))
     return data.table("documents").select("doc_id", joined(found).alias("numbers"))
 
 

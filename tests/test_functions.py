@@ -43,6 +43,28 @@ def test_fixed_any_prints_numbers_of_any_size(spark):
     assert got == [f"{n:.0f}" for n in numbers]
 
 
+def test_long_numbers_of_texts_match_sql(spark, tmp_path):
+    import duckdb
+
+    from plumbline.catalog import REGISTRY
+    from plumbline.plans.dataset import Dataset
+
+    texts = ["a 123456789012345678901 b 18446744073709551616 9007199254740993", "1" * 40 + ".5",
+             "x " + "9" * 400, "17179869184.0000005 123456789012.1234567", "no", "4 4.25 0.0000015"]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(
+        f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("t12_numbers", "g3_known_numbers"):
+        found = REGISTRY[name].plan(Dataset(spark, str(tmp_path))).collect()
+        assert sorted(map(tuple, found)) == sorted(con.execute(REGISTRY[name].sql).fetchall())
+
+
 def test_general_prints_like_python(spark):
     numbers = [7.6, 5.0, 0.0, 123456.7, 999999.6, 1e10, 0.0001, 0.00001234, -2.5, 99999.95]
     got = values(spark, [(n,) for n in numbers], "x double", sc.general(F.col("x")))
