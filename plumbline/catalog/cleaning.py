@@ -145,9 +145,7 @@ def _log_lines(data):
 
 
 def typed_signals(data):
-    lines = _log_lines(data)
-    record = F.when(cl.is_json(F.col("line")), F.try_parse_json("line"))
-    return lines.withColumn("record", record).filter(cl.is_object(F.col("record")))
+    return cl.object_rows(_log_lines(data), "line")
 
 
 _CASE_ROLE = " ".join(f"WHEN '{n}' THEN '{clean}'" for n, (_, clean) in _LABELS.items())
@@ -306,7 +304,7 @@ def text_log(data):
         ).alias("record"),
     )
     keep = (F.col("id") != "") & (F.col("text") != "")
-    latest = latest_records(lines, cl.coerce_text(F.col("record")), keep)
+    latest = latest_records(lines, cl.coerce_text(F.col("record")), keep, ("id", "text"))
     return latest.select("id", F.md5("text").alias("digest"), "source")
 
 

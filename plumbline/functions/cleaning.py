@@ -96,6 +96,28 @@ def is_json(text: Column) -> Column:
     return F.coalesce(one & in_object.isNotNull(), F.lit(False))
 
 
+def json_object(text: Column) -> Column:
+    """The object that the whole text is, as a variant; null for anything else.
+
+    As :func:`is_json`, but the value comes from the same two readings.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.size(F.try_variant_get(in_array, "$", "array<variant>")) == 1
+    return F.get(F.filter(F.array(F.when(one, field(in_object, "v"))), is_object), F.lit(0))
+
+
+def object_rows(lines: DataFrame, text: str, name: str = "record") -> DataFrame:
+    """The rows whose text is one object, with the object in ``name``; each text is read once.
+
+    A filter on the parsed column would move below it and parse again, so rows go as an
+    ``explode`` of no or one value.
+    """
+    others = [column for column in lines.columns if column != name]
+    return lines.select(*others, F.explode(F.array_compact(F.array(json_object(F.col(text)))))
+                        .alias(name))
+
+
 def with_json_text(df: DataFrame, reply: str, name: str = "json") -> DataFrame:
     """Add the JSON inside a reply (plain, fenced or wrapped in prose), null if none.
 

@@ -252,3 +252,20 @@ def test_review_cards(spark, tmp_path):
     assert text.index("## a (1)") < text.index("### `y`") < text.index("## b (1)")
     assert "| Title | a \\| b |" in text and "| Years | 4.0 |" in text
     assert "> **Summary.** one\n> two" in text and text.count("Draft tier: none") == 1
+
+
+def test_log_lines_are_parsed_once(spark, data):
+    from plumbline.catalog import REGISTRY
+
+    texts = ['{"a":1}', ' {"a":{"v":2}} ', '{"a":1}}', '{"a":1} {"a":2}', "{}", "[]", "null", "1",
+             '"x"', "", " ", None, '{"a":1},{"a":2}', '{"a":1},"v":2', "1],[2", '{"a":1,"a":2}',
+             '{"v":null}', "{", '{"a":1}]', '],["']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    record = F.when(cl.is_json(F.col("t")), F.try_parse_json("t"))
+    slow = df.withColumn("r", record).filter(cl.is_object(F.col("r"))).select("i", F.to_json("r"))
+    fast = cl.object_rows(df, "t", "r").select("i", F.to_json("r"))
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    assert fast.count() == 4
+    plan = REGISTRY["s9_signal_log"].plan(data)._jdf.queryExecution().executedPlan().toString()
+    final, _, initial = plan.partition("Initial Plan")
+    assert (initial or final).lower().count("parsejson") <= 2
