@@ -4,22 +4,27 @@ Two texts are similar when the Jaccard similarity of their word sets reaches the
 Comparing everything with everything is avoided exactly, not by sampling or capping:
 
 * identical word sets are collapsed first, so a third of the table may be copies;
-* words are ordered by the number of sets that have them, rare first, over all words. A word of
-  one set only matches nothing: it counts towards a set's size and is not kept otherwise;
-* sets are compared only when they share a word of their *prefix*: in that order a set of n
-  words and a similar set share one of the first n - ceil(t*n) + 1 words of each
-  (Chaudhuri et al. 2006, Bayardo et al. 2007);
-* three upper bounds of the words two sets can share then decide without the sets: sizes, the
-  places of the shared word (Xiao et al. 2008), and a count of the words per slice of the word
-  order, whose differences no shared word can explain.
+* sets are compared only when they agree on a *part*: similar sets of up to u words differ in at
+  most k = (1-t)/(1+t) * 2u words, so when words are dealt to k + 1 parts, one part holds the
+  same words in both (Arasu et al. 2006). A part holds some five words, so what unlike sets
+  agree on by chance stays rare however many sets have each single word. Parts are dealt per
+  size class, and a set close to the next class takes part in both;
+* upper bounds of the words two sets can share then decide without the sets: sizes, and bits
+  that every word flips one of, whose differences no shared word can explain.
+
+An index that grows (``textindex``) compares sets by a word of their *prefix* instead: in an
+order of all words, rare first, a set of n words and a similar set share one of the first
+n - ceil(t*n) + 1 words of each (Chaudhuri et al. 2006, Bayardo et al. 2007). Buckets of single
+words grow with the table, and their pairs with its square; the steps below take either.
 
 The question answered is "is there a similar text earlier in the order", so a set needs one
 witness only:
 
-1. every bucket (prefix word) offers its earliest set: members of a big cluster of near copies
-   find it there, in linear work;
+1. every bucket (part or prefix word) offers its earliest set: members of a big cluster of near
+   copies find it there, in linear work;
 2. sets still open are compared with the other members of their buckets, a bucket being cut
-   into blocks that meet two by two, and each names its most alike earlier set of a block pair;
+   into blocks that meet two by two, and each names its few most alike earlier sets of a block
+   pair;
 3. sets that are open even then and had further candidates are compared on the words
    themselves, inside the task of the block pair; a witness is all that leaves it.
 """
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +45,17 @@ from plumbline.operators.skew import map_side_join, salted_join
 
 # Members of one bucket in one block; a task compares two blocks at a time.
 BLOCK = 1000
-# Slices of the word order in which words are counted.
-BINS = 64
+# Least bits of a set, each the parity of the words it stands for.
+BITS = 512
+# Earlier sets that an open set names in a pair of blocks.
+NAMED = 4
 # Fixed value: slack against rounding in t * n.
 EPSILON = 1e-9
+# Ratio of the bounds of a size class, where the threshold allows it.
+CLASS = 1.25
 PREFIX = "token bigint, set bigint, n int, m int, place int, bins binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def similar(left: Column, right: Column, threshold: float) -> Column:
@@ -113,14 +124,27 @@ def ranked_sets(sets: DataFrame, words: DataFrame) -> DataFrame:
 # --- prefixes and bounds ---------------------------------------------------------------
 
 
-def _bins(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
-    """(count, BINS) words of each row by a hash of their place; 255 and more are one.
+def _bins(values: np.ndarray, rows: np.ndarray, count: int, bits: int = BITS) -> np.ndarray:
+    """(count, bits / 64) numbers of each row: every word flips the bit that a hash of it names.
 
-    Cut counts differ by no more than true ones, so what they exclude is excluded rightly.
+    Bits differ in no more places than sets in words, so what they exclude is excluded rightly.
+    ``bits`` is a power of two; the halves of a row combine to the row of half as many bits.
     """
-    bins = ((values.astype(np.uint64) * _ODD) >> np.uint64(58)).astype(np.int64)
-    found = np.bincount(rows * BINS + bins, minlength=count * BINS)
-    return np.minimum(found, 255).astype(np.uint8).reshape(count, BINS)
+    bit = ((values.astype(np.uint64) * _ODD) >> np.uint64(32)).astype(np.int64) % bits
+    flips = np.bincount(rows * bits + bit, minlength=count * bits).astype(np.uint8) & 1
+    return np.packbits(flips.reshape(count, bits), axis=1, bitorder="little").view(np.uint64)
+
+
+def _packed_bins(n: np.ndarray, values: np.ndarray, m: np.ndarray) -> pa.Array:
+    """The bits of every row, as many as its set has words or more, but BITS at least."""
+    width = BITS << np.maximum(np.ceil(np.log2(np.maximum(n, 1) / BITS)), 0).astype(np.int64)
+    packed = np.empty(len(n), dtype=object)
+    for bits in np.unique(width).tolist():
+        rows = np.flatnonzero(width == bits)
+        inside = np.repeat(width == bits, m)
+        found = _bins(values[inside], np.repeat(np.arange(len(rows)), m[rows]), len(rows), bits)
+        packed[rows] = [row.tobytes() for row in found]
+    return pa.array(packed, type=pa.binary())
 
 
 def prefixes(ranked: DataFrame, threshold: float) -> DataFrame:
@@ -141,8 +165,7 @@ def prefixes(ranked: DataFrame, threshold: float) -> DataFrame:
             rows = np.repeat(np.arange(len(m)), keep)
             place = np.arange(len(rows)) - np.repeat(np.cumsum(keep) - keep, keep)
             starts = np.cumsum(m) - m
-            counts = _bins(values, np.repeat(np.arange(len(m)), m), len(m))
-            packed = pa.array([row.tobytes() for row in counts], type=pa.binary())
+            packed = _packed_bins(size, values, m)
             yield pa.RecordBatch.from_pydict({
                 "token": pa.array(values[starts[rows] + place], type=pa.int64()),
                 "set": batch.column("set").take(pa.array(rows)),
@@ -157,6 +180,136 @@ def prefixes(ranked: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+# --- parts -----------------------------------------------------------------------------
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Numbers spread over 64 bits, equal for equal ones."""
+    spread = (values ^ (values >> np.uint64(32))) * _MIX
+    spread = (spread ^ (spread >> np.uint64(32))) * _MIX
+    return spread ^ (spread >> np.uint64(32))
+
+
+def size_classes(most: int, threshold: float) -> np.ndarray:
+    """Lower bounds of the size classes up to one above ``most``.
+
+    A class is wide enough for a set's similar sets to lie in its own or the classes beside it.
+    """
+    ratio = max(CLASS, 1.0 / threshold)
+    bounds = [1]
+    while len(bounds) < 3 or bounds[-2] <= most:
+        bounds.append(max(bounds[-1] + 1, int(np.ceil(ratio * bounds[-1]))))
+    return np.array(bounds, dtype=np.int64)
+
+
+def _part_keys(
+    n: np.ndarray, values: np.ndarray, m: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keys of each row): a key for every part of every row, in the order of the rows.
+
+    Equal words of a part give equal keys; by chance unequal ones may, which costs a comparison.
+    """
+    bounds = size_classes(int(n.max(initial=1)), threshold)
+    own = np.searchsorted(bounds, n, side="right") - 1
+    # Similar sets of the next class have its least size or more.
+    above = n + EPSILON >= threshold * bounds[own + 1]
+    differ = (1.0 - threshold) / (1.0 + threshold) * 2 * (bounds[1:] - 1)
+    parts = np.floor(differ + EPSILON).astype(np.int64) + 1
+    hashed = _mixed(values.astype(np.uint64))
+    dealt = (_mixed(hashed + _ODD) >> np.uint64(32)).astype(np.int64)
+    low, high = (hashed & np.uint64((1 << 32) - 1)), hashed >> np.uint64(32)
+    row_of = np.repeat(np.arange(len(n)), m)
+    found, owner = [], []
+    for step in (0, 1):
+        rows = np.flatnonzero(above) if step else np.arange(len(n))
+        family = own[rows] + step
+        count = np.zeros(len(n), dtype=np.int64)
+        count[rows] = parts[family]
+        start = np.cumsum(count) - count
+        total = int(count.sum())
+        inside = count[row_of] > 0
+        of = row_of[inside]
+        at = start[of] + dealt[inside] % count[of]
+        # Sums of 32 bits are exact in doubles and do not depend on the order.
+        sums = [
+            np.bincount(at, half[inside].astype(np.float64), total).astype(np.uint64)
+            for half in (low, high)
+        ]
+        holder = np.repeat(rows, parts[family])
+        place = (np.arange(total) - start[holder]).astype(np.uint64)
+        kind = np.repeat(family, parts[family]).astype(np.uint64)
+        named = _mixed((kind << np.uint64(40)) + place)
+        found.append(_mixed(_mixed(_mixed(sums[0]) + sums[1]) + named))
+        owner.append(holder)
+    keys, holder = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(holder, kind="stable")
+    return keys[order].view(np.int64), np.bincount(holder, minlength=len(n))
+
+
+def described(ranked: DataFrame, threshold: float) -> DataFrame:
+    """(set, n, m, place, bins, tokens): a set's sizes, counted words and keys of its parts.
+
+    A part has no place in the order of words, so ``place`` is 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(np.int64)
+            lists = batch.column("ranks")
+            values = lists.flatten().to_numpy()
+            m = lists.value_lengths().to_numpy().astype(np.int64)
+            keys, held = _part_keys(n, values, m, threshold)
+            ends = pa.array(np.append(0, np.cumsum(held)), type=pa.int32())
+            yield pa.RecordBatch.from_pydict({
+                "set": batch.column("set"),
+                "n": pa.array(n, type=pa.int32()),
+                "m": pa.array(m, type=pa.int32()),
+                "place": pa.array(np.zeros(len(m)), type=pa.int32()),
+                "bins": _packed_bins(n, values, m),
+                "tokens": pa.ListArray.from_arrays(ends, pa.array(keys)),
+            })
+
+    return ranked.select("set", "n", "ranks").mapInArrow(
+        run, "set bigint, n int, m int, place int, bins binary, tokens array<bigint>"
+    )
+
+
+def met_keys(keys: DataFrame) -> DataFrame:
+    """The rows (token, set) whose token others may have.
+
+    Range partitioned by (token, set), so a hot token spans as many partitions as it needs. The
+    first and the last token of a partition may go on beside it and are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = batch if held is None else join_batches([held, batch])
+            token = whole.column("token").to_numpy()
+            first = token[0] if first is None else first
+            same = token[1:] == token[:-1]
+            kept = token == first
+            kept[1:] |= same
+            kept[:-1] |= same
+            # The last row waits for what follows it, along with one row of its token.
+            held = whole.slice(len(token) - 2 if len(same) and same[-1] else len(token) - 1)
+            if held.num_rows == 2:
+                yield whole.filter(pa.array(kept)).slice(0, int(kept.sum()) - 2)
+            else:
+                kept[-1] = False
+                yield whole.filter(pa.array(kept))
+        if held is not None:
+            yield held
+
+    ordered = keys.repartitionByRange("token", "set").sortWithinPartitions("token", "set")
+    return ordered.mapInArrow(run, "token bigint, set bigint")
+
+
+# --- members ---------------------------------------------------------------------------
+
+
 class Members:
     """Members of a bucket, by column: size, ordered words, place of the word, bins."""
 
@@ -164,8 +317,39 @@ class Members:
         self.n, self.m, self.place = (
             batch.column(name).to_numpy().astype(np.int64) for name in ("n", "m", "place")
         )
-        packed = b"".join(batch.column("bins").to_pylist())
-        self.bins = np.frombuffer(packed, dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+        packed = batch.column("bins")
+        self.width = np.array(pc.binary_length(packed)).astype(np.int64) // 8
+        self.start = np.cumsum(self.width) - self.width
+        self.bins = np.frombuffer(b"".join(packed.to_pylist()), dtype=np.uint64)
+        self._folds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each row, bins): rows of ``width`` numbers and more, folded to ``width``."""
+        if width not in self._folds:
+            rows = np.flatnonzero(self.width >= width)
+            bins = np.empty((len(rows), width), dtype=np.uint64)
+            for wide in np.unique(self.width[rows]).tolist():
+                some = self.width[rows] == wide
+                whole = self.bins[self.start[rows[some]][:, None] + np.arange(wide)]
+                bins[some] = np.bitwise_xor.reduce(
+                    whole.reshape(-1, wide // width, width), axis=1)
+            place = np.zeros(len(self.width), dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            self._folds[width] = place, bins
+        return self._folds[width]
+
+    def apart(self, i: np.ndarray, other: Members, j: np.ndarray) -> np.ndarray:
+        """Bits in which rows ``i`` and rows ``j`` of ``other`` differ, pair by pair."""
+        differ = np.zeros(len(i), dtype=np.int64)
+        least = np.minimum(self.width[i], other.width[j])
+        for width in np.unique(least).tolist():
+            pairs = np.flatnonzero(least == width)
+            (mine, bins), (its, other_bins) = self.folded(width), other.folded(width)
+            for at in range(0, len(pairs), 1 << 14):
+                part = pairs[at : at + (1 << 14)]
+                flipped = bins[mine[i[part]]] ^ other_bins[its[j[part]]]
+                differ[part] = np.bitwise_count(flipped).sum(axis=1, dtype=np.int64)
+        return differ
 
 
 def can_match(a: Members, i: np.ndarray, b: Members, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -178,8 +362,7 @@ def can_match(a: Members, i: np.ndarray, b: Members, j: np.ndarray, threshold: f
     found = (np.minimum(n, other) + EPSILON >= threshold * np.maximum(n, other)) & (most >= needed)
     where = np.flatnonzero(found)
     i, j = i[where], j[where]
-    apart = np.abs(a.bins[i] - b.bins[j]).sum(1)
-    found[where] = (a.m[i] + b.m[j] - apart) // 2 >= needed[where]
+    found[where] = (a.m[i] + b.m[j] - a.apart(i, b, j)) // 2 >= needed[where]
     return found
 
 
@@ -221,6 +404,9 @@ def with_leads(placed: DataFrame, threshold: float) -> DataFrame:
 
 def verified(pairs: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
     """The pairs (set, other) that really are similar. ``pairs`` is read several times."""
+    # Sets in no pair do not travel, if the ids of the others are few enough for every task.
+    part = pairs.select("set").unionByName(pairs.select(F.col("other").alias("set"))).distinct()
+    ranked = ranked.join(part, "set", "left_semi")
     right = ranked.select(
         F.col("set").alias("other"), F.col("n").alias("other_n"),
         F.col("ranks").alias("other_ranks"),
@@ -236,21 +422,28 @@ def verified(pairs: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame
 GROUP = ("token", "i", "j")
 
 
-def block_pairs(members: DataFrame, open_sets: DataFrame, block: int) -> DataFrame:
+def block_pairs(
+    members: DataFrame, open_sets: DataFrame, block: int, facts: DataFrame | None = None
+) -> DataFrame:
     """Members of buckets with open sets, dealt to pairs of blocks and sorted by pair.
 
     The members of a bucket of b blocks go to b groups each, and b * (b + 1) / 2 groups see
-    every two members once; a group holds two blocks.
+    every two members once; a group holds two blocks. What members have beside (token, set)
+    comes from ``facts``, if they have it in every bucket.
     """
+    if facts is not None:
+        members = members.select("token", "set")
+    told = [name for name in members.columns if name not in ("token", "set")]
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     wanted = members.select("set", "token").join(open_sets, "set").select("token").distinct()
     blocks = F.ceil(F.col("rows") / F.lit(block)).cast("int")
     dealt = map_side_join(members, stored(sizes.join(wanted, "token")), "token").select(
-        "token", "set", "n", "m", "place", "bins",
+        "token", "set", *told,
         F.pmod(F.xxhash64("set"), blocks).cast("int").alias("own"),
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
     )
-    marked = dealt.join(open_sets.withColumn("open", F.lit(True)), "set", "left").select(
+    marked = dealt.join(open_sets.withColumn("open", F.lit(True)), "set", "left")
+    marked = (marked if facts is None else marked.join(facts, "set")).select(
         "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         "own", F.coalesce("open", F.lit(False)).alias("open"), "set", "n", "m", "place", "bins",
     )
@@ -320,7 +513,10 @@ def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 def _alike_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
-    """(set, other, more): every open set's most alike earlier set of each block pair."""
+    """(set, other, more): every open set's NAMED most alike earlier sets of each block pair.
+
+    ``more`` says that the block pair has further candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
@@ -328,15 +524,15 @@ def _alike_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
             for later, earlier, _ in _pairs(batch):
                 near = can_match(facts, later, facts, earlier, threshold)
                 later, earlier = later[near], earlier[near]
-                apart = np.abs(facts.bins[later] - facts.bins[earlier]).sum(1)
-                order = np.lexsort((earlier, apart, later))
+                order = np.lexsort((earlier, facts.apart(later, facts, earlier), later))
                 later, earlier = later[order], earlier[order]
-                first = np.ones(len(later), dtype=bool)
-                first[1:] = later[1:] != later[:-1]
-                more = np.diff(np.append(np.flatnonzero(first), len(later))) > 1
+                starts = np.flatnonzero(np.append(True, later[1:] != later[:-1])[: len(later)])
+                held = np.diff(np.append(starts, len(later)))
+                named = np.arange(len(later)) - np.repeat(starts, held) < NAMED
+                more = np.repeat(held > NAMED, held)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(number[later[first]]), pa.array(number[earlier[first]]),
-                     pa.array(more)],
+                    [pa.array(number[later[named]]), pa.array(number[earlier[named]]),
+                     pa.array(more[named])],
                     ["set", "other", "more"],
                 )
 
@@ -363,19 +559,19 @@ def _involved(dealt: DataFrame, threshold: float) -> DataFrame:
 
 def _found_in_blocks(dealt: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
     """(set): open sets with a similar earlier set, compared word by word in their block pairs."""
-    worded = _involved(dealt, threshold).join(ranked, "set")
+    worded = stored(_involved(dealt, threshold)).join(ranked, "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
             number, n = (batch.column(c).to_numpy() for c in ("set", "n"))
-            words = [value.values.to_numpy() for value in batch.column("ranks")]
+            words = [frozenset(value) for value in batch.column("ranks").to_pylist()]
             found = set()
             for later, earlier, _ in _pairs(batch):
                 low, high = np.minimum(n[later], n[earlier]), np.maximum(n[later], n[earlier])
                 sizes = low + EPSILON >= threshold * high
                 for a, b in zip(later[sizes].tolist(), earlier[sizes].tolist(), strict=True):
                     if a not in found:
-                        shared = len(np.intersect1d(words[a], words[b], assume_unique=True))
+                        shared = len(words[a] & words[b])
                         if shared / (n[a] + n[b] - shared) >= threshold:
                             found.add(a)
             yield pa.RecordBatch.from_arrays([pa.array(number[sorted(found)])], ["set"])
@@ -385,15 +581,25 @@ def _found_in_blocks(dealt: DataFrame, ranked: DataFrame, threshold: float) -> D
         run, "set bigint").distinct()
 
 
-def later_sets(ranked: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(set) of the sets that have a similar set before them."""
-    members = stored(with_leads(prefixes(ranked, threshold), threshold))
+def later_sets(
+    ranked: DataFrame, threshold: float, block: int = BLOCK, exact: DataFrame | None = None
+) -> DataFrame:
+    """(set) of the sets that have a similar set before them.
+
+    ``exact`` has the words by which pairs are confirmed, if ``ranks`` are hashes.
+    """
+    facts = stored(described(ranked, threshold))
+    keys = stored(met_keys(facts.select(F.explode("tokens").alias("token"), "set")))
+    facts = facts.drop("tokens")
+    members = keys.join(facts, "set").select("token", "set", "n", "m", "place", "bins")
+    members = stored(with_leads(members, threshold).select("token", "set", "lead"))
+    ranked = ranked if exact is None else exact
     led_by = members.filter("lead IS NOT NULL").select("set", F.col("lead").alias("other"))
     pairs = stored(led_by.distinct())
     led = stored(verified(pairs, ranked, threshold).select("set").distinct())
     members = members.drop("lead")
     seekers = stored(members.select("set").distinct().join(led, "set", "left_anti"))
-    pairs = stored(_alike_pairs(block_pairs(members, seekers, block), threshold))
+    pairs = stored(_alike_pairs(block_pairs(members, seekers, block, facts), threshold))
     alike = stored(
         verified(pairs.select("set", "other"), ranked, threshold).select("set").distinct()
     )
@@ -403,7 +609,7 @@ def later_sets(ranked: DataFrame, threshold: float, block: int = BLOCK) -> DataF
     if left.isEmpty():
         return found
     return found.unionByName(
-        _found_in_blocks(block_pairs(members, left, block), ranked, threshold)
+        _found_in_blocks(block_pairs(members, left, block, facts), ranked, threshold)
     )
 
 
@@ -416,8 +622,9 @@ def near_duplicates(
     """
     keyed = stored(keyed_words(texts, order)).filter(F.size("words") > 0)
     sets = stored(numbered_sets(keyed))
-    ranked = stored(ranked_sets(sets, stored(word_order(sets))))
-    late = later_sets(ranked, threshold, block).withColumn("late", F.lit(True))
+    worded = sets.select("set", F.size("words").alias("n"), F.col("words").alias("ranks"))
+    hashed = worded.withColumn("ranks", F.transform("ranks", lambda word: F.xxhash64(word)))
+    late = later_sets(hashed, threshold, block, worded).withColumn("late", F.lit(True))
     marked = sets.select("set", "set_key", "first", "rows").join(late, "set", "left")
     # One set may be the key of any share of the texts (copies of one text).
     own = map_side_join(keyed.select("id", "order", "set_key"), stored(marked), "set_key")

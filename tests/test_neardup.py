@@ -139,3 +139,95 @@ def test_bounds_never_exclude_similar_sets(spark):
         }))
         one, two = np.array([0]), np.array([1])
         assert neardup.can_match(facts, one, facts, two, 0.85).all()
+
+
+def test_similar_sets_agree_on_a_part():
+    """Sets at and near the threshold, of sizes on both sides of the bounds of size classes."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for threshold in (0.85, 0.5):
+        met = 0
+        for _ in range(1500):
+            size = int(rng.integers(1, 120))
+            a = rng.choice(1 << 40, size, replace=False)
+            lost = int(rng.integers(0, size))
+            added = rng.choice(1 << 40, int(rng.integers(0, size // 2 + 1))) + (1 << 41)
+            b = np.append(a[lost:], added)
+            shared = len(np.intersect1d(a, b))
+            alike = shared / (len(a) + len(b) - shared) >= threshold
+            n = np.array([len(a), len(b)])
+            keys, held = neardup._part_keys(n, np.append(a, rng.permutation(b)), n, threshold)
+            if alike:
+                assert set(keys[: held[0]]) & set(keys[held[0] :])
+            met += alike
+        assert met > 50
+
+
+def test_bits_of_long_and_short_sets_never_exclude_similar_ones():
+    """Sets on both sides of a doubling of the bits; unlike sets of many words are told apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+
+    def members(*sets):
+        n = np.array([len(s) for s in sets])
+        return neardup.Members(pa.RecordBatch.from_pydict({
+            "n": n, "m": n, "place": np.zeros(len(n), dtype=int),
+            "bins": neardup._packed_bins(n, np.concatenate(sets), n),
+        }))
+
+    one, two, three = (np.array([i]) for i in range(3))
+    for size in (500, 512, 513, 1000, 1025, 4090):
+        a = rng.choice(1 << 40, size, replace=False)
+        more = np.append(a, rng.choice(1 << 40, int(size * 0.17)) + (1 << 41))
+        other = rng.choice(1 << 40, size, replace=False)
+        facts = members(a, more, other)
+        assert neardup.can_match(facts, one, facts, two, 0.85).all()
+        assert neardup.can_match(facts, two, facts, one, 0.85).all()
+        assert facts.apart(one, facts, two)[0] <= len(more) - len(a)
+        assert not neardup.can_match(facts, one, facts, three, 0.85).any()
+
+
+def test_few_words_in_many_texts_are_not_all_pairs(spark, monkeypatch):
+    """Texts of one small vocabulary share every word with many others; few are compared."""
+    rng = random.Random(6)
+    vocabulary = [f"v{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    texts = []
+    for i in range(400):
+        body = rng.sample(vocabulary, 60)
+        if i % 40 == 39:  # a near copy of the one before
+            body = [*texts[-1][2].split()[:57], *rng.sample(vocabulary, 3)]
+        texts.append((f"s{i:03d}", i, " ".join(body)))
+    df = spark.createDataFrame(texts, "id string, n int, text string").repartition(4)
+    compared = []
+
+    def counted(*args, deal=neardup.block_pairs):
+        dealt = deal(*args)
+        sizes = dealt.groupBy(*neardup.GROUP).count().collect()
+        compared.append(sum(r["count"] * (r["count"] - 1) // 2 for r in sizes))
+        return dealt
+
+    monkeypatch.setattr(neardup, "block_pairs", counted)
+    got = {r.id for r in neardup.near_duplicates(df, "n").collect() if r.is_duplicate}
+    assert got == {
+        i for i, n, text in texts if any(similar(text, e) for _, m, e in texts if m < n)
+    }
+    assert len(got) == 10
+    assert sum(compared) < 2 * len(texts)
+
+
+def test_parts_that_span_partitions_are_kept(spark):
+    """Every key that two sets have comes back with all its sets, whatever the partitions."""
+    rows = [(key, s) for key in range(60) for s in range(40 if key % 7 == 0 else 1 + key % 2)]
+    keys = spark.createDataFrame(rows, "token bigint, set bigint").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        kept = [tuple(r) for r in neardup.met_keys(keys).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(kept) == len(set(kept)) and set(kept) <= set(rows)
+    held = {key: sum(k == key for k, _ in rows) for key, _ in rows}
+    assert {r for r in rows if held[r[0]] > 1} <= set(kept)
+    assert len(kept) < len(rows)
